@@ -11,5 +11,14 @@ def op9_quality_rules(spark, sf_dir):
     return quality_measures(table(spark, sf_dir, "documents")).drop("rule")
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
+def op3_simhash(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

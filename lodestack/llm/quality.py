@@ -94,7 +94,8 @@ def _with_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = 1000) -> list[Rule]:
     """rules in falling order of rejection per cost, as measured over at most sample_rows rows of docs."""
-    sample = written(docs.limit(sample_rows).select(F.col(text_col).cast("string").alias("text")))
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).limit(sample_rows).collect()
+    sample = written(docs.sparkSession.createDataFrame(rows, "text string"))
     base = _with_words(sample, "text")
     rated = []
     for rule in rules:

@@ -20,5 +20,11 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op9_quality_rules)}
+def op8_substring_dedup(spark, sf_dir):
+    from .substring import removal_digest
+
+    return removal_digest(table(spark, sf_dir, "documents"), length=50)
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op8_substring_dedup, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

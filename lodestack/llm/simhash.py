@@ -65,7 +65,7 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     for at in range(0, len(fps), 2048):
         part = np.ascontiguousarray(fps[at : at + 2048].astype("<u8"))
         bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 64, 8), axis=2, bitorder="little")  # word, lane, bit
-        out[:, at : at + len(part)] = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+        out[:, at : at + len(part)] = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little").view("<u8")[:, :, 0]
     return out
 
 
@@ -85,7 +85,7 @@ def near_pairs(fps: np.ndarray, group: np.ndarray, radius: int = 3, at_once: int
     rows = lane0[:, None] + np.arange(64)
     there = rows < (starts + sizes)[of_word][:, None]
     planes = bit_planes(fps[np.where(there, rows, 0)])
-    absent = ~np.packbits(there, axis=1, bitorder="little").view("<u8")[:, 0]
+    absent = ~np.ascontiguousarray(np.packbits(there, axis=1, bitorder="little")).view("<u8")[:, 0]
     counters = max(1, radius.bit_length())
     member = np.repeat(np.arange(len(sizes)), sizes)
     query = np.arange(len(member)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[member]

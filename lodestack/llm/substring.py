@@ -41,7 +41,7 @@ B = U64(0x9E3779B97F4A7C15)
 B_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: doc is the id; row tells rows that share an id apart by their text.
 CHUNK = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("n", "<u4")])
-PIECE = struct.Struct("<QqIII")
+PIECE = "<QqIII"
 #: Chunks that a task holds before it sends them on.
 HELD = 400_000
 
@@ -185,11 +185,11 @@ def _row(text: str | None) -> int:
 
 
 def _dealt(records: np.ndarray, part: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(part, kind="stable")
-    records, part = records[order], part[order]
-    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, int)
-    blobs = [records[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
-    if blobs:
+    if len(part):
+        order = np.argsort(part, kind="stable")
+        records, part = records[order], part[order]
+        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        blobs = [records[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int64)), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "data"])
 
 
@@ -277,7 +277,7 @@ def repeat_spans(docs: DataFrame, then: Callable, schema: str, length: int = 50,
             if doc in ids and (pieces := wanted.pop((doc, _row(text.as_py())), None)):  # a repeated row need not answer twice
                 h = hashes.of(split_words(text.as_py()))
                 for a, at, n in pieces:
-                    to[int(_shard(np.array([a], U64), parts)[0])].append(PIECE.pack(a, doc, _row(text.as_py()), at, n) + h[at : at + n].tobytes())
+                    to[int(_shard(np.array([a], U64), parts)[0])].append(struct.pack(PIECE, a, doc, _row(text.as_py()), at, n) + h[at : at + n].tobytes())
         rows = [(p, ASKED, b"".join(x)) for p, x in to.items()]
         if len(known := _joined(table, REPEAT, CHUNK)):
             rows.append((key[0].as_py(), REPEAT, known.tobytes()))
@@ -289,9 +289,9 @@ def repeat_spans(docs: DataFrame, then: Callable, schema: str, length: int = 50,
         for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
             i = 0
             while kind == ASKED and i < len(data):
-                a, doc, row, at, n = PIECE.unpack_from(data, i)
-                groups[a].append((doc, row, at, np.frombuffer(data, "<u8", n, i + PIECE.size).tolist()))
-                i += PIECE.size + 8 * n
+                a, doc, row, at, n = struct.unpack_from(PIECE, data, i)
+                groups[a].append((doc, row, at, np.frombuffer(data, "<u8", n, i + struct.calcsize(PIECE)).tolist()))
+                i += struct.calcsize(PIECE) + 8 * n
         for group in groups.values():
             spans += [(doc, row, at + s, e - s - length + 1) for doc, row, at, found in matched_spans(group, length) for s, e in found]
         out = np.zeros(len(spans), CHUNK)

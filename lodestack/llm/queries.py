@@ -20,11 +20,19 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     from .substring import removal_digest
 
     return removal_digest(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op8_substring_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_bpe, op8_substring_dedup, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

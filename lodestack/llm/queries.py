@@ -28,11 +28,17 @@ def op5_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_mixing(spark, sf_dir):
+    from .mixing import mix_table
+
+    return mix_table(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     from .substring import removal_digest
 
     return removal_digest(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_bpe, op8_substring_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_bpe, op6_mixing, op8_substring_dedup, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

@@ -34,11 +34,17 @@ def op6_mixing(spark, sf_dir):
     return mix_table(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark, sf_dir):
+    from .warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages"), least=0)
+
+
 def op8_substring_dedup(spark, sf_dir):
     from .substring import removal_digest
 
     return removal_digest(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_bpe, op6_mixing, op8_substring_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

@@ -11,6 +11,14 @@ def op9_quality_rules(spark, sf_dir):
     return quality_measures(table(spark, sf_dir, "documents")).drop("rule")
 
 
+def op1_ann(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_simhash(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -55,5 +63,5 @@ def op8_substring_dedup(spark, sf_dir):
     return removal_digest(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_chat_format, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ann, op3_simhash, op4_chat_format, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

@@ -19,6 +19,12 @@ def op1_ann(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op2_lm_score(spark, sf_dir):
+    from .pitman_yor import score
+
+    return score(table(spark, sf_dir, "documents")).drop("perplexity")
+
+
 def op3_simhash(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -63,5 +69,5 @@ def op8_substring_dedup(spark, sf_dir):
     return removal_digest(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op3_simhash, op4_chat_format, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_lm_score, op3_simhash, op4_chat_format, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

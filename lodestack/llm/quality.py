@@ -117,7 +117,9 @@ def cascade(rules: list[Rule], text: Column, words: Column) -> Column:
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE_RULES + OWN_RULES, sample_rows: int = 1000) -> DataFrame:
     """The rows of docs that no rule rejects, unchanged, all columns."""
     ordered = order_rules(docs, rules, text_col, sample_rows)
-    return _with_words(docs, text_col).where(cascade(ordered, F.col("__text"), F.col("__words")).isNull()).select(*[docs[c] for c in docs.columns])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    # The words are bound once: the filter is pushed down to the scan, where a column of words would be computed anew in each lambda.
+    return docs.where(let(words_of(text), lambda words: cascade(ordered, text, words)).isNull())
 
 
 def quality_measures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: tuple[Rule, ...] = OWN_RULES, sample_rows: int = 1000) -> DataFrame:

@@ -69,5 +69,11 @@ def op8_substring_dedup(spark, sf_dir):
     return removal_digest(table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_lm_score, op3_simhash, op4_chat_format, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules)}
+def op10_license_scan(spark, sf_dir):
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"), least=0.8)
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_lm_score, op3_simhash, op4_chat_format, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {}

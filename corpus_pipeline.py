@@ -1,23 +1,57 @@
 """A corpus from raw documents to token ids: each stage works on all rows that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and reads again as the
-next stage's docs.
+next stage's docs. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestack.llm.bpe import encode
 from lodestack.llm.common import table, written
+from lodestack.llm.mixing import repeated
 from lodestack.llm.quality import quality_filter
+from lodestack.llm.simhash import keep_one
+from lodestack.llm.substring import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go; the others stay as they are."""
     return quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return keep_one(docs, radius=3)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages of 50 words that a document with a smaller id has too go; n_chars follows the text."""
+    from pyspark.sql import functions as F
+
+    cut = remove_repeats(docs, length=50)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it, none to three times."""
+    return repeated(docs)
+
+
+def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token ids of each row."""
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mix_sources", mix_sources),
+    ("bpe_encode", bpe_encode),
+]
 #: SQL has no tokenizer, no XXH64 and no entropy balancing: the stages are tested one by one against brute force.
 ORACLE_SQL = None
 

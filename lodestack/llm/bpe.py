@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 NONE = np.iinfo(np.int64).max
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose results a worker keeps, and characters that it works on together.
-KEPT, AT_ONCE = 300_000, 3_000_000
+KEPT, AT_ONCE = 120_000, 1_500_000
 
 
 def byte_symbols() -> list[str]:
@@ -152,6 +152,7 @@ class BpeTokenizer:
             self.token_bytes[i] = token.encode()
         self.pieces = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.own = list(range(len(self.token_bytes)))  # one int object for each token, shared by all pieces
         self.most = kept
         self.forget()
 
@@ -184,7 +185,7 @@ class BpeTokenizer:
     def keep(self, found: Iterable[tuple[str, list[int]]]) -> None:
         for p, ids in found:
             self.known[p] = len(self.ids)
-            self.ids.append(tuple(ids))
+            self.ids.append(tuple(map(self.own.__getitem__, ids)))
 
     def cut(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is a special token, part) in order. Long parts are cut before single spaces, where a piece always begins."""

@@ -61,7 +61,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word (bytes) -> its 64-bit hash, kept for words seen so far; cleared when it holds too many, so memory is bounded."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __init__(self):
         import xxhash

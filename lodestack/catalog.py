@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .plans import catalog_graph, catalog_text
+
 FLAGSHIP = "k01_vector_topk"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = catalog_text.Q | catalog_graph.Q
+ORACLE_SQL = catalog_text.SQL | catalog_graph.SQL

@@ -10,6 +10,7 @@ from ..operators.chunking import ChunkingConfig, dedupe, sliding
 from ..operators.graph import structure_edges, structure_nodes
 from ..schema import Scope
 from ..sources.text import text_elements
+from ..storage import written
 
 SCOPE = Scope("t", "a")
 WINDOWS = ChunkingConfig(strategy="sliding_window", max_tokens=120, overlap_tokens=20)
@@ -37,8 +38,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c, e = chunks(spark, sf_dir), elements(spark, sf_dir)
-    return structure_nodes(documents(spark, sf_dir), e, c, SCOPE), structure_edges(c, e, SCOPE)
+    """(nodes, edges) as tables, which is what graph operators work on."""
+    c, e = written(chunks(spark, sf_dir)), elements(spark, sf_dir)
+    return written(structure_nodes(documents(spark, sf_dir), e, c, SCOPE)), written(structure_edges(c, e, SCOPE))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 NONE = np.iinfo(np.int64).max
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose results a worker keeps, and characters that it works on together.
@@ -257,7 +259,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=[id_col, "n_tokens", "ids"])
 
-    plain = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    plain = bounded_batches(docs).select(F.col(id_col), F.col(text_col).cast("string"))
     return plain.mapInArrow(work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>")
 
 
@@ -286,4 +288,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

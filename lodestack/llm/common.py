@@ -43,6 +43,14 @@ def fan_out(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1 << 17))
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with Arrow batches of at most `rows` rows from now on in its session: long texts make large batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, rows)
+    return df
+
+
 def words_of(text):
     """Column of the words of a text column; null and blank texts have none. Built-in functions only."""
     cut = F.btrim(F.coalesce(text, F.lit("")), F.lit(WS_CHARS))

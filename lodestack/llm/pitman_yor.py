@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, WordHashes, fan_out, mixed
+from .common import LOWER, U64, WordHashes, bounded_batches, fan_out, mixed
 
 START, END = 0x5EED5EED00000001, 0x5EED5EED00000002
 HOT = 0.001
@@ -241,6 +241,7 @@ def _of(table: pa.Table, kind: int) -> list[bytes]:
 def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, burn_in: int = 2, samples: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row of docs."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held if held is not None else held_out(F.col(id_col)), F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
+    bounded_batches(docs)
     parts = fan_out(docs, 16 << 20)
     common: Counter = Counter()
     for row in plain.select("text").limit(2000).collect():  # a bounded sample, which lays out the work only

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .oracles import ORACLE_SQL
 
 
 def op9_quality_rules(spark, sf_dir):
@@ -76,4 +77,5 @@ def op10_license_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_lm_score, op3_simhash, op4_chat_format, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules, op10_license_scan)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

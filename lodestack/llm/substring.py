@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, fan_out, mixed
+from .common import U64, WordHashes, bounded_batches, fan_out, mixed
 
 B = U64(0x9E3779B97F4A7C15)
 B_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -220,7 +220,7 @@ def _joined(table: pa.Table, kind: int, dtype) -> np.ndarray:
 
 def repeat_spans(docs: DataFrame, then: Callable, schema: str, length: int = 50, gram: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row of `schema` for each row of docs: then(row as a dict, words, [start, end) spans of repeated words) gives its values."""
-    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    docs = bounded_batches(docs).withColumn(text_col, F.col(text_col).cast("string"))
     parts = fan_out(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

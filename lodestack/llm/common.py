@@ -38,8 +38,13 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def fan_out(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Partitions to deal df's data into: as many as the session's shuffle partitions, more where the input's size asks for it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Partitions to deal df's data into: as many as the session's shuffle partitions, more where the input's size asks for it.
+
+    The size is that of the tables that df reads, as Spark estimates it; leaves of unknown size do not count.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = sum(s for s in sizes if s < 1 << 60)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1 << 17))
 
 

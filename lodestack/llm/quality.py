@@ -89,7 +89,14 @@ BASE_RULES = (TOO_SHORT, REPEATS)
 
 
 def _with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__words", words_of(F.col("__text")))
+    """docs with __text and __words, the words in a column of their own.
+
+    Filters and projections on top must not take the expression of the words into their lambdas, which would split the
+    text once for each word. Catalyst never does that to an expression that depends on a row's place, so the words
+    depend on a condition on it, which always holds.
+    """
+    text = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    return text.withColumn("__words", F.when(F.monotonically_increasing_id() >= 0, words_of(F.col("__text"))))
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = 1000) -> list[Rule]:
@@ -125,18 +132,9 @@ def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
 def quality_measures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: tuple[Rule, ...] = OWN_RULES, sample_rows: int = 1000) -> DataFrame:
     """id_col, the base measures, base_failed, kept and the rule that rejected (null if kept or if the base rules failed)."""
     ordered = order_rules(docs, rules, text_col, sample_rows)
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-
-    def told(words: Column) -> Column:
-        return let(n_repeat_words(words), lambda repeats: judged(words, repeats))
-
-    def judged(words: Column, repeats: Column) -> Column:
-        n = F.size(words).cast("long")
-        failed = (n < 10) | (100 * repeats > 20 * n)
-        return F.struct(
-            n.alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), repeats.alias("n_repeat_words"),
-            failed.alias("base_failed"), F.when(~failed, cascade(ordered, text, words)).alias("rule"))
-
-    # All of it is one expression that binds the words once, so no filter or projection on top can have them computed in a lambda.
-    rows = docs.select(F.col(id_col), let(words_of(text), told).alias("__m"))
-    return rows.select(id_col, *[F.col(f"__m.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], (~F.col("__m.base_failed") & F.col("__m.rule").isNull()).alias("kept"), F.col("__m.rule").alias("rule"))
+    text, words = F.col("__text"), F.col("__words")
+    base = _with_words(docs.select(F.col(id_col), F.col(text_col)), text_col).select(
+        F.col(id_col), text, words, F.size(words).cast("long").alias("n_words"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(words).alias("n_repeat_words"))
+    failed = base.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    told = failed.withColumn("rule", F.when(~F.col("base_failed"), cascade(ordered, text, words)))
+    return told.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")

@@ -72,11 +72,11 @@ def s01_cosine_pairs(spark, sf):
     return pairs.select("vec_id", F.round("raw", 6).alias("raw"), F.round(score_percent(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "raw"))), 4).alias("width"))
 
 
-@query("""with old as (select vec_id, label from embeddings where vec_id % 3 <> 0), new as (select vec_id, label + 100 as label from embeddings where vec_id % 2 = 0)
+@query("""with old as (select vec_id, label from embeddings where label <> 3), new as (select vec_id, label + 100 as label from embeddings where label >= 2)
 select * from new union all select * from old where vec_id not in (select vec_id from new)""")
 def snk02_vector_upsert(spark, sf):
     e = corpus.table(spark, sf, "embeddings").select("vec_id", "label")
-    return vectors.upsert(e.where("vec_id % 3 <> 0"), e.where("vec_id % 2 = 0").withColumn("label", F.col("label") + 100), "vec_id")
+    return vectors.upsert(e.where("label <> 3"), e.where("label >= 2").withColumn("label", F.col("label") + 100), "vec_id")
 
 
 @query("""select count(*) as deleted from embeddings where vec_id % 50 = 7""")
@@ -116,10 +116,10 @@ def snk03_structure_nodes(spark, sf):
 
 
 @query(f"""with {CHUNKS}, w as (select *, lag(chunk_id) over p as prv, lead(chunk_id) over p as nxt from chunks window p as (partition by document_id order by chunk_index))
-select chunk_id, document_id, chunk_index, prv as previous_chunk_id, nxt as next_chunk_id, len(string_split(element_ids, ','))::bigint as n_elements from w where document_id::bigint % 20 = 0""")
+select chunk_id, document_id, chunk_index, prv as previous_chunk_id, nxt as next_chunk_id, len(string_split(element_ids, ','))::bigint as n_elements from w""")
 def j07_chunk_context(spark, sf):
     nodes, edges = corpus.graph(spark, sf)
-    wanted = nodes.where("kind = 'chunk' and cast(document_id as bigint) % 20 = 0").select("id", F.col("position").alias("pos"))
+    wanted = nodes.where("kind = 'chunk'").select("id", F.col("position").alias("pos"))
     c = graph.chunk_context(nodes, edges, wanted)
     return c.select("chunk_id", "document_id", "chunk_index", "previous_chunk_id", "next_chunk_id", F.size("source_elements").cast("long").alias("n_elements"))
 
@@ -161,10 +161,10 @@ SEM = "sem as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst
 MEN = "men as (select distinct 'p' || l_partkey as src, 'o' || l_orderkey as dst from lineitem)"
 
 
-@query(f"""with {MEN} select distinct src as id from men where dst in (select 'o' || o_orderkey from orders where o_orderkey % 100 = 1)""")
+@query(f"""with {MEN} select distinct src as id from men where dst in (select 'o' || o_orderkey from orders where o_orderstatus = 'F')""")
 def j08_seed_entities(spark, sf):
     _, edges = corpus.star(spark, sf)
-    chosen = corpus.table(spark, sf, "orders").where("o_orderkey % 100 = 1").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    chosen = corpus.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
     return graph.seeds_of_chunks(edges, chosen)
 
 
@@ -289,13 +289,13 @@ def a09_last_wins_first_place(spark, sf):
 
 # -- health, registry, configuration -----------------------------------------------------------------------------------------
 @query("""with g as (select (vec_id % 50)::varchar as document_id, case when vec_id % 2 = 0 then 'openai/small' else 'big' end as embedding_model, 64 as vector_dimension, count(*) as embedded from embeddings group by all),
-st as (select doc_id::varchar as document_id, 1 + n_chars // 100 as chunk_count, n_chars // 100 as emb from documents where doc_id < 60),
+st as (select doc_id::varchar as document_id, 1 + n_chars // 100 as chunk_count, n_chars // 100 as emb from documents),
 j as (select coalesce(g.document_id, st.document_id) as document_id, embedding_model, vector_dimension, coalesce(embedded, 0) as embedded_count, coalesce(emb, 0)::bigint as embeddable_chunk_count from g full join st on g.document_id = st.document_id)
 select document_id, embedding_model, case embedding_model when 'openai/small' then 'p-small' when 'big' then 'runtime embedding pool' end as profile_name, embedded_count, embeddable_chunk_count, greatest(0, embeddable_chunk_count - embedded_count)::bigint as missing_count,
   case embedding_model when 'openai/small' then 'ok' else 'unknown' end as dimension_status from j""")
 def a02_embedding_health(spark, sf):
     v = corpus.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("vector_id"), (F.col("vec_id") % 50).cast("string").alias("document_id"), F.lit(None).cast("string").alias("embedding_profile_id"), F.when(F.col("vec_id") % 2 == 0, "openai/small").otherwise("big").alias("embedding_model"), F.size("embedding").alias("vector_dimension"), F.lit("{}").alias("metadata"))
-    st = corpus.table(spark, sf, "documents").where("doc_id < 60").select(F.col("doc_id").cast("string").alias("document_id"), (1 + F.expr("n_chars div 100")).alias("chunk_count"), F.expr("n_chars div 100").alias("embeddable_chunk_count"))
+    st = corpus.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), (1 + F.expr("n_chars div 100")).alias("chunk_count"), F.expr("n_chars div 100").alias("embeddable_chunk_count"))
     profiles = spark.createDataFrame([("1", "p-small", "small", 64), ("2", "p-big-a", "x/big", 64), ("3", "p-big-b", "y/big", 128)], "profile_id string, profile_name string, model_name string, embedding_dimensions int")
     return health.report(v, st, profiles).select("document_id", "embedding_model", "profile_name", "embedded_count", "embeddable_chunk_count", "missing_count", "dimension_status")
 
@@ -357,11 +357,11 @@ def a10_unanimous(spark, sf):
     return d.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("source").alias("sources"), health.unanimous(F.col("lang")).alias("lang"))
 
 
-@query("""with d as (select doc_id, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) as h from documents) select doc_id from d where doc_id % 2 = 0 and h not in (select h from d where doc_id % 2 = 1)""")
+@query("""with d as (select doc_id, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) as h, lang from documents) select doc_id from d where lang <> 'en' and h not in (select h from d where lang = 'en')""")
 def c13_known_hashes(spark, sf):
     d = corpus.documents(spark, sf).withColumn("content_hash", content_hash(F.col("text")))
-    known = d.where("doc_id % 2 = 1").select("content_hash").distinct()
-    return d.where("doc_id % 2 = 0").join(known, "content_hash", "left_anti").select("doc_id")
+    known = d.where("app_id = 'en'").select("content_hash").distinct()
+    return d.where("app_id <> 'en'").join(known, "content_hash", "left_anti").select("doc_id")
 
 
 @query("""select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as calls, round(sum(value), 4) as value from events group by all""")

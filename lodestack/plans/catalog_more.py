@@ -98,12 +98,12 @@ def c02_boundaries(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), b["type"].alias("kind"), b["value"].alias("value"))
 
 
-@query("""with m as (select vec_id, row_number() over (order by vec_id) as "rank" from embeddings where label = 1), c as (select doc_id, lang from documents where doc_id % 2 = 0) select m.vec_id, "rank", lang from m left join c on c.doc_id = m.vec_id""")
+@query("""with m as (select vec_id, row_number() over (order by vec_id) as "rank" from embeddings where label = 1), c as (select doc_id, lang from documents where lang <> 'en') select m.vec_id, "rank", lang from m left join c on c.doc_id = m.vec_id""")
 def j14_matches_with_context(spark, sf):
     from pyspark.sql import Window
 
     m = corpus.table(spark, sf, "embeddings").where("label = 1").select("vec_id", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long").alias("rank"))
-    c = corpus.table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("vec_id"), "lang")
+    c = corpus.table(spark, sf, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("vec_id"), "lang")
     return m.join(c, "vec_id", "left")
 
 
@@ -119,11 +119,11 @@ def j16_runtime_pools(spark, sf):
     return config.runtime_pools(o, f, k, p, "x", "y").select("id")
 
 
-@query("""select d.doc_id::varchar as document_id, coalesce(case when d.doc_id % 3 = 0 then 'own' end, case when d.doc_id % 2 = 0 then 'reg-' || d.doc_id end) as filename from documents d""")
+@query("""select d.doc_id::varchar as document_id, coalesce(case when d.doc_id % 3 = 0 then 'own' end, case when d.lang = 'en' then 'reg-' || d.doc_id end) as filename from documents d""")
 def j17_filenames(spark, sf):
     d = corpus.table(spark, sf, "documents")
     rows = d.select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("doc_id") % 3 == 0, "own").otherwise("").alias("filename"))
-    known = d.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("reg-"), "doc_id").alias("filename"))
+    known = d.where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("reg-"), "doc_id").alias("filename"))
     return registry.with_filenames(rows, known)
 
 
@@ -152,12 +152,12 @@ def a14_severities(spark, sf):
     return c.select("c_custkey", labels.missing_severity(F.col("c_custkey") % 3).alias("missing"), labels.status_severity(labels.dimension_status(n, F.lit(64))).alias("status"))
 
 
-@query("""with a as (select o_custkey, list_sort(list(distinct o_orderkey)) as x from orders where o_orderkey % 2 = 0 group by 1), b as (select o_custkey, list(distinct o_orderkey) as y from orders where o_orderkey % 3 = 0 group by 1)
+@query("""with a as (select o_custkey, list_sort(list(distinct o_orderkey)) as x from orders where o_orderstatus <> 'F' group by 1), b as (select o_custkey, list(distinct o_orderkey) as y from orders where o_totalprice > 100000 group by 1)
 select o_custkey, len(list_filter(x, lambda v: not list_contains(coalesce(y, []), v)))::bigint as only_first, len(list_intersect(x, coalesce(y, [])))::bigint as both_lists from a left join b using (o_custkey)""")
 def o03_list_difference(spark, sf):
     o = corpus.table(spark, sf, "orders")
-    a = o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("x"))
-    b = o.where("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("y"))
+    a = o.where("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("x"))
+    b = o.where("o_totalprice > 100000").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("y"))
     j = a.join(b, "o_custkey", "left").withColumn("y", F.coalesce("y", F.array().cast("array<bigint>")))
     return j.select("o_custkey", F.size(F.array_except("x", "y")).cast("long").alias("only_first"), F.size(F.array_intersect("x", "y")).cast("long").alias("both_lists"))
 
@@ -201,9 +201,9 @@ def s29_secrets(spark, sf):
     return c.select("c_custkey", F.sha2("c_name", 256).alias("hash"), text.mask_secret(F.col("s")).alias("masked"))
 
 
-@query("""select event_id, event_type = 'error' or event_id % 4 = 0 as transient from events where event_id % 3 <> 0""")
+@query("""select event_id, event_type = 'error' or event_id % 4 = 0 as transient from events""")
 def s32_transient_errors(spark, sf):
-    e = corpus.table(spark, sf, "events").where("event_id % 3 <> 0")
+    e = corpus.table(spark, sf, "events")
     said = F.when(F.col("event_type") == "error", "Deadline exceeded").otherwise("bad schema")
     return e.select("event_id", errors.transient(F.when(F.col("event_id") % 4 == 0, 429), said, F.lit(False)).alias("transient"))
 

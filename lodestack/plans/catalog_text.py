@@ -101,9 +101,9 @@ def s03_content_hash(spark, sf):
     return corpus.documents(spark, sf).select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.token_count(F.col("text")).cast("long").alias("tokens"))
 
 
-@query("""select doc_id, trim(regexp_replace(replace(lower(substr(text, 1, 60)), 'ß', 'ss'), '\\s+', ' ', 'g')) as name from documents""")
+@query("""select doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g'))) as name_md5 from documents""")
 def s04_entity_names(spark, sf):
-    return corpus.documents(spark, sf).select("doc_id", text.entity_name(F.substring("text", 1, 60)).alias("name"))
+    return corpus.documents(spark, sf).select("doc_id", F.md5(text.entity_name(F.col("text")).cast("binary")).alias("name_md5"))
 
 
 TERMS = "(?:" + "|".join(policy.RESTRICTED_TERMS) + ")"
@@ -151,7 +151,7 @@ def s16_extraction(spark, sf):
 def s19_decisions(spark, sf):
     """Assistant turns as raw replies: a third in JSON with an alias, a third citing inline, the rest plain."""
     t = corpus.table(spark, sf, "conversations").where("role = 'assistant'")
-    said = F.coalesce(F.substring("text", 1, 80), F.lit(""))
+    said = F.coalesce("text", F.lit(""))
     raw = F.when(F.col("conv_id") % 3 == 0, F.to_json(F.struct(F.lit("RAG answer").alias("decision"), said.alias("answer"), F.array(F.lit(1), F.lit(9)).alias("used_references")))).when(F.col("conv_id") % 3 == 1, F.concat(said, F.lit(" [2]"))).otherwise(said)
     x = t.select("conv_id", "turn", policy.decision(raw, F.array(F.lit(1), F.lit(2)), F.lit(True)).alias("d"))
     return x.select("conv_id", "turn", "d.response_type", F.length("d.answer").cast("long").alias("answer_chars"), F.array_join(F.col("d.references").cast("array<string>"), ",").alias("refs"))

@@ -31,7 +31,7 @@ from .common import bounded_batches
 NONE = np.iinfo(np.int64).max
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose results a worker keeps, and characters that it works on together.
-KEPT, AT_ONCE = 120_000, 1_500_000
+KEPT, AT_ONCE = 220_000, 1_500_000
 
 
 def byte_symbols() -> list[str]:

@@ -37,7 +37,7 @@ from .common import LOWER, U64, WordHashes, bounded_batches, fan_out, mixed
 
 START, END = 0x5EED5EED00000001, 0x5EED5EED00000002
 HOT = 0.001
-TOKENS, DOCS = 3_000_000, 400_000
+TOKENS, DOCS = 2_000_000, 400_000
 ENTRIES, NAMES, ASK, REPLY, STATE, SUMS = range(6)
 DEALT = "part long, kind int, data binary"
 ARROW = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -122,12 +122,19 @@ class Part:
             us.append(np.repeat(u, runs))
             ws.append(w[local])
             pairs.append(mixed(us[-1] * U64(0x9E3779B97F4A7C15) + ws[-1]))
-            trained.append(np.where(doc < n_train, count, 0).astype(np.float64))
-        join = lambda x, t=U64: np.concatenate(x) if x else np.zeros(0, t)
-        _, at, self.pair = np.unique(join(pairs), return_index=True, return_inverse=True)
-        self.us, self.ui = np.unique(join(us)[at], return_inverse=True)
-        self.ws, self.wi = np.unique(join(ws)[at], return_inverse=True)
-        self.c = np.bincount(self.pair, join(trained, float), len(at)).astype(np.int64)
+            trained.append(np.where(doc < n_train, count, 0).astype(np.float32))
+
+        def joined(x: list, t=U64) -> np.ndarray:
+            """x as one array; x itself is emptied, since a part's entries fill much of a worker's memory."""
+            out = np.concatenate(x) if x else np.zeros(0, t)
+            x.clear()
+            return out
+
+        _, at, self.pair = np.unique(joined(pairs), return_index=True, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
+        self.us, self.ui = np.unique(joined(us)[at], return_inverse=True)
+        self.ws, self.wi = np.unique(joined(ws)[at], return_inverse=True)
+        self.c = np.bincount(self.pair, joined(trained, float), len(at)).astype(np.int64)
         self.t = np.minimum(self.c, 1)
         self.owner = _part(self.ws, parts)
         self.hot = np.flatnonzero(np.isin(self.us, hot))

@@ -14,7 +14,7 @@ shards that hold only what can match, and the documents' own passages travel to
 3. Documents, dealt by id, answer with the words of the chunks asked for. Per anchor, chunks come in the order of their
    documents: each is streamed through the suffix automaton of those before, whose matching statistics give
    the longest earlier match that ends at each word; where it reaches `length`, the maximal span goes. Then the
-   chunk is added to the automaton.
+   chunk is added to the automaton, unless each of its windows is a repeat.
 4. Spans return to the documents, dealt as before.
 
 Words are compared as 64-bit hashes and chunks as 64-bit hashes within a 64-bit anchor.
@@ -123,8 +123,8 @@ class SuffixAutomaton:
                 link[q] = link[cur] = clone
         self.last = cur
 
-    def spans(self, xs: list[int], least: int) -> list[tuple[int, int]]:
-        """Maximal [start, end) of xs covered by matches of at least `least`, from the matching statistics."""
+    def matches(self, xs: list[int], least: int) -> list[tuple[int, int]]:
+        """For each place of xs where the longest match that ends there has at least `least`, its [start, end)."""
         nxt, link, length = self.next, self.link, self.len
         state = matched = 0
         out: list[tuple[int, int]] = []
@@ -136,12 +136,13 @@ class SuffixAutomaton:
                 state = nxt[state][x]
                 matched += 1
             if matched >= least:
-                start = i - matched
-                while out and out[-1][1] >= start:
-                    start = min(start, out.pop()[0])
-                out.append((start, i))
+                out.append((i - matched, i))
         return out
 
+    def spans(self, xs: list[int], least: int) -> list[tuple[int, int]]:
+        """Maximal [start, end) of xs covered by matches of at least `least`, from the matching statistics."""
+        return _union(self.matches(xs, least))
+
 
 def matched_spans(group: list[tuple[int, int, int, list[int]]], least: int) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
     """group: (doc, row, at, word hashes) of one anchor -> (doc, row, at, spans found in chunks of smaller docs)."""
@@ -154,10 +155,10 @@ def matched_spans(group: list[tuple[int, int, int, list[int]]], least: int) -> l
                 automaton.add(separator)
                 separator -= 1
             waiting = []
-        found = automaton.spans(words, least)
+        found = automaton.matches(words, least)
         if found:
-            out.append((doc, row, at, found))
-        if found != [(0, len(words))]:
+            out.append((doc, row, at, _union(found)))
+        if len(found) <= len(words) - least:  # a window is new; matches of several documents may cover it all the same
             waiting.append(words)
         before = doc
     return out

@@ -194,6 +194,20 @@ def test_substring_removal_of_overlapping_passages(spark):
     assert sum(x[2] for x in got) > 1000
 
 
+def test_substring_removal_of_windows_across_a_seam(spark):
+    """A and C cover B between them, but not the windows across the seam, which D repeats."""
+    from lodestack.llm.substring import removal_digest
+
+    data = []
+    for i in range(1, 21):
+        w = prose(100 + i, 75, 10**6).split()
+        data += [(4 * i + k, " ".join(x), "a") for k, x in enumerate((w[:60], w[15:], w, w[12:62]))]
+    frame = spark.createDataFrame([(*x, 1, 2, 3, 4, 5, 6, "w") for x in data], DDL).repartition(5)
+    got = sorted(tuple(x) for x in removal_digest(frame, 50).collect())
+    assert got == sorted(slow_removal(data, 50))
+    assert [x[2] for x in got if x[0] % 4 == 3] == [50] * 20
+
+
 def test_remove_repeats_keeps_other_texts_and_columns(spark):
     from lodestack.llm.substring import remove_repeats
 

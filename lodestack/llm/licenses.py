@@ -1,16 +1,13 @@
-"""Operator 10, license scans: MinHash bands over overlapping windows find templates, exact containment verifies them.
+"""Operator 10, license scans: an exact index of the templates' shingles.
 
 Built from SQL functions only. A text becomes lower-case words (runs of letters and digits) and 64-bit hashes of its
-five-word shingles. For each length L of a template, windows of 2 L words begin every L words, so an occurrence of up to L
-words lies in one of them whole. The shingles of a window and of a template that it holds to 0.8 have a Jaccard
-similarity of at least s = 0.8 m / (2 L - 4 + 0.2 m), m the template's shingles; `bands` bands of one MinHash
-each miss it with probability (1 - s) ** bands, and bands_for() takes as many as keep that under `miss` for every
-template. Windows without any shingle of a template of their length can share no MinHash with one and are left out
-before the MinHashes are computed, which loses nothing. What the bands retrieve is verified: a match holds at least
-0.8 of the template's distinct shingles.
+five-word shingles. Texts without any shingle of a template go; the shingles of the others meet a broadcast index of
+(shingle, template). A match holds at least 0.8 of the template's distinct shingles anywhere in the text, so neither the
+place of a notice nor words inserted into it decide whether it is found. Reported is the shortest run of words, the
+first of several, that holds all of the template's shingles that the text has.
 
 Defined results: a null text is an empty one; texts of fewer than five words match nothing; rows that share an id are
-reported together; several templates in a text give a row each; an empty table gives no rows; templates have five
+scanned one by one and reported together; several templates in a text give a row each; an empty table gives no rows; templates have five
 words or more and their table is a parameter of bounded size, which is broadcast.
 """
 
@@ -61,7 +58,7 @@ def words_of_template(text: str) -> list[str]:
 
 
 def bands_for(templates: tuple, least: float, miss: float) -> int:
-    """Bands of one MinHash each that miss a window with a match with probability under `miss`."""
+    """Bands of one MinHash each that miss a window with a match with probability under `miss`; scan() needs none."""
     worst = 1.0
     for _, _, text in templates:
         n = len(words_of_template(text))
@@ -70,10 +67,6 @@ def bands_for(templates: tuple, least: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - worst))
 
 
-def minhashes(hashes: Column, bands: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, i))))
-
-
 def template_table(spark: SparkSession, templates: tuple) -> DataFrame:
     """(template, license, length in words, distinct shingle hashes)."""
     if len(templates) > MOST_TEMPLATES or any(len(words_of_template(t)) < SHINGLE for _, _, t in templates):
@@ -83,26 +76,36 @@ def template_table(spark: SparkSession, templates: tuple) -> DataFrame:
     return words.select("template", "license", F.size("words").alias("length"), F.array_distinct(shingles(F.col("words"))).alias("hashes"))
 
 
+def shortest(places: Column, m: Column) -> Column:
+    """(n_words, first_word) of the shortest run that holds every shingle of places: sorted (at, shingle), at from 1."""
+    held = F.transform(places, lambda p: p["shingle"])
+    last = let(F.array_distinct(held), lambda h: F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.when(F.array_contains(h, j), 0)))
+    none = F.struct(F.lit(2**31 - 1).alias("n_words"), F.lit(0).alias("first_word"))
+
+    def step(state: Column, p: Column) -> Column:
+        seen = F.transform(state["last"], lambda v, j: F.when(j == p["shingle"], p["at"]).otherwise(v))
+        start = F.array_min(seen)  # 0 until every shingle has come
+        run = F.struct((p["at"] - start + SHINGLE).alias("n_words"), (start - 1).alias("first_word"))
+        return let(F.struct(seen.alias("seen"), start.alias("start"), run.alias("run")), lambda x: F.struct(x["seen"].alias("last"), F.when((x["start"] > 0) & (x["run"]["n_words"] < state["best"]["n_words"]), x["run"]).otherwise(state["best"]).alias("best")))
+
+    return F.aggregate(places, F.struct(last.alias("last"), none.alias("best")), step, lambda state: state["best"])
+
+
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, least: float = 0.8, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, template, license, containment and the words (first_word, n_words) of the first window with the most."""
+    """id_col, template, license, containment and the words (first_word, n_words) that hold the most; `miss` is met as nothing is missed."""
     spark = docs.sparkSession
     known = template_table(spark, templates)
-    bands = bands_for(templates, least, miss)
-    by_length = {r["length"]: r["h"] for r in known.groupBy("length").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("h")).collect()}
-    everything = F.array(*[F.lit(h) for h in sorted({h for x in by_length.values() for h in x})])
+    everything = F.array(*[F.lit(r["h"]) for r in known.select(F.explode("hashes").alias("h")).distinct().orderBy("h").collect()])
 
     # One expression, with words and hashes bound once: a filter on a column of hashes would be pushed down and compute
     # them again, and inside a lambda once for each word.
     kept = let(words_column(F.col(text_col)), lambda w: let(shingles(w), lambda h: F.when(F.arrays_overlap(h, everything), F.array(h)).otherwise(F.array().cast("array<array<bigint>>"))))
     near = docs.select(F.col(id_col).alias("__id"), F.explode_outer(kept).alias("__h")).where(F.col("__h").isNotNull())
-    lengths = F.explode(F.array(*[F.struct(F.lit(n).alias("length"), F.array(*map(F.lit, sorted(h))).alias("of")) for n, h in sorted(by_length.items())])).alias("c")
-    starts = near.select("__id", "__h", lengths).where(F.arrays_overlap("__h", "c.of"))
-    windows = starts.select("__id", "c.length", "c.of", "__h", F.explode(F.expr("sequence(1, size(__h), c.length)")).alias("at"))
-    windows = windows.select("__id", "length", "of", "at", F.slice("__h", F.col("at"), 2 * F.col("length") - (SHINGLE - 1)).alias("hashes")).where(F.arrays_overlap("hashes", "of"))
-    banded = windows.select("__id", "length", "at", F.array_distinct("hashes").alias("hashes")).withColumn("m", minhashes(F.col("hashes"), bands))
-    index = known.select("template", "license", "length", F.col("hashes").alias("whole"), F.posexplode(minhashes(F.col("hashes"), bands)).alias("band", "key"))
-    keyed = banded.select("__id", "length", "at", "hashes", F.posexplode("m").alias("band", "key"))
-    met = keyed.join(F.broadcast(index), ["length", "band", "key"]).groupBy("__id", "template", "at").agg(F.first("license").alias("license"), F.first("length").alias("length"), F.first(F.size(F.array_intersect("hashes", "whole")) / F.size("whole")).alias("containment"))
-    best = F.struct(F.col("containment"), (-F.col("at")).alias("before"), F.col("length").alias("length"), F.col("license").alias("license"))
-    found = met.where(F.col("containment") >= least).groupBy("__id", "template").agg(F.max(best).alias("b"))
-    return found.select(F.col("__id").alias(id_col), "template", F.col("b.license").alias("license"), F.col("b.containment").alias("containment"), (-F.col("b.before") - 1).cast("long").alias("first_word"), (2 * F.col("b.length")).cast("long").alias("n_words"))
+    placed = near.select("__id", F.xxhash64("__h").alias("__row"), F.posexplode("__h").alias("at", "hash"))
+    index = known.select("template", "license", F.size("hashes").alias("m"), F.posexplode("hashes").alias("shingle", "hash"))
+    met = placed.join(F.broadcast(index), "hash").groupBy("__id", "__row", "template").agg(F.first("license").alias("license"), F.first("m").alias("m"), F.collect_set(F.struct((F.col("at") + 1).alias("at"), "shingle")).alias("places"))
+    held = met.withColumn("containment", F.size(F.array_distinct(F.transform("places", lambda p: p["shingle"]))) / F.col("m")).where(F.col("containment") >= least)
+    runs = held.select("__id", "template", "license", "containment", shortest(F.sort_array("places"), F.col("m")).alias("run"))
+    best = F.struct(F.col("containment"), (-F.col("run.first_word")).alias("before"), (-F.col("run.n_words")).alias("words"), F.col("license").alias("license"))
+    found = runs.groupBy("__id", "template").agg(F.max(best).alias("b"))
+    return found.select(F.col("__id").alias(id_col), "template", F.col("b.license").alias("license"), F.col("b.containment").alias("containment"), (-F.col("b.before")).cast("long").alias("first_word"), (-F.col("b.words")).cast("long").alias("n_words"))

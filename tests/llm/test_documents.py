@@ -280,3 +280,21 @@ def test_license_scan(spark):
     assert got == [("1", "mit-grant", 1.0), ("3", "mit-grant", round((len(licenses.words_of_template(" ".join(mit.split()[:27]))) - 4) / n, 3)), ("5", "mit-notice", 1.0), ("7", "cc-by-nc-4-notice", 1.0), ("None", "mit-grant", 1.0)]
     assert licenses.scan(empty(spark)).count() == 0
     assert (1 - 1 / 6) ** licenses.bands_for(licenses.TEMPLATES, 0.8, 1e-6) <= 1e-6
+
+
+def test_license_with_inserted_words_at_every_offset(spark):
+    from lodestack.llm import licenses
+
+    mit = licenses.words_of_template(dict((n, t) for n, _, t in licenses.TEMPLATES)["mit-grant"])
+    n, data, want = len(mit), [], []
+    for inserted in (0, 4, 10, 20, 500):
+        for offset in range(n):
+            i = len(data)
+            data.append((i, " ".join([f"a{k}" for k in range(offset)] + mit[: n // 2] + [f"b{k}" for k in range(inserted)] + mit[n // 2 :] + ["end"] * 70)))
+            want.append((i, "mit-grant", round(1 - 4 * (inserted > 0) / (n - 4), 6), offset, n + inserted))
+    data.append((len(data), " ".join(mit + ["then"] * 9 + mit[: n // 2] + ["b"] + mit[n // 2 :])))
+    want.append((len(want), "mit-grant", 1.0, 0, n))
+    data += [(-1, " ".join(mit[: n // 2])), (-1, " ".join(mit[n // 2 :]))]  # rows of one id do not add up
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = licenses.scan(frame).collect()
+    assert sorted((r["doc_id"], r["template"], round(r["containment"], 6), r["first_word"], r["n_words"]) for r in got) == want

@@ -50,13 +50,18 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the 64-bit fingerprint as a signed long."""
+    return _fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("key"))).select("doc_id", "fp")
+
+
+def _fingerprints(docs: DataFrame) -> DataFrame:
+    """docs: (doc_id, text, key) -> (doc_id, key, fp)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(t.as_py()) for t in batch.column(1)], U64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return bounded_batches(docs).mapInArrow(work, "doc_id long, key long, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -186,6 +191,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
 
 
 def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component (rows that share that doc_id all stay)."""
-    kept = near_duplicates(docs, radius, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """Of each component the row with the smallest (doc_id, fingerprint, text), rows without doc_id last.
+
+    Rows alike in doc_id and text are one document and stay together; of rows without doc_id, one stays. Nodes are
+    fingerprints here, so that those of rows without doc_id link too, and rows that share an id are told apart.
+    """
+    text = F.col(text_col).cast("string")
+    fps = written(_fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "key")).alias("first")
+    distinct = written(fps.groupBy("fp").agg(first))
+    roots = components(links(distinct.select("fp", F.col("fp").alias("first")), radius))
+    labels = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("component"), "first")
+    stay = written(labels.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")))
+    keyed = docs.withColumn("__key", F.xxhash64(text))
+    named = keyed.join(stay.where("__id is not null"), (keyed[id_col] == stay["__id"]) & (keyed["__key"] == stay["__key"]), "left_semi").select(*docs.columns)
+    single = keyed.where(F.col(id_col).isNull()).groupBy("__key").agg(F.first(F.struct(*docs.columns)).alias("r"))
+    return named.unionByName(single.join(stay.where("__id is null"), "__key", "left_semi").select("r.*"))

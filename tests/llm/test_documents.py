@@ -108,6 +108,18 @@ def test_simhash_components(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(data[i][0] for i in range(len(data)) if data[i][0] is not None and want[i] == data[i][0])
 
 
+def test_keep_one_chooses_by_row(spark):
+    from lodestack.llm.simhash import keep_one
+
+    lone, copied, x, y, z = (prose(70 + i, 300) for i in range(5))
+    near = next(t for t in (f"{z} {prose(i, 1 + i % 8)}" for i in range(400)) if 0 < (slow_simhash(z) ^ slow_simhash(t)).bit_count() <= 3)
+    data = [(None, lone, "a"), (None, copied, "a"), (None, copied, "b"), (5, x, "a"), (5, y, "a"), (3, y, "a"), (8, z, "a"), (None, near, "a")]
+    frame = docs(spark, [(*r, 1, 2, 3, 4, 5, 6, "w") for r in data])
+    kept = keep_one(frame)
+    assert kept.columns == frame.columns and keep_one(empty(spark)).count() == 0
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == sorted([(-1, lone), (-1, copied), (5, x), (3, y), (8, z)])
+
+
 @pytest.mark.parametrize("radius", [1, 3, 7])
 def test_bit_sliced_pairs(radius):
     from lodestack.llm.simhash import near_pairs

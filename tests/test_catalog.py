@@ -34,3 +34,11 @@ def test_query(spark, sf, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_extraction_parses_every_word(spark, sf):
+    got = {r["document_id"]: (r["n_entities"], r["n_relations"]) for r in catalog.QUERIES["s16_extraction"](spark, sf).collect()}
+    texts = {str(r["doc_id"]): (r["text"] or "").split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert got == {i: (len(w), max(0, len(w) - 1)) for i, w in texts.items()}
+    assert max(n for n, _ in got.values()) > 4

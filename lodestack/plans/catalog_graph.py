@@ -10,7 +10,7 @@ from ..functions.text import content_hash
 from ..functions.vectors import cosine
 from ..operators import config, context, graph, health, registry, vectors
 from ..schema import Scope
-from ..storage import shared_dir
+from ..storage import own_dir
 from . import corpus
 from .catalog_text import CHUNKS, WS
 from .engine import hybrid
@@ -371,7 +371,7 @@ def stream_usage_windows(spark, sf):
 
     from ..streaming.jobs import run_available, usage_windows
 
-    base = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
+    base = f"{own_dir(spark)}/usage-{uuid.uuid4().hex}"
     events = spark.readStream.schema(corpus.table(spark, sf, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
     run_available(usage_windows(events, late="365 days"), f"{base}/out", f"{base}/checkpoint", "complete")
     return spark.read.parquet(f"{base}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "calls", F.round("value", 4).alias("value"))

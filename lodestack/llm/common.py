@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import own_dir, written
+
+__all__ = ["own_dir", "written"]
+
 #: A word is `[^\x20\x09-\x0D]+`; these six characters separate words.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = "[\\x20\\x09-\\x0D]+"
@@ -22,21 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.environ.setdefault("LODESTACK_TEST_SHARED", tempfile.mkdtemp(prefix="lodestack-"))
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lodestack-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fan_out(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Partitions to deal df's data into: as many as the session's shuffle partitions, more where the input's size asks for it.
 
@@ -48,11 +33,15 @@ def fan_out(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1 << 17))
 
 
-def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df, with Arrow batches of at most `rows` rows from now on in its session: long texts make large batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, rows)
+def bounded_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> DataFrame:
+    """df, with Arrow batches of at most `rows` rows and about `size` bytes from now on in its session: long texts make large batches.
+
+    Spark reads both settings when a plan runs, so they cannot be set for one plan alone; they are lowered, never raised.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(conf.get(key).rstrip("b")) <= most:
+            conf.set(key, most)
     return df
 
 

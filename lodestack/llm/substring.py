@@ -1,49 +1,52 @@
 """Operator 8, substring dedup: words that lie in a long passage which also starts in a document with a smaller id go.
 
 A suffix automaton of all references cannot be broadcast, since it grows with the corpus. So references are cut into
-shards that hold only what can match, and the documents' own passages travel to the shards:
+shards that hold only what can match, and passages are streamed through the automaton of their shard:
 
 1. Every window of `length` words picks as its anchor the smallest hash of the `gram`-word sequences in it. Equal
-   windows pick equal anchors. A run of consecutive windows with one anchor is a chunk; a chunk is (anchor, hash of its
-   words, place), about one for every dozen words. Chunks go to the shard of their anchor. A task first resolves
-   the chunks whose equal has come by in a smaller document of the same task, so a passage that many documents share
-   is sent once by each task.
-2. A shard marks every chunk that equals one of a smaller document: all its windows are repeats. What is left are
-   anchors with several different chunks, which happens at the ends of passages and at edits. Only of these the
-   words are asked for.
-3. Documents, dealt by id, answer with the words of the chunks asked for. Per anchor, chunks come in the order of their
-   documents: each is streamed through the suffix automaton of those before, whose matching statistics give
-   the longest earlier match that ends at each word; where it reaches `length`, the maximal span goes. Then the
-   chunk is added to the automaton, unless each of its windows is a repeat.
-4. Spans return to the documents, dealt as before.
-
-Words are compared as 64-bit hashes and chunks as 64-bit hashes within a 64-bit anchor.
+   windows pick equal anchors. A run of consecutive windows with one anchor is a passage, known by (anchor, hash of its
+   words): about one for every two dozen words. A task sends a passage once: further holders in documents with larger ids
+   are copies of what is in the shard, so that a passage which many documents share makes a row a task, not one a document.
+2. Only anchors that two documents or more have can hold a match. The words of each of their passages are asked for
+   once, from the first document that has it.
+3. An anchor is a shard. Its passages are streamed in the order of their first documents: matching statistics against the
+   suffix automaton of all passages of smaller documents give, for each word, the longest earlier match that ends there;
+   where it reaches `length`, the maximal span goes. Then the passage is added to the automaton, unless each of its
+   windows matched already, and, if later documents have it too, streamed again for these.
+4. Spans are joined to the holders of their passages and by document, and a last pass over the texts cuts them.
+
+All but the automata are Spark's own shuffles, windows and joins, which spill; Python workers stream batches and hold one
+document and one anchor's automaton. An anchor with more than `heavy` words of different passages (a boilerplate
+with very many continuations) is no shard: its windows are told apart by hash, grouped by Spark, and those of smaller
+documents mark the others. That gives the same spans, in any number of tasks.
+
+Words are compared as words in the automata; anchors, passages and heavy windows as 64-bit hashes.
 
 Defined results: a null text has no words; rows that share a doc_id are one document each and take nothing from each
-other; a row without doc_id is compared to none and kept whole; an empty table gives no rows.
+other; a row without doc_id is compared to none and kept whole; an empty table gives no rows; other columns, whatever
+their names, are carried along by remove_repeats; a text of any length is one row's work.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections import defaultdict
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import U64, WordHashes, bounded_batches, fan_out, mixed
+from .common import U64, WordHashes, bounded_batches, mixed, written
 
 B = U64(0x9E3779B97F4A7C15)
 B_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: doc is the id; row tells rows that share an id apart by their text.
-CHUNK = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("at", "<u4"), ("n", "<u4")])
-PIECE = "<QqIII"
-#: Chunks that a task holds before it sends them on.
-HELD = 400_000
+CHUNK = np.dtype([("anchor", "<i8"), ("content", "<i8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<i4"), ("n", "<i4")])
+CHUNKS = "anchor long, content long, doc long, key long, at int, n int, repeat boolean"
+#: Passages that a task holds before it sends them on, and an anchor's words beyond which it is split by window.
+HELD, HEAVY = 200_000, 100_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -74,15 +77,19 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return m
 
 
+def _sums(h: np.ndarray, powers: Powers) -> np.ndarray:
+    powers.to(len(h) + 1)
+    return np.concatenate((np.zeros(1, U64), np.cumsum(h * powers.up[: len(h)], dtype=U64)))
+
+
 def chunks_of(h: np.ndarray, length: int, gram: int, powers: Powers) -> tuple[np.ndarray, ...]:
-    """h: hashes of a document's words -> anchor, content hash, first window and number of windows of each chunk."""
+    """h: hashes of a document's words -> anchor, content hash, first window and number of windows of each passage."""
     n = len(h)
     if n < length:
         none = np.zeros(0, U64)
         return none, none, none.astype(np.int64), none.astype(np.int64)
-    powers.to(n + 1)
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, U64), np.cumsum(h * powers.up[:n], dtype=U64)))
+        sums = _sums(h, powers)
         grams = mixed((sums[gram:] - sums[:-gram]) * powers.down[: n - gram + 1])
         anchor = sliding_min(grams, length - gram + 1)
         at = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
@@ -144,61 +151,42 @@ class SuffixAutomaton:
         return _union(self.matches(xs, least))
 
 
-def matched_spans(group: list[tuple[int, int, int, list[int]]], least: int) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
-    """group: (doc, row, at, word hashes) of one anchor -> (doc, row, at, spans found in chunks of smaller docs)."""
-    automaton, out, waiting, separator = SuffixAutomaton(), [], [], -1
-    for k, (doc, row, at, words) in enumerate(sorted(group)):
-        if k and doc != before:
-            for w in waiting:
-                for x in w:
-                    automaton.add(x)
-                automaton.add(separator)
-                separator -= 1
-            waiting = []
-        found = automaton.matches(words, least)
-        if found:
-            out.append((doc, row, at, _union(found)))
-        if len(found) <= len(words) - least:  # a window is new; matches of several documents may cover it all the same
-            waiting.append(words)
-        before = doc
-    return out
-
-
-def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
-    return (anchor >> U64(20)) % U64(shards)
-
-
-def _home(doc: np.ndarray, parts: int) -> np.ndarray:
-    """pmod(xxhash64(doc), parts), as Spark has it for a long."""
-    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turned = lambda x, n: (x << U64(n)) | (x >> U64(64 - n))
-    with np.errstate(over="ignore"):
-        h = turned(doc.astype(np.int64).view(U64) * p2, 31) * p1 ^ (U64(42) + p5 + U64(8))
-        h = turned(h, 27) * p1 + p4
-        h = (h ^ (h >> U64(33))) * p2
-        h = (h ^ (h >> U64(29))) * p3
-        h = h ^ (h >> U64(32))
-    return np.mod(h.view(np.int64), parts)
-
-
-def _row(text: str | None) -> int:
-    return zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
-
-
-def _dealt(records: np.ndarray, part: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    if len(part):
-        order = np.argsort(part, kind="stable")
-        records, part = records[order], part[order]
-        cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        blobs = [records[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int64)), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "data"])
-
-
-DEALT = "part long, kind int, data binary"
-REPEAT, ASKED = 0, 1
-
-
-ARROW = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+class Shard:
+    """The passages of one anchor, which come in the order of their first documents."""
+
+    def __init__(self, least: int):
+        self.least, self.automaton, self.names, self.seen = least, SuffixAutomaton(), {}, set()
+        self.waiting: list[tuple] = []
+        self.doc, self.separator, self.empty = None, -1, True
+
+    def stream(self, content: int, doc: int, again: bool, words: list[bytes]) -> Iterator[tuple]:
+        """(content, for later holders, start, end) of spans found in passages of smaller documents."""
+        if content in self.seen:
+            return
+        if doc != self.doc:
+            yield from self.flush()
+            self.doc = doc
+        self.seen.add(content)
+        xs = [self.names.setdefault(w, len(self.names)) for w in words]
+        found = [] if self.empty else self.automaton.matches(xs, self.least)
+        for s, e in _union(found):
+            yield content, False, s, e
+        # Matches of several documents may cover a passage and still leave a window new.
+        self.waiting.append((content, again, xs, len(found) <= len(xs) - self.least))
+
+    def flush(self) -> Iterator[tuple]:
+        """Adds the passages of the document that is done, and tells what later holders of them match."""
+        for _, _, xs, new in self.waiting:
+            if new:
+                self.empty = False
+                for x in xs:
+                    self.automaton.add(x)
+                self.automaton.add(self.separator)
+                self.separator -= 1
+        for content, again, xs, _ in self.waiting:
+            for s, e in self.automaton.spans(xs, self.least) if again else ():
+                yield content, True, s, e
+        self.waiting.clear()
 
 
 def _new(c: np.ndarray, *names: str) -> np.ndarray:
@@ -214,114 +202,131 @@ def _first(new: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def _joined(table: pa.Table, kind: int, dtype) -> np.ndarray:
-    found = [np.frombuffer(x, dtype) for k, x in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True) if k == kind]
-    return np.concatenate(found) if found else np.zeros(0, dtype)
-
+def passages(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """texts: (doc, key, text) -> CHUNKS. `repeat`: a smaller document of the same task has the passage too."""
 
-def repeat_spans(docs: DataFrame, then: Callable, schema: str, length: int = 50, gram: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row of `schema` for each row of docs: then(row as a dict, words, [start, end) spans of repeated words) gives its values."""
-    docs = bounded_batches(docs).withColumn(text_col, F.col(text_col).cast("string"))
-    parts = fan_out(docs)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
         held, size = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             c = np.concatenate(held)
             held.clear()
-            c = c[np.lexsort((c["at"], c["doc"], c["content"], c["anchor"]))]
-            known = c["doc"] > c["doc"][_first(_new(c, "anchor", "content"))]
-            repeated, rest = c[known], c[~known]
-            yield from _dealt(repeated, _home(repeated["doc"], parts), REPEAT)
-            yield from _dealt(rest, _shard(rest["anchor"], parts), ASKED)
+            c = c[np.lexsort((c["at"], c["key"], c["doc"], c["content"], c["anchor"]))]
+            repeat = c["doc"] > c["doc"][_first(_new(c, "anchor", "content"))]
+            c["anchor"][repeat] = c["content"][repeat] = 0
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c[x])) for x in CHUNK.names), pa.array(repeat)], names=[*CHUNK.names, "repeat"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                anchor, content, at, n = chunks_of(hashes.of(split_words(text)), length, gram, powers)
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                anchor, content, at, n = chunks_of(hashes.of(split_words(text.as_py())), length, gram, powers)
                 if len(at):
                     c = np.empty(len(at), CHUNK)
-                    c["anchor"], c["content"], c["doc"], c["row"], c["at"], c["n"] = anchor, content, doc, _row(text), at, n
+                    c["anchor"], c["content"], c["doc"], c["key"], c["at"], c["n"] = anchor.view(np.int64), content.view(np.int64), doc, key, at, n
                     held.append(c)
                     size += len(c)
                     if size >= HELD:
-                        yield from flush()
+                        yield flush()
                         size = 0
         if held:
-            yield from flush()
-
-    def resolve(table: pa.Table) -> pa.Table:
-        """One shard: repeats go home; of anchors with several contents, the first chunk of each content is asked for."""
-        r = _joined(table, REPEAT, CHUNK)
-        out = [*_dealt(r, _home(r["doc"], parts), REPEAT)]
-        c = _joined(table, ASKED, CHUNK)
-        if len(c):
-            c = c[np.lexsort((c["at"], c["doc"], c["content"], c["anchor"]))]
-            new_anchor, new_content = _new(c, "anchor"), _new(c, "anchor", "content")
-            repeated = c["doc"] > c["doc"][_first(new_content)]
-            at = np.flatnonzero(new_anchor)
-            several = (np.add.reduceat(new_content.astype(np.int64), at) > 1) & (np.maximum.reduceat(c["doc"], at) > np.minimum.reduceat(c["doc"], at))
-            ask = ~repeated & several[np.cumsum(new_anchor) - 1]
-            for kind, x in ((REPEAT, c[repeated]), (ASKED, c[ask])):
-                out += _dealt(x, _home(x["doc"], parts), kind)
-        return pa.Table.from_batches(out, schema=ARROW)
-
-    def answer(key, left: pa.Table, table: pa.Table) -> pa.Table:
-        """One home: documents tell the words that are asked for; known repeats pass through."""
-        asked, wanted = _joined(table, ASKED, CHUNK), defaultdict(list)
-        for a, d, r, at, n in zip(*(asked[x].tolist() for x in ("anchor", "doc", "row", "at", "n")), strict=True):
-            wanted[d, r].append((a, at, n + length - 1))
-        ids, hashes, to = {d for d, _ in wanted}, WordHashes(), defaultdict(list)
-        for doc, text in zip(left[id_col].to_pylist(), left[text_col], strict=True) if ids else ():
-            if doc in ids and (pieces := wanted.pop((doc, _row(text.as_py())), None)):  # a repeated row need not answer twice
-                h = hashes.of(split_words(text.as_py()))
-                for a, at, n in pieces:
-                    to[int(_shard(np.array([a], U64), parts)[0])].append(struct.pack(PIECE, a, doc, _row(text.as_py()), at, n) + h[at : at + n].tobytes())
-        rows = [(p, ASKED, b"".join(x)) for p, x in to.items()]
-        if len(known := _joined(table, REPEAT, CHUNK)):
-            rows.append((key[0].as_py(), REPEAT, known.tobytes()))
-        return pa.Table.from_pylist([dict(zip(ARROW.names, x, strict=True)) for x in rows], schema=ARROW)
-
-    def match(table: pa.Table) -> pa.Table:
-        """One shard: matching statistics of each chunk against the automaton of the earlier chunks of its anchor."""
-        groups, spans = defaultdict(list), []
-        for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
-            i = 0
-            while kind == ASKED and i < len(data):
-                a, doc, row, at, n = struct.unpack_from(PIECE, data, i)
-                groups[a].append((doc, row, at, np.frombuffer(data, "<u8", n, i + struct.calcsize(PIECE)).tolist()))
-                i += struct.calcsize(PIECE) + 8 * n
-        for group in groups.values():
-            spans += [(doc, row, at + s, e - s - length + 1) for doc, row, at, found in matched_spans(group, length) for s, e in found]
-        out = np.zeros(len(spans), CHUNK)
-        for name, values in zip(("doc", "row", "at", "n"), zip(*spans, strict=True), strict=False):
-            out[name] = values
-        out = np.concatenate((out, _joined(table, REPEAT, CHUNK)))
-        return pa.Table.from_batches([*_dealt(out, _home(out["doc"], parts), REPEAT)], schema=ARROW)
-
-    def finish(left: pa.Table, table: pa.Table) -> pa.Table:
-        spans = defaultdict(list)
-        c = _joined(table, REPEAT, CHUNK)
-        for d, r, at, n in zip(*(c[x].tolist() for x in ("doc", "row", "at", "n")), strict=True):
-            spans[d, r].append((at, at + n + length - 1))
-        ids = {d for d, _ in spans}
-        rows = left.drop_columns(["__home"])
-        out = [then(row, split_words(row[text_col]), _union(spans[d, _row(row[text_col])]) if (d := row[id_col]) in ids else []) for x in rows.to_batches(64) for row in x.to_pylist()]
-        return pa.Table.from_pylist(out, schema=target)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+            yield flush()
+
+    return texts.where("doc is not null").select("doc", "key", "text").mapInArrow(work, CHUNKS)
+
+
+def shared(chunks: DataFrame, length: int, heavy: int) -> DataFrame:
+    """Passages of anchors that several documents have, with `first` (asked for its words), `later` and `again`."""
+    of_anchor, of_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
+    rank = F.row_number().over(of_content.orderBy("doc", "key", "at"))
+    told = chunks.where("not repeat").drop("repeat").withColumn("first", rank == 1).withColumns({"lowest": F.min("doc").over(of_content), "highest": F.max("doc").over(of_content)})
+    told = told.withColumns({"low": F.min("doc").over(of_anchor), "high": F.max("doc").over(of_anchor), "words": F.sum(F.when(F.col("first"), F.col("n") + (length - 1))).over(of_anchor)})
+    columns = ("anchor", "content", "doc", "key", "at", "n", "first", (F.col("doc") > F.col("lowest")).alias("later"), (F.col("highest") > F.col("lowest")).alias("again"), (F.col("words") > heavy).alias("heavy"))
+    return told.where("low < high").select(*columns)
+
+
+def _asked(texts: DataFrame, which: DataFrame) -> DataFrame:
+    """texts joined with the passages of theirs in `which`: a row for each text that has any."""
+    asked = which.groupBy("key").agg(F.collect_set(F.struct("anchor", "content", "doc", "at", "n", "again")).alias("asked"))
+    return texts.join(asked, "key")
+
+
+def _spans_of_heavy(texts: DataFrame, heavy: DataFrame, length: int) -> DataFrame:
+    """(key, start, end) of repeated passages of heavy anchors: by the hashes of their windows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, powers = WordHashes(), Powers()
+        for batch in batches:
+            for key, text, asked in zip(*(batch.column(x).to_pylist() for x in ("key", "text", "asked")), strict=True):
+                h = hashes.of(split_words(text))
+                at = np.concatenate([np.arange(a["at"], a["at"] + a["n"]) for a in asked])
+                with np.errstate(over="ignore"):
+                    sums = _sums(h, powers)
+                    window = mixed((sums[at + length] - sums[at]) * powers.down[at]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(window), pa.array(np.full(len(at), asked[0]["doc"])), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], names=["window", "doc", "key", "at"])
+
+    asked = _asked(texts, heavy.where("not later"))
+    windows = written(asked.select("key", "text", "asked").mapInArrow(work, "window long, doc long, key long, at int"))
+    firsts = windows.groupBy("window").agg(F.min("doc").alias("first"))
+    hit = windows.join(firsts, "window").where("doc > first").select("key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    return hit.unionByName(heavy.where("later").select("key", F.col("at").alias("start"), (F.col("at") + F.col("n") + (length - 1)).alias("end")))
+
+
+def _spans(texts: DataFrame, among: DataFrame, length: int) -> DataFrame:
+    """(key, start, end) of repeated passages, by the automata of their anchors."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("again", pa.bool_()), ("words", pa.binary())])
+        for batch in batches:
+            for key, text, asked in zip(*(batch.column(x).to_pylist() for x in ("key", "text", "asked")), strict=True):
+                w = split_words(text)
+                yield pa.RecordBatch.from_pylist([a | {"key": key, "words": b" ".join(w[a["at"] : a["at"] + a["n"] + length - 1])} for a in asked], schema=schema)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = anchor = None
+        for batch in batches:
+            out: list[tuple] = []
+            for a, content, doc, again, words in zip(*(batch.column(x).to_pylist() for x in ("anchor", "content", "doc", "again", "words")), strict=True):
+                if shard is None or a != anchor:
+                    if shard:
+                        out += ((anchor, *x) for x in shard.flush())
+                    shard, anchor = Shard(length), a
+                out += ((anchor, *x) for x in shard.stream(content, doc, again, words.split(b" ")))
+            yield _found(out)
+        if shard:
+            yield _found([(anchor, *x) for x in shard.flush()])
+
+    def _found(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else ((),) * 5
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()), strict=True)], names=["anchor", "content", "later", "s", "e"])
+
+    told = _asked(texts, among.where("first")).mapInArrow(answer, "anchor long, content long, doc long, key long, at int, again boolean, words binary")
+    found = told.repartition("anchor").sortWithinPartitions("anchor", "doc", "key", "at").mapInArrow(match, "anchor long, content long, later boolean, s int, e int")
+    return found.join(among, ["anchor", "content", "later"]).select("key", (F.col("at") + F.col("s")).alias("start"), (F.col("at") + F.col("e")).alias("end"))
+
+
+def repeat_spans(docs: DataFrame, then: Callable[[pa.RecordBatch, Iterator[tuple]], list], schema: str, length: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
+    """A row of `schema` for each row of docs: then(its columns by place, (words, [start, end) spans) of each) gives the values."""
+    bounded_batches(docs)
+    text = F.col(f"`{text_col}`").cast("string")
+    number = F.col(f"`{id_col}`").cast("long")
+    plain = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    texts = docs.select(F.xxhash64(number, text).alias("key"), number.alias("doc"), text.alias("text"), *(c for c, name in zip(plain, docs.columns, strict=True) if name != text_col))
+    chunks = written(passages(texts, length, gram))
+    among = written(shared(chunks, length, heavy))
+    spans = chunks.where("repeat").select("key", F.col("at").alias("start"), (F.col("at") + F.col("n") + (length - 1)).alias("end"))
+    spans = spans.unionByName(_spans(texts, among.where("not heavy"), length))
+    if among.where("heavy").limit(1).count():
+        spans = spans.unionByName(_spans_of_heavy(texts, among.where("heavy"), length))
 
     target = to_arrow_schema(StructType.fromDDL(schema))
-    home = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(F.col(id_col).cast("long"))), F.lit(parts).cast("long"))
-    homes = docs.withColumn("__home", home)
-    sent = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(send, DEALT)
-    asked = sent.groupBy("part").applyInArrow(resolve, DEALT)
-    words = homes.groupBy("__home").cogroup(asked.groupBy("part")).applyInArrow(answer, DEALT)
-    found = words.groupBy("part").applyInArrow(match, DEALT)
-    return homes.groupBy("__home").cogroup(found.groupBy("part")).applyInArrow(finish, schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = ((split_words(t.as_py()), _union([(x["start"], x["end"]) for x in found or () if i is not None])) for i, t, found in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(then(batch, each), target, strict=True)], names=target.names)
+
+    by_text = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return texts.join(by_text, "key", "left").mapInArrow(cut, schema)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -342,24 +347,30 @@ def without(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
     return kept + words[at:]
 
 
-def removal_digest(docs: DataFrame, length: int = 50) -> DataFrame:
+def removal_digest(docs: DataFrame, length: int = 50, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space, for each row."""
-    import hashlib
 
-    def then(row, words, spans):
-        kept = without(words, spans)
-        return {"doc_id": row["doc_id"], "n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest()}
+    def then(batch: pa.RecordBatch, each: Iterator[tuple]) -> list:
+        sizes, gone, sha = [], [], []
+        for words, spans in each:
+            kept = without(words, spans)
+            sizes.append(len(words))
+            gone.append(len(words) - len(kept))
+            sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        return [batch.column("doc"), sizes, gone, sha]
 
-    return repeat_spans(docs.select("doc_id", "text"), then, "doc_id long, n_words long, n_removed long, kept_sha256 string", length)
+    return repeat_spans(docs.select("doc_id", "text"), then, "doc_id long, n_words long, n_removed long, kept_sha256 string", length, heavy=heavy)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """docs with each text that has repeated words replaced by its kept words, joined by one space; other texts stay as they are."""
+    names = list(docs.columns)
 
-    def then(row, words, spans):
-        return row | {text_col: b" ".join(without(words, spans)).decode("utf-8", "surrogatepass")} if spans else row
+    def then(batch: pa.RecordBatch, each: Iterator[tuple]) -> list:
+        texts = [b" ".join(without(words, spans)).decode("utf-8", "surrogatepass") if spans else t.as_py() for t, (words, spans) in zip(batch.column("text"), each, strict=True)]
+        return [texts if name == text_col else batch.column(f"c{i}") for i, name in enumerate(names)]
 
-    return repeat_spans(docs, then, _ddl(docs), length, id_col=id_col, text_col=text_col)
+    return repeat_spans(docs, then, _ddl(docs), length, id_col=id_col, text_col=text_col, heavy=heavy)
 
 
 def _ddl(docs: DataFrame) -> str:

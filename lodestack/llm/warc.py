@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import bounded_batches, own_dir, written
 
 #: Fixed values of the Zstandard seekable format: magic of the skippable frame and of its footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -211,5 +211,5 @@ def read_record(path: str, frame: int, at: int) -> dict:
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
     """What the archives of pages say of each page, read back from them."""
-    index = write_bundles(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", least=least)
+    index = write_bundles(pages, f"{own_dir(spark)}/warc-{uuid.uuid4().hex}", least=least)
     return read_bundles(index, payloads=False).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

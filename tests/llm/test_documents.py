@@ -220,6 +220,19 @@ def test_substring_removal_of_windows_across_a_seam(spark):
     assert [x[2] for x in got if x[0] % 4 == 3] == [50] * 20
 
 
+def test_substring_removal_of_a_hot_passage(spark):
+    """A passage with many continuations is one anchor's: split by window (heavy) or not, the spans are the same."""
+    from lodestack.llm.substring import removal_digest
+
+    hot = prose(7, 70, 10**6)
+    data = [(i + 1, f"{prose(200 + i, 3 + i % 40, 10**6)} {hot} {prose(300 + i % 90, 60, 10**6)}", "a") for i in range(120)]
+    data += [(1 + i % 50, f"{hot} {hot}", "a") for i in range(60)]
+    frame = spark.createDataFrame([(*x, 1, 2, 3, 4, 5, 6, "w") for x in data], DDL).repartition(6)
+    want = sorted(slow_removal(data, 50))
+    for heavy in (1, 2000, 10**9):
+        assert sorted(tuple(x) for x in removal_digest(frame, 50, heavy).collect()) == want
+
+
 def test_remove_repeats_keeps_other_texts_and_columns(spark):
     from lodestack.llm.substring import remove_repeats
 

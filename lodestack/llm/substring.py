@@ -238,7 +238,7 @@ def shared(chunks: DataFrame, length: int, heavy: int) -> DataFrame:
     """Passages of anchors that several documents have, with `first` (asked for its words), `later` and `again`."""
     of_anchor, of_content = Window.partitionBy("anchor"), Window.partitionBy("anchor", "content")
     rank = F.row_number().over(of_content.orderBy("doc", "key", "at"))
-    told = chunks.where("not repeat").drop("repeat").withColumn("first", rank == 1).withColumns({"lowest": F.min("doc").over(of_content), "highest": F.max("doc").over(of_content)})
+    told = chunks.where("not repeat").drop("repeat").repartition("anchor").withColumn("first", rank == 1).withColumns({"lowest": F.min("doc").over(of_content), "highest": F.max("doc").over(of_content)})
     told = told.withColumns({"low": F.min("doc").over(of_anchor), "high": F.max("doc").over(of_anchor), "words": F.sum(F.when(F.col("first"), F.col("n") + (length - 1))).over(of_anchor)})
     columns = ("anchor", "content", "doc", "key", "at", "n", "first", (F.col("doc") > F.col("lowest")).alias("later"), (F.col("highest") > F.col("lowest")).alias("again"), (F.col("words") > heavy).alias("heavy"))
     return told.where("low < high").select(*columns)
@@ -252,22 +252,41 @@ def _asked(texts: DataFrame, which: DataFrame) -> DataFrame:
 
 def _spans_of_heavy(texts: DataFrame, heavy: DataFrame, length: int) -> DataFrame:
     """(key, start, end) of repeated passages of heavy anchors: by the hashes of their windows."""
+    names = ("window", "doc", "key", "at")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            window, doc, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, window))
+            window, doc, key, at = window[order], doc[order], key[order], at[order]
+            new = np.ones(len(window), bool)
+            new[1:] = window[1:] != window[:-1]
+            repeat = doc > doc[_first(new)]
+            # What a smaller document of this task has too is settled; it need not meet the others of its window.
+            window = np.where(repeat, mixed(key.view(U64) + at.astype(U64)).view(np.int64), window)
+            held.clear()
+            return pa.RecordBatch.from_arrays([*map(pa.array, (window, doc, key, at.astype(np.int32), repeat))], names=[*names, "repeat"])
+
         for batch in batches:
             for key, text, asked in zip(*(batch.column(x).to_pylist() for x in ("key", "text", "asked")), strict=True):
-                h = hashes.of(split_words(text))
                 at = np.concatenate([np.arange(a["at"], a["at"] + a["n"]) for a in asked])
                 with np.errstate(over="ignore"):
-                    sums = _sums(h, powers)
+                    sums = _sums(hashes.of(split_words(text)), powers)
                     window = mixed((sums[at + length] - sums[at]) * powers.down[at]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(window), pa.array(np.full(len(at), asked[0]["doc"])), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], names=["window", "doc", "key", "at"])
+                held.append((window, np.full(len(at), asked[0]["doc"]), np.full(len(at), key), at))
+                size += len(at)
+                if size >= HELD:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
-    asked = _asked(texts, heavy.where("not later"))
-    windows = written(asked.select("key", "text", "asked").mapInArrow(work, "window long, doc long, key long, at int"))
-    firsts = windows.groupBy("window").agg(F.min("doc").alias("first"))
-    hit = windows.join(firsts, "window").where("doc > first").select("key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    windows = _asked(texts, heavy.where("not later")).mapInArrow(work, "window long, doc long, key long, at int, repeat boolean")
+    first = F.min("doc").over(Window.partitionBy("window"))
+    hit = windows.withColumn("first", first).where("repeat or doc > first").select("key", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
     return hit.unionByName(heavy.where("later").select("key", F.col("at").alias("start"), (F.col("at") + F.col("n") + (length - 1)).alias("end")))
 
 

@@ -125,6 +125,90 @@ def test_reseating_matches_the_exact_distribution():
     assert np.abs(np.bincount(t, minlength=4)[1:] / n - w / w.sum()).max() < 0.03
 
 
+@pytest.mark.parametrize("c, d, p, tables", [(3, 0.5, 0.2, 4), (20, 0.75, 0.05, 50), (60, 0.8, 0.01, 300), (200, 0.7, 0.02, 300), (600, 0.7, 0.02, 300), (2000, 0.9, 0.3, 1000), (2000, 0.8, 0.001, 30), (2000, 0.3, 0.05, 100), (2000, 0.5, 0.9, 3000)])
+def test_mean_tables_match_the_recursion(c, d, p, tables):
+    from lodestack.llm.pitman_yor import reseat
+
+    a, da, n = (1 + d * tables) * p, d * p, 20_000 if c <= 512 else 4000
+    weight, t = np.zeros(c + 2), np.arange(c + 2)
+    weight[1] = 1
+    for i in range(1, c):  # weight of t tables after i + 1 customers
+        weight = np.maximum(weight * (i - d * t), 0) + np.append(0, weight[:-1] * (a + da * t[:-1]))
+        weight[0] = 0
+        weight /= weight.sum()
+    mean = (weight * t).sum()
+    sd = math.sqrt((weight * (t - mean) ** 2).sum())
+    got = reseat(np.full(n, c), np.full(n, a), np.full(n, da), d, np.random.default_rng(c))
+    assert abs(got.mean() - mean) < 0.01 * mean + 4 * sd / math.sqrt(n)
+
+
+def test_lm_score_matches_a_sampler_of_one_customer_at_a_time(spark):
+    """Seats single customers by the definition of the process, tables and all, and averages over many sweeps."""
+    from lodestack.llm.pitman_yor import START, discount, score
+
+    texts = ["a b a c", "a b", "b a b a d", "c a b", "a a", "d c a b a"] * 2
+    probe = "a b c a"
+    sentences = [[START, *t.split(), "end"] for t in texts]
+    pairs = [(s[i], s[i + 1]) for s in sentences for i in range(len(s) - 1)]
+    count = Counter(pairs)
+    d = discount(sum(n == 1 for n in count.values()), sum(n == 2 for n in count.values()))
+    v = len({w for _, w in pairs})
+    r = random.Random(5)
+    seats: dict = {}  # (context, word) -> customers of each table; the root's context is None
+
+    def tables(u):
+        return sum(len(t) for (x, _), t in seats.items() if x == u)
+
+    def prob(u, w, d0):
+        if u == "base":
+            return 1 / (v + 1)
+        t, disc, parent = seats.get((u, w), []), d0 if u is None else d, "base" if u is None else None
+        n = sum(sum(t) for (x, _), t in seats.items() if x == u)
+        return (sum(t) - disc * len(t) + (1 + disc * tables(u)) * prob(parent, w, d0)) / (1 + n)
+
+    def seat(u, w, d0):
+        disc, t = d0 if u is None else d, seats.setdefault((u, w), [])
+        new = (1 + disc * tables(u)) * prob("base" if u is None else None, w, d0)
+        at = r.choices(range(len(t) + 1), [n - disc for n in t] + [new])[0]
+        if at == len(t):
+            t.append(1)
+            if u is not None:
+                seat(None, w, d0)
+        else:
+            t[at] += 1
+
+    def leave(u, w):
+        t = seats[u, w]
+        at = r.choices(range(len(t)), t)[0]
+        t[at] -= 1
+        if not t[at]:
+            del t[at]
+            if u is not None:
+                leave(None, w)
+
+    d0 = 0.5
+    for u, w in pairs:
+        seat(u, w, d0)
+    sums, n, d0s = np.zeros(5), 0, []
+    for sweep in range(1500):
+        for u, w in pairs:
+            leave(u, w)
+            seat(u, w, d0)
+        tw = Counter()
+        for (u, w), t in seats.items():
+            tw[w] += len(t) if u is not None else 0
+        d0 = discount(sum(x == 1 for x in tw.values()), sum(x == 2 for x in tw.values()))
+        if sweep >= 100:
+            s = [START, *probe.split(), "end"]
+            sums += [prob(s[i], s[i + 1], d0) for i in range(5)]
+            n += 1
+    want = np.log10(sums / n).sum()
+    data = [(i, t, "a", 1, 2, 3, 4, 5, 6, "w") for i, t in enumerate(texts)] + [(1000, probe, "a", 1, 2, 3, 4, 5, 6, "w")]
+    # A run ends on one state of so small a root; the mean of runs is compared.
+    got = [score(docs(spark, data), F.col("doc_id") >= 1000, burn_in=k, samples=30).where("doc_id = 1000").first()["score"] for k in (3, 4, 5, 6, 7, 8)]
+    assert abs(np.mean(got) - want) < 0.08, (got, want)
+
+
 # -- chat ------------------------------------------------------------------------------------------------------------------------
 CHAT = "conv_id long, turn long, role string, text string, window int, loss int, n_tokens string"
 

@@ -11,7 +11,8 @@ and the others are revisits that refer to it and have no payload; smaller payloa
 
 Defined results: a null payload is an empty one; a row without id is a response unless its payload is kept under an id;
 rows that share the id which is the largest of their payload are all responses; a null url is left out of its record;
-an empty table gives no bundles and an empty index.
+an empty table gives no bundles and an empty index; other columns are ignored, whatever their names. A record lies whole in
+one frame, so a payload of any length that a row holds makes a frame of its own length.
 """
 
 from __future__ import annotations
@@ -139,8 +140,8 @@ class Reader:
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 30, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes the records under folder and returns their index, which is written already."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    # Only payloads that come again are joined; the payloads themselves need no other shuffle.
+    rows = bounded_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    # The keepers of payloads that come again: where there are few, Spark broadcasts them, else rows meet by digest.
     again = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("sha", "keeper")
     told = rows.join(again, "sha", "left").select("id", "url", F.when((F.octet_length("payload") >= least) & ~F.col("keeper").eqNullSafe(F.col("id")), F.col("keeper")).alias("refers_to"), "payload")
 
@@ -183,8 +184,8 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     return written(told.mapInArrow(work, INDEX))
 
 
-def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the bundles in the index, read frame by frame."""
+def read_bundles(index: DataFrame, payloads: bool = True, task_bytes: int = 16 << 20) -> DataFrame:
+    """The records of the bundles in the index, read frame by frame; a task unpacks about task_bytes."""
     names = [x.split()[0] for x in RECORD.split(", ")]
     schema = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)))
 
@@ -200,8 +201,11 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                     rows.append(row if payloads else row | {"payload": None})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    frames = index.select("path", "frame").distinct().sortWithinPartitions("path", "frame")
-    return frames.mapInArrow(work, RECORD)
+    # Tasks by the bytes to unpack: the index itself is so small that its own size would give one.
+    frames = index.groupBy("path", "frame").agg(F.sum("size").alias("size"))
+    tasks = max(1, -(-(frames.agg(F.sum("size")).first()[0] or 0) // task_bytes))
+    dealt = frames.repartitionByRange(tasks, "path", "frame") if tasks > 1 else frames
+    return dealt.select("path", "frame").sortWithinPartitions("path", "frame").mapInArrow(work, RECORD)
 
 
 def read_record(path: str, frame: int, at: int) -> dict:

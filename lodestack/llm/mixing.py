@@ -15,7 +15,9 @@ times its source's words, and the excess is shared out by weight until none is a
 
 Defined results: a null text has no words; documents without words are taken once and count nothing; rows that share an
 id are one document each; a source whose target equals `most` times its words takes every document `most` times; an
-empty table gives no rows. The same rows give the same result in any order and partitioning.
+empty table gives no rows; a dual that does not converge raises. The same rows give the same result in any order and
+partitioning. mix_table ignores other columns; sized, mix and repeated carry them along and refuse those that begin with two
+underscores.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WEIGHTS = (1.0, 2.0, 3.0)
 
 def sized(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with __size, the text's words, and __hash, which decides which documents of a size get a copy more."""
+    if taken := [c for c in docs.columns if c.startswith("__")]:
+        raise ValueError(f"names that begin with __ are taken: {taken}")
     return docs.withColumns({"__size": F.size(words_of(F.col(text_col))).cast("long"), "__hash": F.xxhash64(F.col(id_col), F.col(text_col))})
 
 
@@ -77,6 +81,8 @@ def balance(groups: DataFrame, most: float, rounds: int = 60, near: float = 1e-9
         state = written(step.select("k", "target", "source_size", F.when(done, F.col("lam")).otherwise(safe).alias("lam"), low.alias("low"), high.alias("high"), done.alias("done")))
         if not state.where("not done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the dual has not converged after {rounds} rounds")
     return state.select("k", "lam")
 
 

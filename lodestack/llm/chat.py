@@ -11,8 +11,8 @@ The template is `<|im_start|>role\\ntext<|im_end|>\\n` a turn. In roles and text
 strings are escaped (`\\\\`, `<\\|`), and line ends in roles (`\\n`), so what a text says cannot end a turn and reading back
 is exact. Masks are spans of code points in the formatted string, around escaped text.
 
-Conversations are sorted by (id, turn, role, text) within partitions and streamed, so one of any length needs memory for
-one window and the sums of its turns only.
+Conversations are sorted by (id, turn, role, text) within partitions and streamed: a task holds the turns of one conversation
+and a few megabytes of windows, so a conversation must fit in a worker's memory.
 
 Defined results: null texts and roles are empty ones; rows with equal turns come in the order of role and text; repeated
 rows are turns of their own; rows without conv_id form one conversation; an empty table gives no windows.

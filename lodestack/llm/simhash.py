@@ -190,20 +190,29 @@ def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", te
     return fps.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
     """Of each component the row with the smallest (doc_id, fingerprint, text), rows without doc_id last.
 
-    Rows alike in doc_id and text are one document and stay together; of rows without doc_id, one stays. Nodes are
-    fingerprints here, so that those of rows without doc_id link too, and rows that share an id are told apart.
+    Rows alike in doc_id and text are one document: all of them stay, or one of them if not `repeats`. Of rows without doc_id,
+    one stays. Nodes are fingerprints here, so that those of rows without doc_id link too, and rows that share an id are told
+    apart. Columns named __key and __id are refused.
     """
-    text = F.col(text_col).cast("string")
-    fps = written(_fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))))
+    if taken := {"__key", "__id"} & set(docs.columns):
+        raise ValueError(f"names in use: {sorted(taken)}")
+    text = F.col(f"`{text_col}`").cast("string")
+    fps = written(_fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "key")).alias("first")
     distinct = written(fps.groupBy("fp").agg(first))
     roots = components(links(distinct.select("fp", F.col("fp").alias("first")), radius))
     labels = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("component"), "first")
     stay = written(labels.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")))
-    keyed = docs.withColumn("__key", F.xxhash64(text))
-    named = keyed.join(stay.where("__id is not null"), (keyed[id_col] == stay["__id"]) & (keyed["__key"] == stay["__key"]), "left_semi").select(*docs.columns)
-    single = keyed.where(F.col(id_col).isNull()).groupBy("__key").agg(F.first(F.struct(*docs.columns)).alias("r"))
-    return named.unionByName(single.join(stay.where("__id is null"), "__key", "left_semi").select("r.*"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")
+    keyed = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(text).alias("__key"))
+    kept = keyed.join(stay.where("__id is not null"), ["__id", "__key"], "left_semi")
+    single = keyed.where("__id is null").join(stay.where("__id is null").select("__key"), "__key", "left_semi")
+    if not repeats:
+        # Only rows that come again are grouped; the others need no shuffle of their texts.
+        again = written(fps.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).count().where("count > 1").drop("count"))
+        several = kept.join(again, ["__id", "__key"], "left_semi").groupBy("__id", "__key").agg(F.first("r").alias("r"))
+        kept = kept.join(again, ["__id", "__key"], "left_anti").select("r").unionByName(several.select("r"))
+    return kept.select("r.*").unionByName(single.groupBy("__key").agg(F.first("r").alias("r")).select("r.*"))

@@ -62,6 +62,8 @@ def test_order_is_by_rejection_per_cost(spark):
 
     never, often = Rule("never", lambda t, w: F.lit(False)), Rule("often", lambda t, w: F.size(w) > 1)
     assert [r.name for r in order_rules(docs(spark), (never, often))] == ["often", "never"]
+    dear = Rule("dear", lambda t, w: F.size(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.transform(w, lambda x: F.sha2(F.concat(x, i.cast("string")), 512)))))) > 60)
+    assert [r.name for r in order_rules(docs(spark), (dear, often))] == ["often", "dear"]
 
 
 # -- SimHash ------------------------------------------------------------------------------------------------------------------
@@ -118,6 +120,11 @@ def test_keep_one_chooses_by_row(spark):
     kept = keep_one(frame)
     assert kept.columns == frame.columns and keep_one(empty(spark)).count() == 0
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == sorted([(-1, lone), (-1, copied), (5, x), (3, y), (8, z)])
+    again = docs(spark, [(*r, 1, 2, 3, 4, 5, 6, "w") for r in [*data, (8, z, "b"), (8, z, "b"), (3, y, None)]])
+    once = keep_one(again, repeats=False)
+    assert once.columns == frame.columns and keep_one(empty(spark), repeats=False).count() == 0
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in once.collect()) == sorted([(-1, lone), (-1, copied), (5, x), (3, y), (8, z)])
+    assert keep_one(again).where("doc_id = 8").count() == 3
 
 
 @pytest.mark.parametrize("radius", [1, 3, 7])

@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet and reads again as the
 next stage's docs. All but the last return the columns of documents.
+
+Defined results: a null or blank text has no words and goes with the first stage; so do texts of fewer than ten words. Rows alike in
+doc_id and text are one document, of which near_dedup keeps one; rows that share an id but not the text are documents of their own;
+rows without doc_id are compared like others by near_dedup, kept whole by substring_dedup and encoded with a null id. Of equally
+good rows the smallest id stays. Texts are worked on whole, whatever their length. Empty tables pass through as
+empty tables. Other columns are carried along up to the last stage; their names must not begin with two underscores.
 """
 
 from __future__ import annotations
@@ -23,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return keep_one(docs, radius=3)
+    """Of each group of near duplicates the document with the smallest id stays, in one row."""
+    return keep_one(docs, radius=3, repeats=False)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -59,8 +60,13 @@ def with_retries(call: Callable[[], list], transient: Callable[[Exception], bool
     raise ValueError("tries must be positive")
 
 
+def passing(error: Exception) -> bool:
+    """A provider's error that may pass: it says so itself, or is one of the network."""
+    return bool(getattr(error, "transient", isinstance(error, (ConnectionError, TimeoutError))))
+
+
 def embedded(df: DataFrame, provider: EmbeddingProvider, text_col: str = "text", out_col: str = "vector", batch: int = 100) -> DataFrame:
-    """df with the vectors of its texts, embedded in batches on the executors."""
+    """df with the vectors of its texts, embedded in batches on the executors; batches are tried again while errors are passing."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -71,7 +77,7 @@ def embedded(df: DataFrame, provider: EmbeddingProvider, text_col: str = "text",
         for rows in batches:
             texts, vectors = [t or "" for t in rows.column(at).to_pylist()], []
             for k in range(0, len(texts), batch):
-                vectors += checked(provider, texts[k : k + batch])
+                vectors += with_retries(lambda some=texts[k : k + batch]: checked(provider, some), passing, time.sleep)
             yield pa.RecordBatch.from_arrays([*(rows.column(i).cast(schema.field(i).type) for i in range(rows.num_columns)), pa.array(vectors, schema.field(out_col).type)], schema=schema)
 
     return df.mapInArrow(work, target)

@@ -3,33 +3,48 @@
 from __future__ import annotations
 
 import json
-import math
-import re
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import ENTITY_TYPES, RELATION_TYPES
-from .text import mapped
+from .text import entity_form, mapped
 
-_FENCED = re.compile(r"```(?:json)?\s*(.*?)\s*```", re.S | re.I)
 EXTRACTION_TYPE = (
     "entities array<struct<local_id:string,entity_type:string,name:string,normalized_name:string,description:string>>, "
     "relations array<struct<source_id:string,target_id:string,relation_type:string,description:string,confidence:double>>, warning string"
 )
+BLANKS = " \t\n\r\x0b\x0c"
 
 
-def object_of(raw: str | None) -> dict | None:
-    """The JSON object that raw holds, with or without a code fence around it; null for anything else."""
-    text = (raw or "").strip()
-    if found := _FENCED.fullmatch(text):
-        text = found[1]
-    try:
-        value = json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-    return value if isinstance(value, dict) else None
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def unfenced(raw: Column, *labels: str) -> Column:
+    """What stands between a code fence's ends, without its label; a text that is no fence as it is."""
+    text = trimmed(F.coalesce(raw, F.lit("")))
+    fenced = text.startswith("```") & text.endswith("```") & (F.length(text) >= 6)
+    inner = F.regexp_replace(F.substring(text, F.lit(4), F.length(text) - 6), f"^(?i:{'|'.join(labels)})", "")
+    return F.when(fenced, trimmed(inner)).otherwise(text)
+
+
+def json_object(raw: Column) -> Column:
+    """The JSON object that raw holds, with or without a code fence around it, as a variant; null for anything else."""
+    value = F.try_parse_json(unfenced(raw, "json"))
+    return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value)
+
+
+def said(value: Column, *keys: str) -> Column:
+    """The first of the members that is not blank, as trimmed text; empty where there is none."""
+    texts = [F.nullif(trimmed(F.try_variant_get(value, f"$.{k}", "string")), F.lit("")) for k in keys]
+    return F.coalesce(*texts, F.lit(""))
+
+
+def members(value: Column, key: str) -> Column:
+    """The objects in a member that is an array; no array holds none."""
+    found = F.coalesce(F.try_variant_get(value, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+    return F.filter(found, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
 
 
 def canonical_json(value: object, indent: int | None = None) -> str:
@@ -42,59 +57,49 @@ def confidence(value: Column) -> Column:
     return F.when(number.isNull() | F.isnan(number), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
-def _confidence(value: object) -> float:
-    try:
-        number = float(value)
-    except (TypeError, ValueError, OverflowError):
-        return 1.0
-    return 1.0 if math.isnan(number) else min(1.0, max(0.0, number))
+def _named(types: tuple[str, ...]) -> Column:
+    """Map of each type in lower case to the type."""
+    return F.create_map(*(F.lit(x) for t in types for x in (t.lower(), t)))
 
 
-def _said(row: dict, *keys: str) -> str:
-    return next((t for k in keys if (t := str(row.get(k) or "").strip())), "")
+def _firsts(rows: Column, *key: str) -> Column:
+    """The first of the rows of each key."""
+    keys = F.transform(rows, lambda r: F.struct(*(r[k] for k in key)))
+    return F.filter(rows, lambda r, i: F.array_position(keys, F.struct(*(r[k] for k in key))) == i + 1)
 
 
-def extraction(raw: str | None) -> dict:
-    """Entities and relations of one reply that the ontology allows.
+def extracted(replies: DataFrame, raw: str = "raw", into: str = "extracted") -> DataFrame:
+    """replies with the entities and relations of a reply that the ontology allows, as a struct of EXTRACTION_TYPE.
 
     Types are looked up without regard to case. The first entity of a local id counts; a relation needs two kept
-    entities (named source_id/target_id or from_id/to_id) and counts once for each (source, target, type).
+    entities (named source_id/target_id or from_id/to_id) and counts once for each (source, target, type). Only the normal
+    forms of names leave the JVM.
     """
-    import unicodedata
-
-    reply = object_of(raw)
-    if reply is None:
-        return {"entities": [], "relations": [], "warning": "the reply holds no JSON object"}
-    kinds, links = ({t.casefold(): t for t in x} for x in (ENTITY_TYPES, RELATION_TYPES))
-    members = lambda key: [x for x in reply.get(key) or [] if isinstance(x, dict)] if isinstance(reply.get(key), list) else []
-    entities: dict[str, dict] = {}
-    for row in members("entities"):
-        local, name, kind = _said(row, "id"), _said(row, "name"), kinds.get(_said(row, "type").casefold())
-        if local and name and kind and local not in entities:
-            normal = " ".join(unicodedata.normalize("NFKC", name).casefold().split())
-            entities[local] = {"local_id": local, "entity_type": kind, "name": name, "normalized_name": normal, "description": _said(row, "description")}
-    relations: dict[tuple, dict] = {}
-    for row in members("relations"):
-        a, b = _said(row, "source_id", "from_id"), _said(row, "target_id", "to_id")
-        kind = links.get(_said(row, "type").casefold())
-        if kind and a in entities and b in entities:
-            relations.setdefault((a, b, kind), {"source_id": a, "target_id": b, "relation_type": kind, "description": _said(row, "description"), "confidence": _confidence(row.get("confidence"))})
-    return {"entities": list(entities.values()), "relations": list(relations.values()), "warning": None}
-
-
-def extracted(raw: Column) -> Column:
-    """extraction() of each row, as a struct of EXTRACTION_TYPE."""
-
-    @F.pandas_udf(EXTRACTION_TYPE)
-    def batch(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extraction(x) for x in raw], columns=["entities", "relations", "warning"])
-
-    return batch(raw)
+    own = replies.columns
+    entity = lambda x: F.struct(said(x, "id").alias("local_id"), F.try_element_at(_named(ENTITY_TYPES), F.lower(said(x, "type"))).alias("entity_type"), said(x, "name").alias("name"), said(x, "description").alias("description"))
+    relation = lambda x: F.struct(said(x, "source_id", "from_id").alias("source_id"), said(x, "target_id", "to_id").alias("target_id"), F.try_element_at(_named(RELATION_TYPES), F.lower(said(x, "type"))).alias("relation_type"), said(x, "description").alias("description"), confidence(F.try_variant_get(x, "$.confidence", "string")).alias("confidence"))
+    read = replies.withColumn("__reply", json_object(F.col(raw)))
+    read = read.select(*own, F.isnull("__reply").alias("__none"), F.transform(members(F.col("__reply"), "entities"), entity).alias("__e"), F.transform(members(F.col("__reply"), "relations"), relation).alias("__r"))
+    read = read.withColumn("__e", F.filter("__e", lambda e: (e["local_id"] != "") & (e["name"] != "") & e["entity_type"].isNotNull()))
+    read = read.withColumn("__e", _firsts(F.col("__e"), "local_id"))
+    read = read.withColumns({"__ids": F.transform("__e", lambda e: e["local_id"]), "__n": mapped(F.transform("__e", lambda e: e["name"]), lambda x: [entity_form(n) for n in x], "array<string>")})
+    kept = _firsts(F.filter("__r", lambda r: r["relation_type"].isNotNull() & F.array_contains("__ids", r["source_id"]) & F.array_contains("__ids", r["target_id"])), "source_id", "target_id", "relation_type")
+    entities = F.zip_with("__e", "__n", lambda e, n: F.struct(e["local_id"].alias("local_id"), e["entity_type"].alias("entity_type"), e["name"].alias("name"), n.alias("normalized_name"), e["description"].alias("description")))
+    warning = F.when(F.col("__none"), F.lit("the reply holds no JSON object")).alias("warning")
+    return read.select(*own, F.struct(entities.alias("entities"), kept.alias("relations"), warning).alias(into))
 
 
 def json_keys_sorted(raw: Column) -> Column:
-    """Canonical dump of a JSON object; anything else becomes an empty one."""
-    return mapped(F.coalesce(raw, F.lit("")), lambda x: canonical_json(object_of(x) or {}))
+    """Canonical dump of a JSON object; anything else becomes an empty one. Spark has no dump with a space after each separator."""
+
+    def dump(text: str) -> str:
+        try:
+            value = json.loads(text)
+        except (ValueError, RecursionError):
+            return "{}"
+        return canonical_json(value) if isinstance(value, dict) else "{}"
+
+    return mapped(unfenced(raw, "json"), dump)
 
 
 def embedding_text(value: object) -> str | None:
@@ -107,9 +112,3 @@ def embedding_text(value: object) -> str | None:
         parts = [p["text"].strip() for p in value if isinstance(p, dict) and p.get("type") == "text" and isinstance(p.get("text"), str)]
         return "\n".join(p for p in parts if p) or None
     return None
-
-
-def strip_fences(raw: Column) -> Column:
-    """raw without a code fence around it, by built-ins."""
-    inner = F.regexp_extract(F.trim(raw), "(?is)^```(?:json)?\\s*(.*?)\\s*```$", 1)
-    return F.when(F.trim(raw).rlike("(?is)^```.*```$"), inner).otherwise(F.trim(raw))

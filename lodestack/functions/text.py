@@ -55,9 +55,13 @@ def mapped(column: Column, function: Callable[[str], object], kind: str = "strin
     return batch(column)
 
 
+def entity_form(name: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", name).casefold().split())
+
+
 def entity_name(names: Column) -> Column:
     """Entity names at extraction: NFKC, case folding, single spaces."""
-    return mapped(names, lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+    return mapped(names, entity_form)
 
 
 def query_name(names: Column) -> Column:

@@ -32,13 +32,13 @@ def structure_edges(chunks: DataFrame, elements: DataFrame, scope: Scope) -> Dat
     """Document to element and chunk, chunk to the elements it comes from, to the next of its role and to its parent."""
     doc, part = _ids(scope, "document", F.col("document_id")), _ids(scope, "chunk", F.col("chunk_id"))
     named = chunks.select("document_id", "chunk_id", "chunk_index", "chunk_role", "parent_chunk_id", "source_element_ids")
-    derived = named.select("document_id", "chunk_id", F.explode("source_element_ids").alias("element_id")).join(elements.select("document_id", "element_id").distinct(), ["document_id", "element_id"])
+    derived = named.select("document_id", "chunk_id", F.explode(F.array_distinct("source_element_ids")).alias("element_id")).join(elements.select("document_id", "element_id"), ["document_id", "element_id"], "left_semi")
     element = _ids(scope, "element", F.col("element_id"))
     order = Window.partitionBy("document_id", F.coalesce("chunk_role", F.lit("chunk"))).orderBy("chunk_index")
     following = named.withColumn("__next", F.lead("chunk_id").over(order)).where("__next is not null")
     parents = named.where("parent_chunk_id is not null").join(named.select(F.col("document_id").alias("__d"), F.col("chunk_id").alias("__p")), (F.col("document_id") == F.col("__d")) & (F.col("parent_chunk_id") == F.col("__p")), "left_semi")
     return reduce(DataFrame.unionByName, [
-        _edges(derived, doc, element, "HAS_ELEMENT").distinct(), _edges(named, doc, part, "HAS_CHUNK"), _edges(derived, part, element, "DERIVED_FROM").distinct(),
+        _edges(derived, doc, element, "HAS_ELEMENT").distinct(), _edges(named, doc, part, "HAS_CHUNK"), _edges(derived, part, element, "DERIVED_FROM"),
         _edges(following, part, _ids(scope, "chunk", F.col("__next")), "NEXT_CHUNK"), _edges(parents, part, _ids(scope, "chunk", F.col("parent_chunk_id")), "PARENT_CHUNK")])
 
 
@@ -59,6 +59,13 @@ def structure_nodes(documents: DataFrame, elements: DataFrame, chunks: DataFrame
     return d.unionByName(e).unionByName(c)
 
 
+def records(documents: DataFrame, elements: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What the graph is told of: a record for each document, element and chunk, tagged by its type."""
+    nothing = F.lit(None)
+    kind = lambda name, rows, record, position, text: rows.select(name.alias("record_type"), "document_id", record.alias("record_id"), position.cast("long").alias("position"), text.cast("string").alias("text"))
+    return kind(F.lit("document"), documents, F.col("document_id"), nothing, nothing).unionByName(kind(F.concat(F.lit("document_element:"), "element_type"), elements, F.col("element_id"), F.col("order"), F.col("text"))).unionByName(kind(F.lit("chunk"), chunks, F.col("chunk_id"), F.col("chunk_index"), F.col("text")))
+
+
 def entity_rows(extracted: DataFrame, scope: Scope) -> DataFrame:
     """extracted: (document_id, chunk_id, entities) -> a row for each entity of a chunk, with its node id."""
     e = extracted.select("document_id", "chunk_id", F.explode("entities").alias("e")).select("document_id", "chunk_id", "e.*")

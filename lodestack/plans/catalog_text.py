@@ -139,12 +139,11 @@ def s18_citations(spark, sf):
 @query()
 def s16_extraction(spark, sf):
     """Replies made of documents: an entity for each word, related in a chain."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 200)  # replies are some twenty times as long as texts
     d = corpus.documents(spark, sf).select("document_id", text.tokens(F.col("text")).alias("w"))
     ents = F.transform("w", lambda w, i: F.struct(i.cast("string").alias("id"), F.when(i % 2 == 0, "concept").otherwise("TASK").alias("type"), w.alias("name")))
     rels = F.transform(F.slice("w", F.lit(2), F.size("w")), lambda w, i: F.struct(i.cast("string").alias("from_id"), (i + 1).cast("string").alias("to_id"), F.lit("uses").alias("type"), F.lit("1.7").alias("confidence")))
     raw = F.concat(F.lit("```json\n"), F.to_json(F.struct(ents.alias("entities"), rels.alias("relations"))), F.lit("\n```"))
-    x = d.select("document_id", model_output.extracted(raw).alias("x"))
+    x = model_output.extracted(d.select("document_id", raw.alias("raw")), into="x")
     return x.select("document_id", F.size("x.entities").cast("long").alias("n_entities"), F.size("x.relations").cast("long").alias("n_relations"), F.array_join(F.transform("x.entities", lambda e: F.concat_ws("/", e["entity_type"], e["normalized_name"])), ";").alias("entities"), F.get("x.relations.confidence", F.lit(0)).alias("confidence"))
 
 

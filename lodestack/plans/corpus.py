@@ -39,7 +39,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as tables, which is what graph operators work on."""
-    c, e = written(chunks(spark, sf_dir)), elements(spark, sf_dir)
+    e = written(elements(spark, sf_dir))
+    c = written(dedupe(sliding(e, WINDOWS)))
     return written(structure_nodes(documents(spark, sf_dir), e, c, SCOPE)), written(structure_edges(c, e, SCOPE))
 
 

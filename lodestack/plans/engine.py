@@ -1,7 +1,9 @@
-"""The engine as one object: ingest, search, retrieve, graph, health, delete. Tables are Parquet folders under one root.
+"""The engine as one object: ingest, search, retrieve, answer, graph, health, delete. Tables are Parquet folders under one root.
 
-Every change writes a new version of the tables it touches and then a manifest that names the current versions, so a
-reader sees all of a change or none, and a failed change leaves nothing visible.
+A table is a list of folders. A change rewrites only folders with rows that it replaces, adds a folder of new rows, and then
+creates the next manifest, which names the folders of every table: a reader sees all of a change or none, a failed change
+leaves nothing visible, and of two writers that began from one manifest the second gets an error, since a manifest is
+created once.
 """
 
 from __future__ import annotations
@@ -9,22 +11,33 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.embedding import EmbeddingProvider, HashingEmbedder, checked
-from ..functions.labels import retrieval_strategy
+from ..functions.labels import response_strategy, retrieval_strategy
 from ..functions.model_output import extracted
-from ..functions.policy import inventory_question, restricted_topic
-from ..functions.text import policy_text
-from ..operators import chunking, graph, health, vectors
-from ..operators.context import compact
+from ..functions.policy import REFUSAL, decision, inventory_question, restricted_topic
+from ..functions.text import mapped, policy_text
+from ..ontology import prompt
+from ..operators import chunking, graph, health, registry, vectors
+from ..operators.context import BLOCKS, SOURCES, compact, rendered
 from ..schema import EDGES, NODES, VECTORS, Scope
 from ..sources.parsers import parse_files
+from ..storage import written
 
 TABLES = {"vectors": VECTORS, "nodes": NODES, "edges": EDGES, "entities": "id string, document_id string, chunk_id string, entity_type string, name string, normalized_name string"}
 
+KEYS = {"vectors": ("vector_id",), "nodes": ("id",), "edges": ("src", "dst", "relation", "kind"), "entities": ("id", "document_id", "chunk_id")}
+
+
+def totals(read: DataFrame) -> DataFrame:
+    """Extracted replies -> entities, relations and warnings of each document."""
+    return read.groupBy("document_id").agg(F.sum(F.size("entities")).alias("entities"), F.sum(F.size("relations")).alias("relations"), F.array_sort(F.collect_list("warning")).alias("warnings"))
+
 
 def hybrid(matches: DataFrame, nodes: DataFrame, edges: DataFrame, entities: DataFrame, in_scope: DataFrame) -> tuple[DataFrame, DataFrame]:
     """matches (id of a chunk node, rank) -> (chunk contexts in order, related entities).
@@ -47,61 +60,119 @@ class Engine:
         self.spark, self.root, self.provider = spark, root.rstrip("/"), provider or HashingEmbedder()
 
     # -- tables ------------------------------------------------------------------------------------------------------
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _manifest(self) -> dict:
-        rows = self.spark.read.text(f"{self.root}/manifests/*").select("value", F.col("_metadata.file_path").alias("p")).orderBy(F.desc(F.get_json_object("value", "$.n").cast("long"))).limit(1) if self._exists() else None
-        found = rows.collect() if rows is not None else []
-        return json.loads(found[0]["value"]) if found else {"n": 0, "tables": {}}
-
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def table(self, name: str) -> DataFrame:
-        at = self._manifest()["tables"].get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(at) if at else self.spark.createDataFrame([], TABLES[name])
-
-    def _publish(self, **changed: DataFrame) -> None:
-        manifest = self._manifest()
-        for name, rows in changed.items():
-            at = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            rows.write.parquet(at)
-            manifest["tables"][name] = at
-        manifest["n"] += 1
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{self.root}/manifests/{manifest['n']:010d}-{uuid.uuid4().hex}")
+        folder, fs = self._path("manifests")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{names[-1]}", wholetext=True).first()[0]) if names else {"n": 0, "tables": {}}
+
+    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
+        at = (manifest or self._manifest())["tables"].get(name)
+        return self.spark.read.schema(TABLES[name]).parquet(*at) if at else self.spark.createDataFrame([], TABLES[name])
+
+    def _publish(self, base: dict, **changed: list[str]) -> None:
+        """The manifest after base; raises RuntimeError if another writer has created it."""
+        path, fs = self._path(f"manifests/{base['n'] + 1:010d}.json")
+        told = json.dumps({"n": base["n"] + 1, "tables": base["tables"] | changed})
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                raise RuntimeError("another writer has changed the tables; begin again") from None
+            raise
+        out.write(told.encode())
+        out.close()
+
+    def _put(self, base: dict, name: str, gone: DataFrame | None, new: DataFrame | None) -> list[str]:
+        """Folders of the table without the rows whose key is in gone, and with new. Folders that hold none of them stay."""
+        at, key = list(base["tables"].get(name, [])), list(KEYS[name])
+        parts = []
+        if at and gone is not None:
+            gone = written(gone.select(*key).distinct())
+            folder = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1)
+            hit = {r[0] for r in self.table(name, base).select(*key, folder.alias("__at")).join(gone, key, "left_semi").select("__at").distinct().collect()}
+            touched = [x for x in at if x.rsplit("/", 1)[1] in hit]
+            at = [x for x in at if x not in touched]
+            if touched:
+                parts.append(self.spark.read.schema(TABLES[name]).parquet(*touched).join(gone, key, "left_anti"))
+        if new is not None:
+            parts.append(new)
+        for rows in parts:
+            at.append(f"{self.root}/{name}/{uuid.uuid4().hex}")
+            rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.parquet(at[-1])
+        return at
 
     # -- writing -----------------------------------------------------------------------------------------------------
     def ingest(self, files: DataFrame, scope: Scope, config: chunking.ChunkingConfig | None = None) -> DataFrame:
-        """files (document_id, filename, extension, content) -> a row of counts and status for each; ingesting again replaces."""
-        parsed = parse_files(files)
-        elements = parsed.where("status not like 'unavailable%' and status not like 'unsupported%' and status not like 'failed%'").drop("status")
-        all_chunks = chunking.chunk(elements, config, self.provider)
-        chunks = chunking.dedupe(all_chunks)
+        """files (document_id, filename, extension, content) -> a row of counts and status for each.
+
+        Ingesting again replaces all that the scope holds of a document: its chunks and elements with their vectors and
+        edges; mentions of chunks that come again stay. A file that cannot be parsed leaves what is there. Files are parsed, cut and
+        embedded once.
+        """
+        base = self._manifest()
+        parsed = written(parse_files(files))
+        elements = parsed.where("element_id is not null").drop("status")
+        all_chunks = written(chunking.chunk(elements, config, self.provider))
+        chunks = written(chunking.dedupe(all_chunks))
+        documents = elements.select("document_id").distinct()
         rows = vectors.embed_records(vectors.records(chunks, scope), self.provider)
-        nodes = graph.structure_nodes(files.select("document_id", "filename"), elements, chunks, scope)
-        edges = graph.structure_edges(chunks, elements, scope)
+        nodes = written(graph.structure_nodes(files.select("document_id", "filename"), elements, chunks, scope))
+        edges = written(graph.structure_edges(chunks, elements, scope).dropDuplicates(list(KEYS["edges"])))
+        before = self.table("nodes", base).where(scope.of_graph() & (F.col("kind") != "entity")).join(documents, "document_id", "left_semi").select("id")
+        old = self.table("edges", base)
+        of_documents = old.where("relation not in ('MENTIONED_IN', 'SEMANTIC_RELATION')").join(before, old["src"] == before["id"], "left_semi").select(*KEYS["edges"])
+        unmentioned = old.where("relation = 'MENTIONED_IN'").join(before.join(nodes, "id", "left_anti"), F.col("dst") == F.col("id"), "left_semi").select(*KEYS["edges"])
+        in_scope = F.coalesce("collection_id", F.lit("")) == (scope.collection_id or "")
+        of_vectors = self.table("vectors", base).where(scope.of_vectors() & in_scope).join(documents, "document_id", "left_semi").select("vector_id")
+        self._publish(
+            base,
+            vectors=self._put(base, "vectors", of_vectors.unionByName(vectors.records(chunks, scope).select("vector_id")), rows),
+            nodes=self._put(base, "nodes", before.unionByName(nodes.select("id")), nodes),
+            edges=self._put(base, "edges", of_documents.unionByName(unmentioned).unionByName(edges.select(*KEYS["edges"])), edges),
+        )
         told = chunking.stats(elements, all_chunks, chunks)
         failed = parsed.where("element_id is null").select("document_id", "status")
-        report = files.select("document_id", "filename").join(told, "document_id", "left").join(failed, "document_id", "left").withColumn("status", F.coalesce("status", F.lit("ready")))
-        kept_nodes = self.table("nodes").join(nodes.select("id"), "id", "left_anti").unionByName(nodes)
-        self._publish(vectors=vectors.upsert(self.table("vectors"), rows), nodes=kept_nodes, edges=graph.merge_edges(self.table("edges"), edges))
-        return report
+        return files.select("document_id", "filename").join(told, "document_id", "left").join(failed, "document_id", "left").withColumn("status", F.coalesce("status", F.lit("ready")))
 
     def enrich(self, replies: DataFrame, scope: Scope) -> DataFrame:
         """replies (document_id, chunk_id, raw) of a model -> counts and warnings for each document; entities and relations join the graph."""
-        read = replies.withColumn("x", extracted(F.col("raw"))).select("document_id", "chunk_id", "x.*")
+        base = self._manifest()
+        read = written(extracted(replies, into="x").select("document_id", "chunk_id", "x.*"))
         rows = graph.entity_rows(read, scope)
         nodes = rows.groupBy("id").agg(F.first("name").alias("label"), F.first("description").alias("text"), F.first("entity_type").alias("entity_type"), F.min("document_id").alias("document_id"))
-        node = nodes.select("id", F.lit("entity").alias("kind"), F.lit(scope.tenant_id).alias("tenant_id"), F.lit(scope.app_id).alias("app_id"), F.lit(scope.collection_id or "").alias("collection_id"), "document_id", F.col("id").alias("record_id"), F.lit(0).cast("long").alias("position"), "label", "text", F.create_map(F.lit("entity_type"), F.col("entity_type")).alias("properties"))
-        new = self.table("nodes").join(node.select("id"), "id", "left_anti").unionByName(node)
-        known = self.table("entities").unionByName(rows.select("id", "document_id", "chunk_id", "entity_type", "name", "normalized_name")).distinct()
-        self._publish(nodes=new, entities=known, edges=graph.merge_edges(self.table("edges"), graph.semantic_edges(read, scope), new))
-        return read.groupBy("document_id").agg(F.sum(F.size("entities")).alias("entities"), F.sum(F.size("relations")).alias("relations"), F.collect_list("warning").alias("warnings"))
+        node = written(nodes.select("id", F.lit("entity").alias("kind"), F.lit(scope.tenant_id).alias("tenant_id"), F.lit(scope.app_id).alias("app_id"), F.lit(scope.collection_id or "").alias("collection_id"), "document_id", F.col("id").alias("record_id"), F.lit(0).cast("long").alias("position"), "label", "text", F.create_map(F.lit("entity_type"), F.col("entity_type")).alias("properties")))
+        known = self.table("nodes", base).select("id").unionByName(node.select("id")).distinct()
+        edges = written(graph.edges_between(graph.semantic_edges(read, scope), known).dropDuplicates(list(KEYS["edges"])))
+        entities = written(rows.select("id", "document_id", "chunk_id", "entity_type", "name", "normalized_name").distinct())
+        self._publish(base, nodes=self._put(base, "nodes", node, node), entities=self._put(base, "entities", entities, entities), edges=self._put(base, "edges", edges, edges))
+        return totals(read)
+
+    def learn(self, scope: Scope, model: Callable[[str], str]) -> DataFrame:
+        """Asks the model for entities and relations of each embeddable chunk with text; a call that fails is a warning, not an error."""
+
+        def ask(text: str) -> str | None:
+            try:
+                return model(prompt(text))
+            except Exception:  # noqa: BLE001  a model's failure must not end the job
+                return None
+
+        chunks = self.table("nodes").where(scope.of_graph() & (F.col("kind") == "chunk") & (F.col("properties")["is_embeddable"] == "true") & (F.trim("text") != ""))
+        return self.enrich(chunks.select("document_id", F.col("record_id").alias("chunk_id"), mapped(F.col("text"), ask).alias("raw")), scope)
 
     def delete(self, document_id: str, scope: Scope) -> int:
-        nodes, edges, told = graph.delete_document(self.table("nodes"), self.table("edges"), scope, document_id)
-        kept, _ = vectors.delete_document(self.table("vectors"), scope, document_id)
+        """Deletes a document with its elements, chunks, vectors and edges, and entities that nothing mentions any more; the number of records."""
+        base = self._manifest()
+        old, old_edges = self.table("nodes", base), self.table("edges", base)
+        nodes, edges, told = graph.delete_document(old, old_edges, scope, document_id)
+        gone = written(old.select("id").join(nodes.select("id"), "id", "left_anti"))
+        gone_edges = old_edges.select(*KEYS["edges"]).join(edges.select(*KEYS["edges"]), list(KEYS["edges"]), "left_anti")
+        own = self.table("vectors", base).where(scope.of_vectors() & (F.col("document_id") == document_id))
         deleted = told.first()[0]
-        self._publish(nodes=nodes, edges=edges, vectors=kept, entities=self.table("entities").join(nodes.select("id"), "id", "left_semi"))
+        self._publish(base, nodes=self._put(base, "nodes", gone, None), edges=self._put(base, "edges", gone_edges, None), vectors=self._put(base, "vectors", own, None), entities=self._put(base, "entities", self.table("entities", base).join(gone, "id", "left_semi"), None))
         return deleted
 
     # -- reading -----------------------------------------------------------------------------------------------------
@@ -110,21 +181,64 @@ class Engine:
             raise ValueError("the query is blank")
         return vectors.top_k(self.table("vectors"), checked(self.provider, [text])[0], k, scope.of_vectors(), least)
 
-    def retrieve(self, text: str, scope: Scope, k: int = 5, least: float = 0.0) -> DataFrame:
-        """The compacted context of a query, with the strategy's label."""
+    def retrieve(self, text: str, scope: Scope, k: int = 5, least: float = 0.0, listed: str | None = None, queried: str | None = None) -> DataFrame:
+        """The compacted context of a query, its sources in the order of SOURCES, with the strategy's label.
+
+        listed and queried are texts of the document registry and of a graph query, where there are any.
+        """
         nodes, edges, entities = self.table("nodes"), self.table("edges"), self.table("entities")
         found = self.search(text, scope, k, least).cache()
         own = nodes.where(scope.of_graph() & (F.col("kind") == "chunk"))
         matches = found.join(own.select("id", F.col("record_id").alias("chunk_id")), "chunk_id").select("id", "rank")
         context, related = hybrid(matches, nodes, edges, entities, nodes.where(scope.of_graph() & (F.col("kind") == "entity")).select("id"))
         parent = F.col("pos.o") == 0
-        by_graph = context.select(F.struct(F.when(parent, 0).otherwise(2).alias("o"), F.row_number().over(Window.orderBy("pos")).alias("n")).alias("pos"), "chunk_id", "text", F.when(parent, "graph_parent").otherwise("graph").alias("source"))
-        by_vector = found.select(F.struct(F.lit(1).alias("o"), F.col("rank").alias("n")).alias("pos"), "chunk_id", "text", F.lit("vector").alias("source"))
-        blocks = by_graph.unionByName(by_vector).withColumn("query_id", F.lit(1))
+        source = lambda name, o, n: F.struct(F.lit(SOURCES.index(name)).alias("o"), o.cast("long").alias("n"), n.alias("i")).alias("pos")
+        # No more blocks than that can fit, so no more need an order; chunks of the search may come again among the graph's.
+        near = lambda which, name: context.where(which & (F.trim("text") != "")).orderBy("pos").limit(BLOCKS + k).select(source(name, F.col("pos.r"), F.col("pos.i")), "chunk_id", "text", F.lit(name).alias("source"))
+        by_vector = found.select(source("vector", F.col("rank"), F.lit("")), "chunk_id", "text", F.lit("vector").alias("source"))
+        blocks = near(parent, "graph_parent").unionByName(by_vector).unionByName(near(~parent, "graph"))
+        for name, text_block in (("document_registry", listed), ("graph_query", queried)):
+            if text_block:
+                blocks = blocks.unionByName(self.spark.range(1).select(source(name, F.lit(0), F.lit("")), F.lit(f"{name}:0").alias("chunk_id"), F.lit(text_block).alias("text"), F.lit(name).alias("source")))
+        blocks = blocks.withColumn("query_id", F.lit(1))
         counts = found.agg(F.count("*").alias("v")).crossJoin(context.agg(F.count("*").alias("g"))).crossJoin(related.agg(F.count("*").alias("e")))  # one row each
-        label = counts.select(retrieval_strategy(F.col("v"), F.col("g"), F.col("e"), F.lit(False)).alias("strategy"))
+        label = counts.select(retrieval_strategy(F.col("v"), F.col("g"), F.col("e"), F.lit(bool(queried))).alias("strategy"), F.col("g").alias("n_graph"), F.col("e").alias("n_entities"))
         return compact(blocks).crossJoin(F.broadcast(label)).drop("query_id").orderBy("reference")
 
+    def structured(self, question: str, planner: Callable[[str, str], str | None], most: int = 20) -> str | None:
+        """What a planned query over the graph's views returns, as text: a JSON row a line. None if none is planned or it fails.
+
+        planner(question, the views' columns) gives SQL, or None where the question needs no query.
+        """
+        try:
+            text = planner(question, "\n".join(f"{name}({columns})" for name, columns in TABLES.items()))
+            rows = self.query(text).limit(most).toJSON().collect() if text else []
+        except Exception:  # noqa: BLE001  a plan that fails leaves the other sources
+            return None
+        return "\n".join(rows) or None
+
+    def answer(self, message: str, scope: Scope, model: Callable[[str], str], planner: Callable[[str, str], str | None] | None = None, documents: DataFrame | None = None, history: str = "", k: int = 5, least: float = 0.0) -> dict:
+        """response_type, answer, references and strategy of a message. The model sees the compacted context; the policy judges its reply.
+
+        Restricted topics are refused unseen. documents is the registry, whose newest rows join the context of questions
+        about what is there. A model that fails gives a refusal.
+        """
+        kind = self.route(message)
+        if kind == "restricted":
+            return {"response_type": "refusal", "answer": REFUSAL, "references": [], "strategy": "restricted"}
+        listed = registry.inventory(documents, scope).first()["text"] if kind == "inventory" and documents is not None else None
+        queried = self.structured(message, planner) if planner else None
+        blocks = written(self.retrieve(message, scope, k, least, listed, queried))
+        shown = rendered(blocks.withColumn("query_id", F.lit(1))).first()
+        try:
+            raw = model("\n\n".join(x for x in (history, f"Context:\n{shown['context']}" if shown else "", f"Question: {message}") if x))
+        except Exception:  # noqa: BLE001
+            raw = None
+        refs = [r[0] for r in blocks.select("reference").collect()]  # at most BLOCKS
+        one = self.spark.createDataFrame([(raw, refs)], "raw string, refs array<int>").select(decision(F.col("raw"), F.col("refs"), F.size("refs") > 0).alias("d")).select("d.*")
+        counts = blocks.agg(F.coalesce(F.max("n_entities"), F.lit(0)).alias("e"), F.coalesce(F.max("n_graph"), F.lit(0)).alias("g"), F.count("*").alias("n"))
+        return one.crossJoin(counts).select("response_type", "answer", "references", response_strategy(F.col("response_type"), F.col("n"), F.lit(bool(listed)), F.col("e"), F.col("g")).alias("strategy")).first().asDict()
+
     def route(self, message: str) -> str:
         """restricted, inventory or retrieval."""
         normal = policy_text(F.lit(message))
@@ -147,8 +261,9 @@ class Engine:
         return self.spark.sql(guarded, args=args or None)
 
     def reset(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in (*TABLES, "manifests"):
+            path, fs = self._path(name)
+            fs.delete(path, True)
 
 
 #: Words that a graph query must not hold, and those of which it must hold one.
@@ -156,24 +271,33 @@ WRITES = ("create", "merge", "set", "delete", "detach", "drop", "alter", "copy",
 READS = ("match", "return", "with", "unwind", "call")
 
 
-def unfenced(text: str | None, languages: str) -> str:
-    """text without a code fence around it and without semicolons at its end."""
-    found = re.fullmatch(rf"```(?:{languages})?\s*(.*?)\s*```", (text or "").strip(), flags=re.S | re.I)
-    return (found[1] if found else text or "").strip().rstrip(";").strip()
+def query_text(text: str | None, *labels: str) -> str:
+    """A generated query without the fence and label that models put around it, and without semicolons behind it."""
+    body = (text or "").strip()
+    if len(body) >= 6 and body.startswith("```") and body.endswith("```"):
+        body = body[3:-3]
+        body = next((body[len(x) :] for x in labels if body.lower().startswith(x)), body)
+    return body.strip().rstrip("; \n\t")
+
+
+def only_reads(query: Column) -> Column:
+    """A graph query has a word that reads and none that writes."""
+    words = F.split(F.lower(query), "\\W+")
+    return F.arrays_overlap(words, F.array(*map(F.lit, READS))) & ~F.arrays_overlap(words, F.array(*map(F.lit, WRITES)))
 
 
 def guarded_cypher(text: str | None) -> str:
     """A generated graph query, cleaned; raises ValueError unless it only reads."""
-    query = unfenced(text, "cypher|opencypher")
-    words = set(re.findall(r"\w+", query.lower()))
-    if words & set(WRITES) or not words & set(READS):
+    query = query_text(text, "cypher", "opencypher")
+    words = set(re.split(r"\W+", query.lower()))
+    if words.isdisjoint(READS) or not words.isdisjoint(WRITES):
         raise ValueError("only reading graph queries are allowed")
     return query
 
 
 def read_only(spark: SparkSession, text: str) -> str:
     """A SQL text, cleaned; raises ValueError unless Spark's parser takes it for a query."""
-    query = unfenced(text, "sql")
+    query = query_text(text, "sql")
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     kinds = {plan.nodeName()} | {plan.getClass().getSimpleName()}
     if any(re.search("Insert|Create|Drop|Alter|Delete|Update|Merge|Set[A-Z]|SetCommand|Command|Truncate|Load|Cache|Refresh|Replace", k) for k in kinds):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions import errors, labels, policy, text
 from lodestack.functions.embedding import HashingEmbedder, checked, with_retries
-from lodestack.functions.model_output import canonical_json, embedding_text, extraction, object_of
+from lodestack.functions.model_output import canonical_json, embedding_text, extracted, json_object
 from lodestack.functions.vectors import cosine, cosine_to
 from lodestack.operators import chunking, config, context, graph, health, registry, vectors
 from lodestack.plans.engine import Engine, guarded_cypher, read_only
@@ -89,17 +89,18 @@ def test_restricted_topics(spark, said, want):
     ('```json\n{"type":"social","answer":"hi","self_check":"PASS"}\n```', False, ("social", [])), ('{"type":"social","answer":"hi","self_check":"fail"}', False, ("refusal", [])),
     ('{"type":"social","answer":"about religion","self_check":"pass"}', False, ("refusal", [])), ('{"decision":"refuse","answer":"yet [2]"}', True, ("grounded_answer", [2])), (None, True, ("refusal", [])),
 ])
-def test_decisions(raw, ground, want):
-    kind, answer, references = policy.decide(raw, [1, 2], ground)
+def test_decisions(spark, raw, ground, want):
+    kind, answer, references = one(spark, policy.decision(F.col("r"), F.array(F.lit(1), F.lit(2)), F.col("g")), r=(raw, "string"), g=(ground, "boolean"))
     assert (kind, references) == want and (kind != "grounded_answer" or f"[{references[0]}]" in answer)
 
 
-def test_model_output():
+def test_model_output(spark):
+    replies = lambda raw: extracted(spark.createDataFrame([(raw,)], "raw string")).first()["extracted"]
     raw = '```json\n{"entities":[{"id":"1","type":"concept","name":" \\uff21  b "},{"id":"1","type":"Task","name":"late"},{"id":"2","type":"Alien","name":"x"},5],"relations":[{"from_id":"1","to_id":"1","type":"related_to","confidence":"NaN"},{"source_id":"1","target_id":"1","type":"INVENTED"},{"source_id":"1","target_id":"2","type":"USES"}]}\n```'
-    x = extraction(raw)
+    x = replies(raw)
     assert [(e["local_id"], e["entity_type"], e["normalized_name"]) for e in x["entities"]] == [("1", "Concept", "a b")]
     assert [(r["relation_type"], r["confidence"]) for r in x["relations"]] == [("RELATED_TO", 1.0)]
-    assert object_of("[1]") is None and extraction("nothing")["warning"] and canonical_json({"b": 1, "a": "é"}) == '{"a": "é", "b": 1}'
+    assert one(spark, F.isnull(json_object(F.col("r"))), r=("[1]", "string")) and replies("nothing")["warning"] and canonical_json({"b": 1, "a": "é"}) == '{"a": "é", "b": 1}'
     assert embedding_text([{"type": "text", "text": " a "}, {"type": "image"}, {"type": "text", "text": "b"}]) == "a\nb" and embedding_text({"text": " "}) is None
 
 
@@ -160,9 +161,9 @@ def test_sentence_windows_hold_budget_and_text():
 
 
 def test_semantic_chunks_keep_all_text_and_strategies_are_checked(spark):
-    e = elements(spark, [("d", 0, "e0", "paragraph", "Robots carry crates. Robots lift crates. The moon is far.", None, None)])
+    e = elements(spark, [("d", 0, "e0", "paragraph", "Owls hunt mice. Owls hunt voles. The tide is high.", None, None)])
     c = chunking.semantic(e, chunking.ChunkingConfig(strategy="semantic", percentile=50), HashingEmbedder(32)).orderBy("chunk_index").collect()
-    assert len(c) > 1 and " ".join(r["text"] for r in c) == "Robots carry crates. Robots lift crates. The moon is far."
+    assert len(c) > 1 and " ".join(r["text"] for r in c) == "Owls hunt mice. Owls hunt voles. The tide is high."
     with pytest.raises(ValueError):
         chunking.chunk(e, chunking.ChunkingConfig(strategy="semantic"))
 
@@ -249,24 +250,24 @@ def test_guards(spark):
 # -- the whole engine ---------------------------------------------------------------------------------------------------------
 def test_engine_from_files_to_answers(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "robots.txt").write_text("Robots carry crates in the warehouse.\n\nThe charger stands at the dock.")
-    (tmp_path / "in" / "refunds.txt").write_text("Refunds are paid within ten days.")
+    (tmp_path / "in" / "owls.txt").write_text("Owls hunt mice in the orchard.\n\nThe ladder leans on the barn.")
+    (tmp_path / "in" / "tides.txt").write_text("Tides turn every six hours.")
     (tmp_path / "in" / "old.doc").write_bytes(b"x")
     engine, scope = Engine(spark, f"file://{tmp_path}/store"), Scope("t", "a")
     found = files.read_files(spark, f"file://{tmp_path}/in", "t", "a")
     report = {r["filename"]: (r["status"].split(":")[0], r["vector_records"]) for r in engine.ingest(found, scope).collect()}
-    assert report == {"robots.txt": ("ready", 1), "refunds.txt": ("ready", 1), "old.doc": ("unavailable", None)}
+    assert report == {"owls.txt": ("ready", 1), "tides.txt": ("ready", 1), "old.doc": ("unavailable", None)}
     counts = lambda: [engine.table(n).count() for n in ("vectors", "nodes", "edges")]
     once = counts()
     engine.ingest(found, scope)
     assert counts() == once
-    top = engine.search("robots carry crates", scope, 1).first()
-    assert "Robots" in top["text"] and engine.search("robots", Scope("other", "a")).count() == 0
-    chunk = engine.table("nodes").where("kind = 'chunk' and text like 'Robots%' and properties['chunk_role'] = 'child'").first()
-    reply = json.dumps({"entities": [{"id": "1", "type": "Technology", "name": "Robot"}, {"id": "2", "type": "Location", "name": "Dock"}], "relations": [{"source_id": "1", "target_id": "2", "type": "USES", "confidence": 0.9}]})
+    top = engine.search("owls hunt mice", scope, 1).first()
+    assert "Owls" in top["text"] and engine.search("owls", Scope("other", "a")).count() == 0
+    chunk = engine.table("nodes").where("kind = 'chunk' and text like 'Owls%' and properties['chunk_role'] = 'child'").first()
+    reply = json.dumps({"entities": [{"id": "1", "type": "Technology", "name": "Owl"}, {"id": "2", "type": "Location", "name": "Barn"}], "relations": [{"source_id": "1", "target_id": "2", "type": "USES", "confidence": 0.9}]})
     told = engine.enrich(spark.createDataFrame([(chunk["document_id"], chunk["record_id"], reply)], "document_id string, chunk_id string, raw string"), scope)
     assert tuple(told.first())[1:3] == (2, 1)
-    blocks = engine.retrieve("robots carry crates", scope, 1).collect()
+    blocks = engine.retrieve("owls hunt mice", scope, 1).collect()
     assert {b["strategy"] for b in blocks} == {"vector_semantic_graph"} and blocks[0]["source"] == "graph_parent"
     nodes, edges = engine.graph(scope)
     assert nodes.where("kind = 'entity'").count() == 2 and edges.where("relation = 'SEMANTIC_RELATION'").count() == 1
@@ -282,6 +283,77 @@ def test_engine_from_files_to_answers(spark, tmp_path):
     assert engine.table("nodes").count() == 0
 
 
+def test_ingesting_again_replaces(spark, tmp_path):
+    engine, scope = Engine(spark, f"file://{tmp_path}/store"), Scope("t", "a")
+    rows = lambda i, n: [(i, f"{i}.txt", ".txt", " ".join(f"{i}{k}" for k in range(n)).encode())]
+    put = lambda found, size: engine.ingest(spark.createDataFrame(found, "document_id string, filename string, extension string, content binary"), scope, chunking.ChunkingConfig(strategy="sliding_window", max_tokens=size, overlap_tokens=0))
+    put(rows("x", 200), 10)
+    put(rows("y", 30), 10)
+    assert engine.table("vectors").count() == 23
+    put(rows("x", 200), 100)
+    nodes, edges = engine.table("nodes"), engine.table("edges")
+    assert engine.table("vectors").where("document_id = 'x'").count() == 2 and nodes.where("kind = 'chunk' and document_id = 'x'").count() == 2
+    assert edges.where("relation = 'NEXT_CHUNK'").count() == 1 + 2 and engine.table("vectors").where("document_id = 'y'").count() == 3
+    assert edges.join(nodes, edges["src"] == nodes["id"], "left_anti").count() == 0 and edges.join(nodes, edges["dst"] == nodes["id"], "left_anti").count() == 0
+    broken = [("y", "y.docx", ".docx", b"no zip")]
+    assert put(broken, 10).first()["status"].startswith("failed") and engine.table("vectors").where("document_id = 'y'").count() == 3
+
+
+def test_two_writers_from_one_manifest(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    base = engine._manifest()
+    engine._publish(base, vectors=[])
+    with pytest.raises(RuntimeError):
+        engine._publish(base, vectors=[])
+
+
+def test_answers_by_a_model(spark, tmp_path):
+    engine, scope = Engine(spark, f"file://{tmp_path}/store"), Scope("t", "a")
+    engine.ingest(spark.createDataFrame([("d", "d.txt", ".txt", b"Owls hunt mice in the orchard.")], "document_id string, filename string, extension string, content binary"), scope)
+
+    def extractor(prompt):
+        if "owls" not in prompt.lower():
+            raise OSError("down")
+        return '{"entities":[{"id":"1","type":"concept","name":"Owl"}],"relations":[]}'
+
+    told = engine.learn(scope, extractor).first()
+    assert (told["entities"], told["relations"], told["warnings"]) == (1, 0, [])
+    assert engine.learn(scope, lambda p: 1 / 0).first()["warnings"]
+    seen = []
+
+    def model(text):
+        seen.append(text)
+        return '{"decision":"grounded","answer":"They hunt mice","used_references":[1]}'
+
+    got = engine.answer("owls hunt mice", scope, model)
+    assert (got["response_type"], got["answer"], got["strategy"]) == ("grounded_answer", "They hunt mice [1]", "vector_semantic_graph") and "Owls hunt" in seen[0]
+    assert engine.answer("what is the government", scope, model)["response_type"] == "refusal" and len(seen) == 1
+    planner = lambda q, schema: "select count(*) n from nodes where kind = 'document'" if "count" in q and "nodes(" in schema else None
+    engine.answer("count owls hunt mice", scope, model, planner)
+    assert '{"n":1}' in seen[1] and seen[1].index("source=vector") < seen[1].index("source=graph_query")
+    assert engine.structured("x", lambda q, s: "drop table nodes") is None
+    listing = spark.createDataFrame([("d", "d.txt", "ready", 1, "t", "a", "", None)], "id string, filename string, status string, created_at long, tenant_id string, app_id string, collection_id string, metadata string")
+    got = engine.answer("danh sach tai lieu", scope, model, documents=listing)
+    assert "- d.txt (ready)" in seen[2] and got["strategy"] == "document_registry"
+    assert engine.answer("owls hunt mice", scope, lambda t: 1 / 0)["response_type"] == "refusal"
+
+
+def test_embedding_is_tried_again(spark, monkeypatch):
+    from lodestack.functions import embedding
+
+    class Odd(HashingEmbedder):
+        calls = 0
+
+        def embed(self, texts):
+            self.calls += 1
+            if self.calls == 1:
+                raise TimeoutError
+            return super().embed(texts)
+
+    frame = spark.createDataFrame([("a b",)], "text string").coalesce(1)
+    assert len(embedding.embedded(frame, Odd(8)).first()["vector"]) == 8
+
+
 def test_streams_equal_batches(spark, tmp_path):
     from lodestack.streaming.jobs import ingest_stream, run_available, usage_sessions, usage_windows
 

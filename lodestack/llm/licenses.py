@@ -1,14 +1,20 @@
-"""Operator 10, license scans: an exact index of the templates' shingles.
+"""Operator 10, license scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
 Built from SQL functions only. A text becomes lower-case words (runs of letters and digits) and 64-bit hashes of its
-five-word shingles. Texts without any shingle of a template go; the shingles of the others meet a broadcast index of
-(shingle, template). A match holds at least 0.8 of the template's distinct shingles anywhere in the text, so neither the
-place of a notice nor words inserted into it decide whether it is found. Reported is the shortest run of words, the
-first of several, that holds all of the template's shingles that the text has.
+five-word shingles; texts, and then windows, without any shingle of a template are passed over. Templates are classed by
+length (each class up to a quarter longer than its shortest). For a class, windows begin every half of its shortest length and are so wide
+that any run of up to twice its longest length lies whole in one of them, at whatever offset. A window and a template that share one
+of the class's bands (the least of a permuted hash) are a candidate pair. There are as many bands as keep the probability to miss
+below `miss` at the least Jaccard similarity that such a window can have with a template of which it holds `least`.
+
+A candidate is verified over the whole text: it matches if the text has at least 0.8 of the template's distinct shingles.
+Reported is the shortest run of words, the first of several, that holds all of the template's shingles that the text
+has. A notice stretched by insertions to more than twice its length may or may not be retrieved; its words are far apart then.
 
 Defined results: a null text is an empty one; texts of fewer than five words match nothing; rows that share an id are
-scanned one by one and reported together; several templates in a text give a row each; an empty table gives no rows; templates have five
-words or more and their table is a parameter of bounded size, which is broadcast.
+scanned one by one and reported together; several templates in a text give a row each; an empty table gives no rows; other columns
+are ignored; a text of any length is one row's work; templates have five words or more, and their table is a parameter of bounded
+size, which is broadcast.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
 from .quality import let
 
 SHINGLE = 5
@@ -57,14 +64,45 @@ def words_of_template(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def bands_of(sizes: list[int], width: int, least: float, miss: float) -> int:
+    """Bands of one MinHash each that miss with a probability under `miss`, for templates of these numbers of shingles.
+
+    A window of `width` shingles that holds `least` of a template's m shares need of at most width + m - need.
+    """
+    worst = min(math.ceil(least * m) / (width + m - math.ceil(least * m)) for m in sizes)
+    return 1 if worst >= 1 else math.ceil(math.log(miss) / math.log(1 - worst))
+
+
+def layout(lengths: dict[str, tuple[int, int]], least: float, miss: float) -> list[tuple[list[str], int, int, int]]:
+    """template -> (words, distinct shingles) to (templates, stride, width, bands) of each class of lengths."""
+    classes: dict[int, list[str]] = {}
+    for name, (n, _) in lengths.items():
+        classes.setdefault(math.floor(math.log(n / SHINGLE) / math.log(1.25) + 1e-9), []).append(name)
+    out = []
+    for names in classes.values():
+        words = [lengths[t][0] for t in names]
+        stride = max(1, min(words) // 2)
+        width = 2 * max(words) - SHINGLE + stride
+        out.append((names, stride, width, bands_of([lengths[t][1] for t in names], width, least, miss)))
+    return out
+
+
 def bands_for(templates: tuple, least: float, miss: float) -> int:
-    """Bands of one MinHash each that miss a window with a match with probability under `miss`; scan() needs none."""
-    worst = 1.0
-    for _, _, text in templates:
-        n = len(words_of_template(text))
-        m = n - SHINGLE + 1
-        worst = min(worst, math.ceil(least * m) / (2 * n - SHINGLE + 1 + m - math.ceil(least * m)))
-    return math.ceil(math.log(miss) / math.log(1 - worst))
+    """The most bands of any class."""
+    words = {name: words_of_template(text) for name, _, text in templates}
+    lengths = {name: (len(w), len({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)})) for name, w in words.items()}
+    return max(n for *_, n in layout(lengths, least, miss))
+
+
+def signature(hashes: Column, bands: Column) -> Column:
+    """The least of each band's permuted hashes, hashed with the band's number."""
+    return F.transform(F.sequence(F.lit(1), bands), lambda k: F.xxhash64(k, F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, k)))))
+
+
+def collisions(h: Column, stride: int, width: int, bands: int, own: Column, keys: Column) -> Column:
+    """Band keys that windows of h share with templates of one class."""
+    windows = F.transform(F.sequence(F.lit(1), F.size(h), F.lit(stride)), lambda i: F.slice(h, i, F.lit(width)))
+    return F.flatten(F.transform(F.filter(windows, lambda w: F.arrays_overlap(w, own)), lambda w: F.array_intersect(signature(w, F.lit(bands)), keys)))
 
 
 def template_table(spark: SparkSession, templates: tuple) -> DataFrame:
@@ -92,18 +130,31 @@ def shortest(places: Column, m: Column) -> Column:
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, least: float = 0.8, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, template, license, containment and the words (first_word, n_words) that hold the most; `miss` is met as nothing is missed."""
+    """id_col, template, license, containment and the words (first_word, n_words) that hold the most."""
     spark = docs.sparkSession
     known = template_table(spark, templates)
-    everything = F.array(*[F.lit(r["h"]) for r in known.select(F.explode("hashes").alias("h")).distinct().orderBy("h").collect()])
+    told = {r["template"]: r for r in known.collect()}  # at most MOST_TEMPLATES
+    classes = layout({t: (r["length"], len(r["hashes"])) for t, r in told.items()}, least, miss)
+    bands = F.create_map(*(x for names, _, _, n in classes for t in names for x in (F.lit(t), F.lit(n))))
+    signed = written(known.select("template", signature(F.col("hashes"), bands[F.col("template")]).alias("keys")))
+    keys = {r["template"]: r["keys"] for r in signed.collect()}
+    literal = lambda found: F.array(*map(F.lit, sorted(set(found))))
+    everything = literal(h for r in told.values() for h in r["hashes"])
+
+    def retrieved(h: Column) -> Column:
+        found = [collisions(h, stride, width, n, literal(x for t in names for x in told[t]["hashes"]), literal(x for t in names for x in keys[t])) for names, stride, width, n in classes]
+        return F.array_distinct(F.concat(*found))
 
     # One expression, with words and hashes bound once: a filter on a column of hashes would be pushed down and compute
     # them again, and inside a lambda once for each word.
-    kept = let(words_column(F.col(text_col)), lambda w: let(shingles(w), lambda h: F.when(F.arrays_overlap(h, everything), F.array(h)).otherwise(F.array().cast("array<array<bigint>>"))))
-    near = docs.select(F.col(id_col).alias("__id"), F.explode_outer(kept).alias("__h")).where(F.col("__h").isNotNull())
-    placed = near.select("__id", F.xxhash64("__h").alias("__row"), F.posexplode("__h").alias("at", "hash"))
+    one = lambda h: F.struct(h.alias("h"), retrieved(h).alias("hits"))
+    none = F.array().cast("array<struct<h:array<bigint>,hits:array<bigint>>>")
+    kept = let(words_column(F.col(text_col)), lambda w: let(shingles(w), lambda h: F.when(F.arrays_overlap(h, everything), F.array(one(h))).otherwise(none)))
+    near = docs.select(F.col(id_col).alias("__id"), F.explode_outer(kept).alias("__n")).where(F.size("__n.hits") > 0)
+    placed = near.select("__id", F.xxhash64("__n.h").alias("__row"), F.col("__n.hits").alias("hits"), F.posexplode("__n.h").alias("at", "hash"))
     index = known.select("template", "license", F.size("hashes").alias("m"), F.posexplode("hashes").alias("shingle", "hash"))
-    met = placed.join(F.broadcast(index), "hash").groupBy("__id", "__row", "template").agg(F.first("license").alias("license"), F.first("m").alias("m"), F.collect_set(F.struct((F.col("at") + 1).alias("at"), "shingle")).alias("places"))
+    pairs = placed.join(F.broadcast(index), "hash").join(F.broadcast(signed), "template").where(F.arrays_overlap("hits", "keys"))
+    met = pairs.groupBy("__id", "__row", "template").agg(F.first("license").alias("license"), F.first("m").alias("m"), F.collect_set(F.struct((F.col("at") + 1).alias("at"), "shingle")).alias("places"))
     held = met.withColumn("containment", F.size(F.array_distinct(F.transform("places", lambda p: p["shingle"]))) / F.col("m")).where(F.col("containment") >= least)
     runs = held.select("__id", "template", "license", "containment", shortest(F.sort_array("places"), F.col("m")).alias("run"))
     best = F.struct(F.col("containment"), (-F.col("run.first_word")).alias("before"), (-F.col("run.n_words")).alias("words"), F.col("license").alias("license"))

@@ -1,6 +1,7 @@
 """Operators over documents against brute force: quality, SimHash, substring dedup, BPE, licenses."""
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -330,3 +331,18 @@ def test_license_with_inserted_words_at_every_offset(spark):
     frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
     got = licenses.scan(frame).collect()
     assert sorted((r["doc_id"], r["template"], round(r["containment"], 6), r["first_word"], r["n_words"]) for r in got) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_license_query_against_brute_force(spark):
+    from lodestack.llm import licenses, queries
+
+    sf = "/root/testdata/sf0.01"
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    templates = {n: set(grams(licenses.words_of_template(t))) for n, _, t in licenses.TEMPLATES}
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        have = set(grams(licenses.words_of_template(r["text"] or "")))
+        want |= {(r["doc_id"], n): len(have & t) / len(t) for n, t in templates.items() if len(have & t) >= 0.8 * len(t)}
+    got = {(r["doc_id"], r["template"]): r["containment"] for r in queries.QUERIES["op10_license_scan"](spark, sf).collect()}
+    assert want and got == pytest.approx(want)

@@ -112,3 +112,13 @@ def embedding_text(value: object) -> str | None:
         parts = [p["text"].strip() for p in value if isinstance(p, dict) and p.get("type") == "text" and isinstance(p.get("text"), str)]
         return "\n".join(p for p in parts if p) or None
     return None
+
+
+def embedding_input(raw: Column) -> Column:
+    """embedding_text() of a value given as JSON."""
+    value = F.try_parse_json(raw)
+    kind = F.schema_of_variant(value)
+    text_of = lambda v, path="$": F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.nullif(trimmed(F.try_variant_get(v, path, "string")), F.lit("")))
+    parts = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.type", "string") == "text", F.lit(False)))
+    joined = F.nullif(F.array_join(F.filter(F.transform(parts, lambda x: text_of(x, "$.text")), F.isnotnull), "\n"), F.lit(""))
+    return F.when(kind == "STRING", text_of(value)).when(kind.startswith("OBJECT"), text_of(value, "$.text")).when(kind.startswith("ARRAY"), joined)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import HIDDEN, Scope
+from ..schema import HIDDEN, STATUSES, Scope
 
 LISTED = 20
 
@@ -45,3 +45,14 @@ def with_filenames(rows: DataFrame, documents: DataFrame) -> DataFrame:
 
 def delete(documents: DataFrame, document_id: str) -> DataFrame:
     return documents.where(~F.coalesce(F.col("id") == document_id, F.lit(False)))
+
+
+def put(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """documents with rows added, in place of those of the same id."""
+    return documents.join(rows.select("id"), "id", "left_anti").select(*documents.columns).unionByName(rows.select(*documents.columns))
+
+
+def with_status(documents: DataFrame, changes: DataFrame) -> DataFrame:
+    """documents with the status of changes (id, status); a change to an unknown status or document does nothing."""
+    told = changes.where(F.col("status").isin(*STATUSES)).groupBy("id").agg(F.max("status").alias("__s"))
+    return documents.join(told, "id", "left").withColumn("status", F.coalesce("__s", "status")).select(*documents.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,18 +22,25 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def unfenced(raw: Column, *labels: str) -> Column:
     """What stands between a code fence's ends, without its label; a text that is no fence as it is."""
-    text = trimmed(F.coalesce(raw, F.lit("")))
-    fenced = text.startswith("```") & text.endswith("```") & (F.length(text) >= 6)
-    inner = F.regexp_replace(F.substring(text, F.lit(4), F.length(text) - 6), f"^(?i:{'|'.join(labels)})", "")
-    return F.when(fenced, trimmed(inner)).otherwise(text)
+
+    def body(text: Column) -> Column:
+        fenced = text.startswith("```") & text.endswith("```") & (F.length(text) >= 6)
+        inner = F.regexp_replace(F.substring(text, F.lit(4), F.length(text) - 6), f"^(?i:{'|'.join(labels)})", "")
+        return F.when(fenced, trimmed(inner)).otherwise(text)
+
+    return bound(trimmed(F.coalesce(raw, F.lit(""))), body)
 
 
 def json_object(raw: Column) -> Column:
     """The JSON object that raw holds, with or without a code fence around it, as a variant; null for anything else."""
-    value = F.try_parse_json(unfenced(raw, "json"))
-    return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value)
+    return bound(F.try_parse_json(unfenced(raw, "json")), lambda value: F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value))
 
 
 def said(value: Column, *keys: str) -> Column:

@@ -71,9 +71,11 @@ def _named(types: tuple[str, ...]) -> Column:
 
 
 def _firsts(rows: Column, *key: str) -> Column:
-    """The first of the rows of each key."""
-    keys = F.transform(rows, lambda r: F.struct(*(r[k] for k in key)))
-    return F.filter(rows, lambda r, i: F.array_position(keys, F.struct(*(r[k] for k in key))) == i + 1)
+    """The first of the rows of each key, in order: by sorting, since arrays may be as long as texts."""
+    placed = F.transform(rows, lambda r, i: F.struct(F.struct(*(r[k] for k in key)).alias("k"), i.alias("i"), r.alias("r")))
+    leading = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))
+    kept = F.transform(bound(F.array_sort(placed), leading), lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r")))
+    return F.transform(F.array_sort(kept), lambda x: x["r"])
 
 
 def extracted(replies: DataFrame, raw: str = "raw", into: str = "extracted") -> DataFrame:
@@ -91,7 +93,9 @@ def extracted(replies: DataFrame, raw: str = "raw", into: str = "extracted") ->
     read = read.withColumn("__e", F.filter("__e", lambda e: (e["local_id"] != "") & (e["name"] != "") & e["entity_type"].isNotNull()))
     read = read.withColumn("__e", _firsts(F.col("__e"), "local_id"))
     read = read.withColumns({"__ids": F.transform("__e", lambda e: e["local_id"]), "__n": mapped(F.transform("__e", lambda e: e["name"]), lambda x: [entity_form(n) for n in x], "array<string>")})
-    kept = _firsts(F.filter("__r", lambda r: r["relation_type"].isNotNull() & F.array_contains("__ids", r["source_id"]) & F.array_contains("__ids", r["target_id"])), "source_id", "target_id", "relation_type")
+    ends = F.array_union(F.transform("__r", lambda r: r["source_id"]), F.transform("__r", lambda r: r["target_id"]))
+    linked = bound(F.array_except(ends, F.col("__ids")), lambda unknown: F.filter("__r", lambda r: r["relation_type"].isNotNull() & ~F.array_contains(unknown, r["source_id"]) & ~F.array_contains(unknown, r["target_id"])))
+    kept = _firsts(linked, "source_id", "target_id", "relation_type")
     entities = F.zip_with("__e", "__n", lambda e, n: F.struct(e["local_id"].alias("local_id"), e["entity_type"].alias("entity_type"), e["name"].alias("name"), n.alias("normalized_name"), e["description"].alias("description")))
     warning = F.when(F.col("__none"), F.lit("the reply holds no JSON object")).alias("warning")
     return read.select(*own, F.struct(entities.alias("entities"), kept.alias("relations"), warning).alias(into))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.embedding import HashingEmbedder, embedded
 from ..functions.labels import retrieval_strategy, score_percent
 from ..functions.text import content_hash
 from ..functions.vectors import cosine
 from ..operators import config, context, graph, health, registry, vectors
 from ..schema import Scope
-from ..storage import own_dir
+from ..storage import own_dir, written
 from . import corpus
 from .catalog_text import CHUNKS, WS
 from .engine import hybrid
@@ -156,7 +156,7 @@ def snk07_delete_document(spark, sf):
 
 
 # -- the entity graph ------------------------------------------------------------------------------------------------------
-SEM = "sem as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem where l_quantity >= 49), both_ways as (select src as a, dst as b from sem union select dst, src from sem)"
+SEM = "sem as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem), both_ways as (select src as a, dst as b from sem union select dst, src from sem)"
 MEN = "men as (select distinct 'p' || l_partkey as src, 'o' || l_orderkey as dst from lineitem)"
 
 
@@ -199,17 +199,16 @@ def j19_orphan_entities(spark, sf):
     return graph.orphan_entities(entities.withColumn("kind", F.lit("entity")), edges).select("id")
 
 
-@query("""select count(*) as n, count(distinct 'p' || l_partkey) as sources from (select distinct l_partkey, l_suppkey from lineitem where l_quantity >= 49)""")
+@query("""select count(*) as n, count(distinct 'p' || l_partkey) as sources from (select distinct l_partkey, l_suppkey from lineitem)""")
 def snk05_relation_upsert(spark, sf):
-    """Merged twice with a third of the edges repeated and some to missing nodes: as if once."""
+    """Merged twice, with an edge to a missing node for each that holds: as if once."""
     entities, edges = corpus.star(spark, sf)
     sem = edges.where("relation = 'SEMANTIC_RELATION'")
-    bad = sem.limit(5).withColumn("dst", F.lit("nowhere"))
-    once = graph.merge_edges(sem.where(F.lit(False)), sem.unionByName(bad), entities)
-    return graph.merge_edges(once, sem.where(F.xxhash64("src") % 3 == 0), entities).agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"))
+    once = graph.merge_edges(sem.where(F.lit(False)), sem.unionByName(sem.withColumn("dst", F.concat(F.lit("no-"), "dst"))), entities)
+    return graph.merge_edges(once, sem, entities).agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"))
 
 
-@query("""select 'p' || l_partkey as src, 's' || l_suppkey as dst, lower(p_name) as src_label, lower(s_name) as dst_label from (select distinct l_partkey, l_suppkey from lineitem where l_quantity >= 49) join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey""")
+@query("""select 'p' || l_partkey as src, 's' || l_suppkey as dst, lower(p_name) as src_label, lower(s_name) as dst_label from (select distinct l_partkey, l_suppkey from lineitem) join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey""")
 def src20_triplets(spark, sf):
     entities, edges = corpus.star(spark, sf)
     nodes = entities.select("id", F.lit("entity").alias("kind"), F.col("normalized_name").alias("label"))
@@ -226,12 +225,17 @@ def src19_nodes_by_property(spark, sf):
 # -- retrieval ---------------------------------------------------------------------------------------------------------------
 @query()
 def j15_hybrid_retrieval(spark, sf):
-    """Chunks that hold a rare word as matches, expanded by the structure graph."""
+    """The chunks nearest to the first benchmark text, of all chunks, expanded by entities, relations and structure."""
     nodes, edges = corpus.graph(spark, sf)
-    found = nodes.where("kind = 'chunk'").orderBy(F.xxhash64("id"), "id").limit(20).select("id", F.row_number().over(Window.orderBy("id")).alias("rank"))
-    none = spark.createDataFrame([], "id string, name string, entity_type string")
-    c, _ = hybrid(found, nodes, edges, none, none.select("id"))
-    return c.select("chunk_id", "document_id", "chunk_index", "next_chunk_id")
+    chunks = nodes.where("kind = 'chunk'")
+    replies = corpus.replies_of_chunks(chunks.select("document_id", F.col("record_id").alias("chunk_id"), "text"))
+    all_edges = written(edges.unionByName(graph.semantic_edges(replies, corpus.SCOPE)))
+    entities = written(graph.entity_rows(replies, corpus.SCOPE).select("id", "name", "entity_type").distinct())
+    wanted = corpus.table(spark, sf, "benchmark").orderBy("item_id").first()["text"]
+    embedder = HashingEmbedder(64)
+    found = written(vectors.top_k(embedded(chunks.select("id", "text"), embedder), embedder.embed([wanted])[0], 20, id_col="id"))
+    c, _ = hybrid(found.select("id", "rank"), nodes, all_edges, entities, entities.select("id"))
+    return c.select("chunk_id", "document_id", "chunk_index", "next_chunk_id", F.col("pos.o").alias("part"), F.col("pos.r").alias("rank"))
 
 
 @query("""with c as (select label, count(*) as v, sum((vec_id % 4 = 0)::int)::bigint as g, sum((vec_id % 100 = 0)::int)::bigint as e from embeddings group by label)

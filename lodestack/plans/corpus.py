@@ -54,10 +54,20 @@ def star(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     entities = p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lower("p_name").alias("normalized_name"), F.lit("Product").alias("entity_type")).unionByName(s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lower("s_name").alias("normalized_name"), F.lit("Organization").alias("entity_type")))
     none = [F.lit("").alias("description"), F.lit(1.0).alias("confidence")]
     mention = li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("o"), "l_orderkey").alias("dst"), F.lit("MENTIONED_IN").alias("relation"), F.lit("").alias("kind"), *none).distinct()
-    relates = li.where("l_quantity >= 49").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.lit("SEMANTIC_RELATION").alias("relation"), F.lit("PRODUCES").alias("kind"), *none).distinct()
+    relates = li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.lit("SEMANTIC_RELATION").alias("relation"), F.lit("PRODUCES").alias("kind"), *none).distinct()
     return entities, mention.unionByName(relates)
 
 
+def replies_of_chunks(chunks: DataFrame) -> DataFrame:
+    """What a model might tell of each chunk: its longest word (the first of them) relates to its last; both are entities."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    ranked = F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w")))
+    told = chunks.where(F.size(words) > 0).select("document_id", "chunk_id", F.array_max(ranked)["w"].alias("a"), F.element_at(words, -1).alias("b"))
+    entity = lambda local: F.struct(F.lit(local).alias("local_id"), F.lit("Concept").alias("entity_type"), F.col(local).alias("name"), F.col(local).alias("normalized_name"))
+    relation = F.struct(F.lit("a").alias("source_id"), F.lit("b").alias("target_id"), F.lit("RELATED_TO").alias("relation_type"), F.lit("").alias("description"), F.lit(1.0).alias("confidence"))
+    return told.select("document_id", "chunk_id", F.array(entity("a"), entity("b")).alias("entities"), F.array(relation).alias("relations"))
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", "ts", F.col("user_id").cast("string").alias("key_id"), (F.col("event_type") != "error").alias("ok"), "event_type", F.when(F.col("event_id") % 3 == 0, F.col("value").cast("long")).alias("embedding_tokens"), F.col("value").cast("long").alias("llm_tokens"))

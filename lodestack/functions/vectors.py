@@ -22,15 +22,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(ok, F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def _sum(terms: list[Column]) -> Column:
+    """The terms' sum as a balanced tree: a chain of as many terms as a vector has numbers is too deep for the planner's stack."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
+    return terms[0]
+
+
 def cosine_to(a: Column, query: list[float]) -> Column:
     """cosine() to one query: a sum of products with literals, which stays in generated code."""
     length = math.sqrt(sum(x * x for x in query))
     if not length:
         return F.lit(0.0)
     at = [F.get(a, i).cast("double") for i in range(len(query))]
-    both, own = F.lit(0.0), F.lit(0.0)
-    for x, q in zip(at, query, strict=True):
-        both, own = both + x * F.lit(float(q)), own + x * x
+    both, own = _sum([x * F.lit(float(q)) for x, q in zip(at, query, strict=True)]), _sum([x * x for x in at])
     return F.when(a.isNotNull() & (F.size(a) == len(query)), F.coalesce(F.try_divide(both, F.sqrt(own) * F.lit(length)), F.lit(0.0))).otherwise(F.lit(0.0))
 
 

@@ -161,7 +161,8 @@ class Engine:
                 return None
 
         chunks = self.table("nodes").where(scope.of_graph() & (F.col("kind") == "chunk") & (F.col("properties")["is_embeddable"] == "true") & (F.trim("text") != ""))
-        return self.enrich(chunks.select("document_id", F.col("record_id").alias("chunk_id"), mapped(F.col("text"), ask).alias("raw")), scope)
+        # Written, so that each chunk is asked about once, however often the plan that reads its reply refers to it.
+        return self.enrich(written(chunks.select("document_id", F.col("record_id").alias("chunk_id"), mapped(F.col("text"), ask).alias("raw"))), scope)
 
     def delete(self, document_id: str, scope: Scope) -> int:
         """Deletes a document with its elements, chunks, vectors and edges, and entities that nothing mentions any more; the number of records."""

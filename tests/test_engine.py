@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import zipfile
 
 import pytest
@@ -78,6 +79,14 @@ def test_cosine_edges(spark):
     assert one(spark, cosine_to(F.col("a"), [0.0, 0.0]), a=([2.0, 0.0], kind)) == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 1536])
+def test_cosine_to_long_vectors(spark, n):
+    v, q = [math.sin(i + 1) for i in range(n)], [math.cos(i * i) for i in range(n)]
+    frame = spark.createDataFrame([(v, q), (None, q), ([0.0] * n, q), (v[1:], q)], "v array<double>, q array<double>")
+    got = frame.select(cosine_to(F.col("v"), q), cosine(F.col("v"), F.col("q"))).collect()
+    assert all(abs(a - b) < 1e-12 for a, b in got) and got[0][0] != 0 and [a for a, _ in got[1:]] == [0.0, 0.0, 0.0]
+
+
 @pytest.mark.parametrize("said, want", [("Đạo đức là gì", False), ("dao duc la gi", True), ("tự tử", True), ("governments", False), ("the government.", True)])
 def test_restricted_topics(spark, said, want):
     assert one(spark, policy.restricted_topic(text.policy_text(F.col("t"))), t=(said, "string")) is want

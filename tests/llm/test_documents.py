@@ -281,8 +281,9 @@ def test_bpe_equals_the_library(spark, vocabulary):
     assert sorted((r["doc_id"] or -1, tuple(r["ids"])) for r in encoded.collect()) == want
     back = sorted((r["doc_id"] or -1, r["text"]) for r in decode(encoded, vocabulary).collect())
     assert back == sorted((i or -1, t or "") for i, t, _ in DATA)
-    digest = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"]) for r in digests(docs(spark), vocabulary).collect())
-    assert digest == sorted((i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, x in want)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    digest = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in digests(docs(spark), vocabulary).collect())
+    assert digest == sorted((i, len(x), sha(",".join(map(str, x))), sha(library.decode(list(x), skip_special_tokens=False))) for i, x in want)
     assert encode(empty(spark), vocabulary).count() == 0
 
 

@@ -76,6 +76,24 @@ def op10_license_scan(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"), least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_lm_score, op3_simhash, op4_chat_format, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules, op10_license_scan)}
+def op11_vector_codes(spark, sf_dir):
+    from .codes import digests
+
+    return digests(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
+def op12_centroids(spark, sf_dir):
+    from .centroids import digests
+
+    return digests(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64)
+
+
+def op13_html_extraction(spark, sf_dir):
+    from .extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_lm_score, op3_simhash, op4_chat_format, op5_bpe, op6_mixing, op7_warc, op8_substring_dedup, op9_quality_rules, op10_license_scan, op11_vector_codes, op12_centroids, op13_html_extraction)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

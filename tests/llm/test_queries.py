@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["op7_warc", "op8_substring_dedup", "op9_quality_rules"])
+@pytest.mark.parametrize("name", ["op7_warc", "op8_substring_dedup", "op9_quality_rules", "op11_vector_codes", "op12_centroids", "op13_html_extraction"])
 def test_query(spark, name):
     from lodestack.llm.queries import ORACLE_SQL, QUERIES
 
@@ -17,7 +17,7 @@ def test_query(spark, name):
     columns = sorted(frame.columns)
     got = sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr)
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in found.description]

@@ -1,19 +1,10 @@
-"""The engine as one object: ingest, search, retrieve, answer, graph, health, delete. Tables are Parquet folders under one root.
-
-A table is a list of folders. A change rewrites only folders with rows that it replaces, adds a folder of new rows, and then
-creates the next manifest, which names the folders of every table: a reader sees all of a change or none, a failed change
-leaves nothing visible, and of two writers that began from one manifest the second gets an error, since a manifest is
-created once.
-"""
+"""The engine as one object: ingest, search, retrieve, answer, graph, health, delete, over the tables of a store."""
 
 from __future__ import annotations
 
-import json
 import re
-import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +16,12 @@ from ..functions.text import mapped, policy_text
 from ..ontology import prompt
 from ..operators import chunking, graph, health, registry, vectors
 from ..operators.context import BLOCKS, SOURCES, compact, rendered
-from ..schema import EDGES, NODES, VECTORS, Scope
+from ..operators.patterns import match, pattern_of
+from ..schema import EDGES, NODES, RELATIONS, VECTORS, Scope
 from ..sources.parsers import parse_files
 from ..storage import written
+from .guard import check_query
+from .store import Store
 
 TABLES = {"vectors": VECTORS, "nodes": NODES, "edges": EDGES, "entities": "id string, document_id string, chunk_id string, entity_type string, name string, normalized_name string"}
 
@@ -55,62 +49,20 @@ def hybrid(matches: DataFrame, nodes: DataFrame, edges: DataFrame, entities: Dat
     return context, entities.join(near, "id", "left_semi").select("id", "name", "entity_type").distinct()
 
 
-class Engine:
+class Engine(Store):
+    tables, keys = TABLES, KEYS
+
     def __init__(self, spark: SparkSession, root: str, provider: EmbeddingProvider | None = None):
-        self.spark, self.root, self.provider = spark, root.rstrip("/"), provider or HashingEmbedder()
-
-    # -- tables ------------------------------------------------------------------------------------------------------
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _manifest(self) -> dict:
-        folder, fs = self._path("manifests")
-        names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
-        return json.loads(self.spark.read.text(f"{self.root}/manifests/{names[-1]}", wholetext=True).first()[0]) if names else {"n": 0, "tables": {}}
-
-    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
-        at = (manifest or self._manifest())["tables"].get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(*at) if at else self.spark.createDataFrame([], TABLES[name])
-
-    def _publish(self, base: dict, **changed: list[str]) -> None:
-        """The manifest after base; raises RuntimeError if another writer has created it."""
-        path, fs = self._path(f"manifests/{base['n'] + 1:010d}.json")
-        told = json.dumps({"n": base["n"] + 1, "tables": base["tables"] | changed})
-        try:
-            out = fs.create(path, False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
-                raise RuntimeError("another writer has changed the tables; begin again") from None
-            raise
-        out.write(told.encode())
-        out.close()
-
-    def _put(self, base: dict, name: str, gone: DataFrame | None, new: DataFrame | None) -> list[str]:
-        """Folders of the table without the rows whose key is in gone, and with new. Folders that hold none of them stay."""
-        at, key = list(base["tables"].get(name, [])), list(KEYS[name])
-        parts = []
-        if at and gone is not None:
-            gone = written(gone.select(*key).distinct())
-            folder = F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/[^/]+$", 1)
-            hit = {r[0] for r in self.table(name, base).select(*key, folder.alias("__at")).join(gone, key, "left_semi").select("__at").distinct().collect()}
-            touched = [x for x in at if x.rsplit("/", 1)[1] in hit]
-            at = [x for x in at if x not in touched]
-            if touched:
-                parts.append(self.spark.read.schema(TABLES[name]).parquet(*touched).join(gone, key, "left_anti"))
-        if new is not None:
-            parts.append(new)
-        for rows in parts:
-            at.append(f"{self.root}/{name}/{uuid.uuid4().hex}")
-            rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.parquet(at[-1])
-        return at
+        super().__init__(spark, root)
+        self.provider = provider or HashingEmbedder()
 
     # -- writing -----------------------------------------------------------------------------------------------------
     def ingest(self, files: DataFrame, scope: Scope, config: chunking.ChunkingConfig | None = None) -> DataFrame:
         """files (document_id, filename, extension, content) -> a row of counts and status for each.
 
         Ingesting again replaces all that the scope holds of a document: its chunks and elements with their vectors and
-        edges; mentions of chunks that come again stay. A file that cannot be parsed leaves what is there. Files are parsed, cut and
+        edges. Mentions of chunks that come again with the same text stay; other mentions go, and so do entities that nothing mentions
+        any more. A file that cannot be parsed leaves what is there. Files are parsed, cut and
         embedded once.
         """
         base = self._manifest()
@@ -122,22 +74,38 @@ class Engine:
         rows = vectors.embed_records(vectors.records(chunks, scope), self.provider)
         nodes = written(graph.structure_nodes(files.select("document_id", "filename"), elements, chunks, scope))
         edges = written(graph.structure_edges(chunks, elements, scope).dropDuplicates(list(KEYS["edges"])))
-        before = self.table("nodes", base).where(scope.of_graph() & (F.col("kind") != "entity")).join(documents, "document_id", "left_semi").select("id")
+        same = lambda rows: rows.select("id", F.coalesce(F.col("properties")["content_hash"], F.lit("")).alias("hash"))
+        held = written(same(self.table("nodes", base).where(scope.of_graph() & (F.col("kind") != "entity")).join(documents, "document_id", "left_semi")))
+        before = held.select("id")
         old = self.table("edges", base)
         of_documents = old.where("relation not in ('MENTIONED_IN', 'SEMANTIC_RELATION')").join(before, old["src"] == before["id"], "left_semi").select(*KEYS["edges"])
-        unmentioned = old.where("relation = 'MENTIONED_IN'").join(before.join(nodes, "id", "left_anti"), F.col("dst") == F.col("id"), "left_semi").select(*KEYS["edges"])
+        changed = held.join(same(nodes), ["id", "hash"], "left_anti").select("id")
+        unmentioned = written(old.where("relation = 'MENTIONED_IN'").join(changed, F.col("dst") == F.col("id"), "left_semi").select(*KEYS["edges"]))
+        stale, orphans, orphaned = self._unmentioned(base, scope, unmentioned)
         in_scope = F.coalesce("collection_id", F.lit("")) == (scope.collection_id or "")
         of_vectors = self.table("vectors", base).where(scope.of_vectors() & in_scope).join(documents, "document_id", "left_semi").select("vector_id")
         self._publish(
             base,
             vectors=self._put(base, "vectors", of_vectors.unionByName(vectors.records(chunks, scope).select("vector_id")), rows),
-            nodes=self._put(base, "nodes", before.unionByName(nodes.select("id")), nodes),
-            edges=self._put(base, "edges", of_documents.unionByName(unmentioned).unionByName(edges.select(*KEYS["edges"])), edges),
+            nodes=self._put(base, "nodes", before.unionByName(nodes.select("id")).unionByName(orphans), nodes),
+            edges=self._put(base, "edges", of_documents.unionByName(unmentioned).unionByName(orphaned).unionByName(edges.select(*KEYS["edges"])), edges),
+            entities=self._put(base, "entities", stale, None),
         )
         told = chunking.stats(elements, all_chunks, chunks)
         failed = parsed.where("element_id is null").select("document_id", "status")
         return files.select("document_id", "filename").join(told, "document_id", "left").join(failed, "document_id", "left").withColumn("status", F.coalesce("status", F.lit("ready")))
 
+    def _unmentioned(self, base: dict, scope: Scope, mentions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Mentions (src, dst) that go -> keys of entity rows that go with them, entities that nothing else mentions, and keys of these entities' relations."""
+        edges, entities = self.table("edges", base), self.table("entities", base)
+        chunk = graph.node_id(F.lit(scope.tenant_id), F.lit(scope.app_id), F.lit(scope.collection_id or ""), "chunk", F.col("chunk_id"))
+        stale = entities.withColumn("__c", chunk).join(mentions.select(F.col("src").alias("id"), F.col("dst").alias("__c")), ["id", "__c"], "left_semi")
+        left = edges.where("relation = 'MENTIONED_IN'").join(mentions.select("src", "dst"), ["src", "dst"], "left_anti").select(F.col("src").alias("id"))
+        orphans = written(mentions.select(F.col("src").alias("id")).distinct().join(left, "id", "left_anti"))
+        relations = edges.where("relation = 'SEMANTIC_RELATION'")
+        touching = [relations.join(orphans.select(F.col("id").alias(end)), end, "left_semi").select(*KEYS["edges"]) for end in ("src", "dst")]
+        return stale.select(*KEYS["entities"]), orphans, touching[0].unionByName(touching[1])
+
     def enrich(self, replies: DataFrame, scope: Scope) -> DataFrame:
         """replies (document_id, chunk_id, raw) of a model -> counts and warnings for each document; entities and relations join the graph."""
         base = self._manifest()
@@ -145,6 +113,9 @@ class Engine:
         rows = graph.entity_rows(read, scope)
         nodes = rows.groupBy("id").agg(F.first("name").alias("label"), F.first("description").alias("text"), F.first("entity_type").alias("entity_type"), F.min("document_id").alias("document_id"))
         node = written(nodes.select("id", F.lit("entity").alias("kind"), F.lit(scope.tenant_id).alias("tenant_id"), F.lit(scope.app_id).alias("app_id"), F.lit(scope.collection_id or "").alias("collection_id"), "document_id", F.col("id").alias("record_id"), F.lit(0).cast("long").alias("position"), "label", "text", F.create_map(F.lit("entity_type"), F.col("entity_type")).alias("properties")))
+        # An entity that is known already stays with its first document, and keeps its description if none is told now.
+        was = self.table("nodes", base).select("id", F.col("document_id").alias("__d"), F.col("text").alias("__t"))
+        node = written(node.join(was, "id", "left").withColumns({"document_id": F.coalesce("__d", "document_id"), "text": F.coalesce(F.nullif(F.trim("text"), F.lit("")), "__t")}).drop("__d", "__t"))
         known = self.table("nodes", base).select("id").unionByName(node.select("id")).distinct()
         edges = written(graph.edges_between(graph.semantic_edges(read, scope), known).dropDuplicates(list(KEYS["edges"])))
         entities = written(rows.select("id", "document_id", "chunk_id", "entity_type", "name", "normalized_name").distinct())
@@ -206,19 +177,25 @@ class Engine:
         label = counts.select(retrieval_strategy(F.col("v"), F.col("g"), F.col("e"), F.lit(bool(queried))).alias("strategy"), F.col("g").alias("n_graph"), F.col("e").alias("n_entities"))
         return compact(blocks).crossJoin(F.broadcast(label)).drop("query_id").orderBy("reference")
 
-    def structured(self, question: str, planner: Callable[[str, str], str | None], most: int = 20) -> str | None:
-        """What a planned query over the graph's views returns, as text: a JSON row a line. None if none is planned or it fails.
+    def structured(self, question: str, scope: Scope, planner: Callable[[str, str], str | dict | None], most: int = 30) -> str | None:
+        """What a planned query returns within the scope, as text: a JSON row a line. None if none is planned or it fails.
 
-        planner(question, the views' columns) gives SQL, or None where the question needs no query.
+        planner(question, the views' columns) gives a graph pattern (operators.patterns.pattern_of) or SQL over the views, or None where
+        the question needs no query.
         """
         try:
-            text = planner(question, "\n".join(f"{name}({columns})" for name, columns in TABLES.items()))
-            rows = self.query(text).limit(most).toJSON().collect() if text else []
+            plan = planner(question, self.described())
+            found = self.match(plan, scope) if isinstance(plan, dict) else self.query(plan, scope) if plan else None
+            rows = found.limit(most).toJSON().collect() if found is not None else []
         except Exception:  # noqa: BLE001  a plan that fails leaves the other sources
             return None
         return "\n".join(rows) or None
 
-    def answer(self, message: str, scope: Scope, model: Callable[[str], str], planner: Callable[[str, str], str | None] | None = None, documents: DataFrame | None = None, history: str = "", k: int = 5, least: float = 0.0) -> dict:
+    def described(self) -> str:
+        """The views that a planned query may name, a line each, and what joins them."""
+        return "\n".join([*(f"{name}({columns})" for name, columns in TABLES.items()), f"edges join nodes.id by src and dst; relation is one of {', '.join(RELATIONS)}; kind of a node is one of {', '.join(graph.KINDS)}"])
+
+    def answer(self, message: str, scope: Scope, model: Callable[[str], str], planner: Callable[[str, str], str | dict | None] | None = None, documents: DataFrame | None = None, history: str = "", k: int = 5, least: float = 0.0) -> dict:
         """response_type, answer, references and strategy of a message. The model sees the compacted context; the policy judges its reply.
 
         Restricted topics are refused unseen. documents is the registry, whose newest rows join the context of questions
@@ -228,7 +205,7 @@ class Engine:
         if kind == "restricted":
             return {"response_type": "refusal", "answer": REFUSAL, "references": [], "strategy": "restricted"}
         listed = registry.inventory(documents, scope).first()["text"] if kind == "inventory" and documents is not None else None
-        queried = self.structured(message, planner) if planner else None
+        queried = self.structured(message, scope, planner) if planner else None
         blocks = written(self.retrieve(message, scope, k, least, listed, queried))
         shown = rendered(blocks.withColumn("query_id", F.lit(1))).first()
         try:
@@ -254,17 +231,31 @@ class Engine:
         chunks = self.table("nodes").where(scope.of_graph() & (F.col("kind") == "chunk")).withColumn("is_embeddable", F.col("properties")["is_embeddable"] == "true")
         return health.report(self.table("vectors").where(scope.of_vectors()), health.chunk_stats(chunks), profiles, limit)
 
-    def query(self, text: str, **args) -> DataFrame:
-        """A SQL query over the views nodes, edges, vectors and entities; only queries are let through."""
-        guarded = read_only(self.spark, text)
-        for name in TABLES:
-            self.table(name).createOrReplaceTempView(name)
-        return self.spark.sql(guarded, args=args or None)
+    def views(self, scope: Scope, spark: SparkSession | None = None) -> dict[str, DataFrame]:
+        """The tables as the scope sees them; an edge is seen if both its ends are."""
+        base, spark = self._manifest(), spark or self.spark
+        nodes = self.table("nodes", base, spark).where(scope.of_graph())
+        return {
+            "nodes": nodes,
+            "edges": graph.edges_between(self.table("edges", base, spark), nodes),
+            "vectors": self.table("vectors", base, spark).where(scope.of_vectors()),
+            "entities": self.table("entities", base, spark).join(nodes.where("kind = 'entity'").select("id"), "id", "left_semi"),
+        }
+
+    def match(self, pattern: dict, scope: Scope) -> DataFrame:
+        """What a graph pattern, as plain JSON, finds in the scope."""
+        base = self._manifest()
+        return match(self.table("nodes", base), self.table("edges", base), pattern_of(pattern), scope)
+
+    def query(self, text: str, scope: Scope, **args) -> DataFrame:
+        """A SQL query over the views nodes, edges, vectors and entities of a scope; only queries over these are let through.
 
-    def reset(self) -> None:
-        for name in (*TABLES, "manifests"):
-            path, fs = self._path(name)
-            fs.delete(path, True)
+        It runs in a session of its own, whose names are these views alone.
+        """
+        guarded, session = read_only(self.spark, text), self.spark.newSession()
+        for name, rows in self.views(scope, session).items():
+            rows.createOrReplaceTempView(name)
+        return session.sql(guarded, args=args or None)
 
 
 #: Words that a graph query must not hold, and those of which it must hold one.
@@ -296,11 +287,8 @@ def guarded_cypher(text: str | None) -> str:
     return query
 
 
-def read_only(spark: SparkSession, text: str) -> str:
-    """A SQL text, cleaned; raises ValueError unless Spark's parser takes it for a query."""
+def read_only(spark: SparkSession, text: str, relations: tuple[str, ...] = tuple(TABLES)) -> str:
+    """A SQL text, cleaned; raises ValueError unless it is one query over the relations, with built-in functions alone."""
     query = query_text(text, "sql")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
-    kinds = {plan.nodeName()} | {plan.getClass().getSimpleName()}
-    if any(re.search("Insert|Create|Drop|Alter|Delete|Update|Merge|Set[A-Z]|SetCommand|Command|Truncate|Load|Cache|Refresh|Replace", k) for k in kinds):
-        raise ValueError("only queries are allowed")
+    check_query(spark, query, relations)
     return query

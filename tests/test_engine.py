@@ -280,7 +280,7 @@ def test_engine_from_files_to_answers(spark, tmp_path):
     assert {b["strategy"] for b in blocks} == {"vector_semantic_graph"} and blocks[0]["source"] == "graph_parent"
     nodes, edges = engine.graph(scope)
     assert nodes.where("kind = 'entity'").count() == 2 and edges.where("relation = 'SEMANTIC_RELATION'").count() == 1
-    assert engine.query("select count(*) n from nodes where kind = :k", k="document").first()[0] == 2
+    assert engine.query("select count(*) n from nodes where kind = :k", scope, k="document").first()[0] == 2
     profiles = spark.createDataFrame([("1", "P", "local-hashing-384", 384)], "profile_id string, profile_name string, model_name string, embedding_dimensions int")
     assert {r["dimension_status"] for r in engine.health(scope, profiles).collect()} == {"ok"}
     assert engine.route("what is the government") == "restricted" and engine.route("danh sach tai lieu") == "inventory"
@@ -340,7 +340,7 @@ def test_answers_by_a_model(spark, tmp_path):
     planner = lambda q, schema: "select count(*) n from nodes where kind = 'document'" if "count" in q and "nodes(" in schema else None
     engine.answer("count owls hunt mice", scope, model, planner)
     assert '{"n":1}' in seen[1] and seen[1].index("source=vector") < seen[1].index("source=graph_query")
-    assert engine.structured("x", lambda q, s: "drop table nodes") is None
+    assert engine.structured("x", scope, lambda q, s: "drop table nodes") is None
     listing = spark.createDataFrame([("d", "d.txt", "ready", 1, "t", "a", "", None)], "id string, filename string, status string, created_at long, tenant_id string, app_id string, collection_id string, metadata string")
     got = engine.answer("danh sach tai lieu", scope, model, documents=listing)
     assert "- d.txt (ready)" in seen[2] and got["strategy"] == "document_registry"

@@ -8,19 +8,22 @@ every block that its window touches, keeps each block's nearest by exact distanc
 found is merged and ranked by exact distance, ties to the smaller id.
 
 The window is not guessed: for a bounded number of queries the exact neighbours are found by one pass over all vectors,
-and the window is the rank distance (in the best ordering) that holds `recall` of them. It is small where vectors have
-structure and grows with the table where they have none, as it must.
+and the window is the rank distance (in the best ordering) that holds `recall` of them. More orderings need a smaller window each: of 1, 2,
+4 ... orderings those are searched that make the fewest pairs. The window is small where vectors have structure and grows with the table where
+they have none, as it must; where the windows of a query hold more rows than the table has, a warning tells the figures.
 
 Equal vectors are searched once: of equal vectors only the k + 1 smallest ids can be in any answer, and queries with equal
 vectors share one search.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components
-take no part, nor do rows without id; repeated rows count once; fewer candidates than k give fewer rows; an empty
+take no part, nor do rows without id; repeated rows count once; rows that share an id but not the vector are rows of their own, as queries
+(each with its own ranks) and as answers, but none is an answer to a query with its id; fewer candidates than k give fewer rows; an empty
 table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,7 +140,7 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["q", "uid"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def search(table: DataFrame, is_query: Column, k: int = 10, orderings: int = 16, recall: float = 0.96, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, judged: int = 128) -> DataFrame:
+def search(table: DataFrame, is_query: Column, k: int = 10, orderings: int = 16, recall: float = 0.98, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 4096, judged: int = 128) -> DataFrame:
     """query_id, rank (from 1), id_col and score (Euclidean distance) of each query's k nearest rows found.
 
     The curves are fitted on at most sample_rows vectors, the window on at most `judged` distinct queries; every
@@ -153,8 +156,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, orderings: int = 16,
     once = given.groupBy("uid").agg(F.first("id").alias("id"), F.first("v").alias("v"), F.max("asks").alias("asks"))
     asking = written(once.where("asks").select("id", "v"))
     vectors = written(once.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("place") <= k + 1).select("uid", "id", "v"))
-    shared = asking.groupBy("v").agg(F.min("id").alias("q"))  # q stands for all queries with its vector
-    queries = written(shared)
+    queries = written(asking.select("v").distinct().withColumn("q", F.monotonically_increasing_id()))  # q stands for all queries with its vector
     sample = _matrix(pa.chunked_array([vectors.select("v").limit(sample_rows).toArrow()["v"].combine_chunks()]))
     curves = Curves(sample, orderings)
 
@@ -177,11 +179,17 @@ def search(table: DataFrame, is_query: Column, k: int = 10, orderings: int = 16,
     some = queries.orderBy(F.xxhash64("q"), "q").limit(judged).toArrow()
     if not some.num_rows:
         return spark.createDataFrame([], result)
-    true = _exact(vectors, some["q"].to_numpy(), _matrix(some["v"]), k + 1).select("q", F.col("uid").alias("c"))
+    true = _exact(vectors, some["q"].to_numpy(), _matrix(some["v"]), k + 1).where("score > 0").select("q", F.col("uid").alias("c"))
     true = F.broadcast(written(true))  # at most judged * (k + 1) rows
     asked = F.broadcast(written(ranked.where("asks").join(F.broadcast(true.select("q").distinct()), F.col("uid") == F.col("q"), "left_semi").select("o", F.col("uid").alias("q"), F.col("r").alias("rq"))))
-    gaps = ranked.where("not asks").join(true, F.col("uid") == F.col("c")).join(asked, ["o", "q"]).groupBy("q", "c").agg(F.min(F.abs(F.col("r") - F.col("rq"))).alias("gap"))
-    window = int(gaps.agg(F.percentile("gap", F.lit(recall))).first()[0] or 0) + 1
+    numbers = [m for m in (1, 2, 4, 8, 16, 32, 64) if m < orderings] + [orderings]
+    gap = F.abs(F.col("r") - F.col("rq"))
+    gaps = ranked.where("not asks").join(true, F.col("uid") == F.col("c")).join(asked, ["o", "q"]).groupBy("q", "c").agg(*[F.min(F.when(F.col("o") < m, gap)).alias(f"g{m}") for m in numbers])
+    widths = gaps.agg(*[F.percentile(f"g{m}", F.lit(recall)).alias(f"g{m}") for m in numbers]).first()
+    pairs, used, window = min((m * (2 * w + 1), m, w) for m in numbers for w in [int(widths[f"g{m}"] or 0) + 1])
+    if pairs > (n_rows := vectors.count()):
+        warnings.warn(f"no structure to search by: {used} orderings with windows of {window} ranks hold {pairs} rows for each query, the table {n_rows}", stacklevel=2)
+    ranked = ranked.where(F.col("o") < used)
     size = max(64, min(block, window))
 
     homes = ranked.where("not asks").groupBy("uid").agg(F.collect_list(F.struct("o", F.floor(F.col("r") / size).alias("b"))).alias("at"))  # one for each ordering
@@ -200,4 +208,4 @@ def search(table: DataFrame, is_query: Column, k: int = 10, orderings: int = 16,
     nearest = written(_merged(found, k + 1).select("q", "id", "score"))
     own = asking.join(queries, "v").select(F.col("id").alias("query_id"), "q")
     told = own.join(nearest, "q").where("id <> query_id")
-    return told.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return told.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "q").orderBy("score", "id"))).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -16,8 +16,8 @@ times its source's words, and the excess is shared out by weight until none is a
 Defined results: a null text has no words; documents without words are taken once and count nothing; rows that share an
 id are one document each; a source whose target equals `most` times its words takes every document `most` times; an
 empty table gives no rows; a dual that does not converge raises. The same rows give the same result in any order and
-partitioning. mix_table ignores other columns; sized, mix and repeated carry them along and refuse those that begin with two
-underscores.
+partitioning. mix_table ignores other columns and repeated carries them along, whatever their names; sized and mix, which add columns that
+begin with two underscores, refuse such.
 """
 
 from __future__ import annotations
@@ -125,12 +125,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3, so
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes it."""
-    mixed = mix(sized(docs), **options)
-    return mixed.where("__copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    source = options.get("source_col", "source")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no name can clash
+    mixed = mix(sized(docs.select(row, "doc_id", "text", F.col(source).alias("source"))).drop("doc_id", "text"), **options | {"source_col": "source"})
+    return mixed.where("__copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("row.*")
 
 
 def mix_table(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target and taken (words taken, repeats counted) for each row of docs."""
-    slim = written(sized(docs).select("doc_id", "source", "__size", "__hash"))
+    slim = written(sized(docs.select("doc_id", "text", "source")).drop("text"))
     mixed = mix(slim, weights, most)
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))

@@ -10,8 +10,8 @@ whose counter overflows are past the radius, and a block is abandoned once all i
 tells a spanning forest of its links, not all pairs; `components` joins the forests.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; a text of fewer than three words
-has its whole word sequence as its one shingle; repeated rows each get a row; a row without doc_id gets the component
-of its fingerprint; an empty table gives no rows.
+has its whole word sequence as its one shingle; repeated rows each get a row; a row without doc_id links
+like any other and gets the component of its fingerprint; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -182,11 +182,15 @@ def links(distinct: DataFrame, radius: int = 3, tile: int = 1024) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", tile: int = 1024) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that a chain of links reaches."""
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that a chain of links reaches, null where no row has one.
+
+    Fingerprints are what is linked, so those of rows without doc_id link others too.
+    """
     fps = written(fingerprints(docs, id_col, text_col))
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct.where("first is not null"), radius, tile))
-    labels = distinct.join(roots, distinct["first"] == roots["node"], "left").select("fp", F.coalesce("root", "first").alias("component_id"))
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(distinct.select("fp", F.col("fp").alias("first")), radius, tile))
+    rooted = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    labels = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -195,10 +199,8 @@ def keep_one(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col:
 
     Rows alike in doc_id and text are one document: all of them stay, or one of them if not `repeats`. Of rows without doc_id,
     one stays. Nodes are fingerprints here, so that those of rows without doc_id link too, and rows that share an id are told
-    apart. Columns named __key and __id are refused.
+    apart. Other columns are carried along, whatever their names.
     """
-    if taken := {"__key", "__id"} & set(docs.columns):
-        raise ValueError(f"names in use: {sorted(taken)}")
     text = F.col(f"`{text_col}`").cast("string")
     fps = written(_fingerprints(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "key")).alias("first")

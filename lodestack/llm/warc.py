@@ -80,6 +80,12 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     return row, end + 4 + len(block) + 4
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme of the file system in which Spark finds it, which is not always the local one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+
+
 def _opened(path: str):
     """(file system, path in it) of a path with or without a scheme. Stores that pyarrow knows are supported."""
     from pyarrow import fs
@@ -139,7 +145,8 @@ class Reader:
 
 
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 30, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Writes the records under folder and returns their index, which is written already."""
+    """Writes the records under folder and returns their index, which is written already. A folder without a scheme is Spark's default one's."""
+    folder = qualified(pages.sparkSession, folder)
     rows = bounded_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     # The keepers of payloads that come again: where there are few, Spark broadcasts them, else rows meet by digest.
     again = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("sha", "keeper")

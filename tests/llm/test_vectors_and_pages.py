@@ -262,3 +262,76 @@ def test_extraction_of_an_empty_table(spark):
     from lodestack.llm.extraction import extract
 
     assert extract(pages(spark, [])).collect() == []
+
+
+# -- queries that share an id, null ids as bridges, names -----------------------------------------------------------------------
+def test_queries_that_share_an_id_are_searched_apart(spark):
+    from pyspark.sql import functions as F
+
+    from lodestack.llm.ann import search
+
+    data = [(100, [0.0, 1.0]), (100, [5.0, 1.0])] + [(i, [float(i), 1.0]) for i in range(1, 8)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(2)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in search(frame, F.col("vec_id") == 100, k=5).collect())
+    want = []
+    for x in (0, 5):
+        best = sorted((abs(i - x), i) for i in range(1, 8))[:5]
+        want += [(n, i, float(d)) for n, (d, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_fingerprints_without_id_link_others(spark):
+    """Against brute force over fingerprints, with a null id in the middle of each chain."""
+    from lodestack.llm.simhash import keep_one, near_duplicates, simhash
+
+    r, chains = random.Random(1), []
+    while len(chains) < 3:  # a ~ b ~ c, a and c apart
+        words = [f"w{r.randrange(900)}" for _ in range(400)]
+        texts = [" ".join(words)]
+        for _ in range(40):
+            words[r.randrange(400)] = f"x{r.randrange(900)}"
+            texts.append(" ".join(words))
+        bits = [simhash(t) for t in texts]
+        found = [(0, j, k) for j in range(1, 40) for k in range(j + 1, 41) if (bits[0] ^ bits[j]).bit_count() <= 3 and (bits[j] ^ bits[k]).bit_count() <= 3 < (bits[0] ^ bits[k]).bit_count()]
+        if found:
+            chains.append([texts[i] for i in found[0]])
+    data = [row for n, (a, b, c) in enumerate(chains) for row in ((10 * n + 2, a), (None, b), (10 * n + 1, c))] + [(None, "alone without an id"), (99, None)]
+    want = []
+    for i, t in data:
+        reached, todo = {simhash(t)}, [simhash(t)]
+        while todo:
+            x = todo.pop()
+            for _, other in data:
+                if (y := simhash(other)) not in reached and (x ^ y).bit_count() <= 3:
+                    reached.add(y)
+                    todo.append(y)
+        want.append((i, min((j for j, u in data if j is not None and simhash(u) in reached), default=None)))
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    got = [(x["doc_id"], x["component_id"]) for x in near_duplicates(frame).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and (2, 1) in got and (None, None) in got
+    kept = keep_one(frame).collect()
+    assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == [1, 11, 21, 99] and len(kept) == 5
+
+
+def test_columns_with_inner_names_are_carried(spark):
+    from lodestack.llm.mixing import mix_table, repeated
+    from lodestack.llm.simhash import keep_one
+
+    odd = "doc_id long, text string, source string, __key long, __id string, __size int, __hash int, __copies int, __k int, row int, r int, a.b int"
+    names = odd.replace("a.b", "`a.b`")
+    data = [(i, f"one two three w{i} w{i * 7} w{i * 11} w{i % 5}", "ab"[i % 2], *range(4, 7), 7, 8, 9, 10, 11, 12) for i in range(40)]
+    data = [(*row[:4], str(row[4]), *row[5:]) for row in data]
+    frame = spark.createDataFrame(data, names)
+    copies = repeated(frame)
+    assert copies.columns == frame.columns and {tuple(r) for r in copies.collect()} <= set(data)
+    taken = {r["doc_id"]: r["taken"] // r["size"] for r in mix_table(frame).collect()}
+    assert {i: n for i, n in taken.items() if n} == {r["doc_id"]: r["count"] for r in copies.groupBy("doc_id").count().collect()}
+    assert keep_one(frame).columns == frame.columns and keep_one(frame).count() == 40
+
+
+def test_archives_are_written_where_spark_finds_the_folder(spark, tmp_path):
+    from lodestack.llm.warc import qualified, write_bundles
+
+    assert qualified(spark, str(tmp_path)).startswith("file:/") and qualified(spark, "hdfs-like:/x".replace("hdfs-like", "file")) == "file:/x"
+    index = write_bundles(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), f"{tmp_path}/w").first()
+    assert index["path"].startswith("file:/") and (tmp_path / "w").exists()

@@ -7,7 +7,7 @@ Defined results: a null or blank text has no words and goes with the first stage
 doc_id and text are one document, of which near_dedup keeps one; rows that share an id but not the text are documents of their own;
 rows without doc_id are compared like others by near_dedup, kept whole by substring_dedup and encoded with a null id. Of equally
 good rows the smallest id stays. Texts are worked on whole, whatever their length. Empty tables pass through as
-empty tables. Other columns are carried along up to the last stage; their names must not begin with two underscores.
+empty tables. Other columns are carried along up to the last stage, whatever their names.
 """
 
 from __future__ import annotations

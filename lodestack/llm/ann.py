@@ -10,7 +10,7 @@ found is merged and ranked by exact distance, ties to the smaller id.
 The window is not guessed: for a bounded number of queries the exact neighbours are found by one pass over all vectors,
 and the window is the rank distance (in the best ordering) that holds `recall` of them. More orderings need a smaller window each: of 1, 2,
 4 ... orderings those are searched that make the fewest pairs. The window is small where vectors have structure and grows with the table where
-they have none, as it must; where the windows of a query hold more rows than the table has, a warning tells the figures.
+they have none, as it must: there one ordering stays, whose windows reach most of the table, and a warning tells the figures.
 
 Equal vectors are searched once: of equal vectors only the k + 1 smallest ids can be in any answer, and queries with equal
 vectors share one search.
@@ -186,9 +186,11 @@ def search(table: DataFrame, is_query: Column, k: int = 10, orderings: int = 16,
     gap = F.abs(F.col("r") - F.col("rq"))
     gaps = ranked.where("not asks").join(true, F.col("uid") == F.col("c")).join(asked, ["o", "q"]).groupBy("q", "c").agg(*[F.min(F.when(F.col("o") < m, gap)).alias(f"g{m}") for m in numbers])
     widths = gaps.agg(*[F.percentile(f"g{m}", F.lit(recall)).alias(f"g{m}") for m in numbers]).first()
-    pairs, used, window = min((m * (2 * w + 1), m, w) for m in numbers for w in [int(widths[f"g{m}"] or 0) + 1])
-    if pairs > (n_rows := vectors.count()):
-        warnings.warn(f"no structure to search by: {used} orderings with windows of {window} ranks hold {pairs} rows for each query, the table {n_rows}", stacklevel=2)
+    n_rows = vectors.count()
+    share = lambda w: min(w, n_rows) * (2 - min(w, n_rows) / n_rows)  # noqa: E731  ranks within w of a rank, on average
+    pairs, used, window = min((m * share(w), m, w) for m in numbers for w in [int(widths[f"g{m}"] or 0) + 1])
+    if 2 * pairs > n_rows:
+        warnings.warn(f"little structure to search by: {used} of {orderings} orderings with windows of {window} ranks hold {pairs:.0f} rows for each query, the table {n_rows}", stacklevel=2)
     ranked = ranked.where(F.col("o") < used)
     size = max(64, min(block, window))
 

@@ -335,3 +335,24 @@ def test_archives_are_written_where_spark_finds_the_folder(spark, tmp_path):
     assert qualified(spark, str(tmp_path)).startswith("file:/") and qualified(spark, "hdfs-like:/x".replace("hdfs-like", "file")) == "file:/x"
     index = write_bundles(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), f"{tmp_path}/w").first()
     assert index["path"].startswith("file:/") and (tmp_path / "w").exists()
+
+
+def test_clustered_vectors_are_found_in_small_windows(spark):
+    """No warning: the windows hold less than half of the table; recall against brute force."""
+    import warnings
+
+    from pyspark.sql import functions as F
+
+    from lodestack.llm import ann
+
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(200, 16)) * 4
+    v = (centres[np.arange(4000) % 200] + r.normal(size=(4000, 16)) * 0.05).astype(np.float32)
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")  # there is structure, so nothing is told
+        got = ann.search(frame, F.col("vec_id") % 100 == 0, k=10, block=128)
+    rows = got.collect()
+    want = {q: set(np.lexsort((np.arange(4000), np.where(np.arange(4000) == q, np.inf, ((v.astype(float) - v[q].astype(float)) ** 2).sum(1))))[:10].tolist()) for q in range(0, 4000, 100)}
+    hits = sum(x["vec_id"] in want[x["query_id"]] for x in rows)
+    assert hits >= 0.95 * 400

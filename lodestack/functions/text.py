@@ -122,3 +122,8 @@ def safe_name(name: Column, default: str = "document") -> Column:
 
 def title_case(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def iso_timestamp(stamp: Column) -> Column:
+    """An ISO 8601 time; Z and offsets are read, a time without one is of the session's zone, anything else is null."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(stamp), "[zZ]$", "+00:00"))

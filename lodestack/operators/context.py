@@ -85,3 +85,22 @@ def event_stream(answers: DataFrame, id_col: str = "query_id") -> DataFrame:
     """Server events of an answer: its metadata, a delta for each character, and the end."""
     events = F.concat(F.array(F.struct(F.lit("metadata").alias("event"), F.lit("").alias("data"))), F.transform(F.filter(F.split("answer", ""), lambda c: c != ""), lambda c: F.struct(F.lit("delta").alias("event"), c.alias("data"))), F.array(F.struct(F.lit("done").alias("event"), F.lit("").alias("data"))))
     return answers.select(id_col, F.posexplode(events).alias("seq", "e")).select(id_col, "seq", "e.event", "e.data")
+
+
+def with_contexts(matches: DataFrame, contexts: DataFrame) -> DataFrame:
+    """matches (chunk_id, rank) with what the graph knows of each chunk, every match kept; of several contexts of a chunk the least."""
+    told = [c for c in contexts.columns if c != "chunk_id"]
+    one = contexts.groupBy("chunk_id").agg(F.min(F.struct(*told)).alias("__c"))
+    return matches.join(one, "chunk_id", "left").select(*[matches[c] for c in matches.columns if c != "chunk_id"], "chunk_id", "__c.*")
+
+
+def list_difference(a: Column, b: Column) -> Column:
+    """The distinct values of a that are not in b, in the order of a; a null list is an empty one."""
+    empty = F.array()
+    return F.array_except(F.coalesce(a, empty), F.coalesce(b, empty))
+
+
+def list_intersection(a: Column, b: Column) -> Column:
+    """The distinct values of a that are in b too, in the order of a; a null list is an empty one."""
+    empty = F.array()
+    return F.array_intersect(F.coalesce(a, empty), F.coalesce(b, empty))

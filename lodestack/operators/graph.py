@@ -14,6 +14,8 @@ from ..schema import RELATIONS, Scope
 EDGE = ("src", "dst", "relation", "kind", "description", "confidence")
 KINDS = ("document", "element", "chunk", "entity")
 MOST_HOPS = 5
+#: Characters of a name that the index holds together.
+GRAM = 3
 
 
 def clamp_hops(hops: int) -> int:
@@ -130,6 +132,45 @@ def seeds_of_names(entities: DataFrame, names: list[str]) -> DataFrame:
     return entities.where(F.col("normalized_name").rlike(known) if known else F.lit(False)).select("id").distinct()
 
 
+def _grams(name: Column) -> Column:
+    """The distinct runs of GRAM characters of a name."""
+    n = F.length(name) - GRAM + 1
+    return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(name, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>")))
+
+
+def name_postings(entities: DataFrame) -> DataFrame:
+    """(gram, id) for each three characters of each entity's normalized_name: an index that a writer sorts by gram, so that a
+    search reads the row groups of its grams alone."""
+    return entities.select(F.explode(_grams(F.col("normalized_name"))).alias("gram"), "id").distinct()
+
+
+def seeds_of_names_indexed(entities: DataFrame, postings: DataFrame, names: list[str]) -> DataFrame:
+    """seeds_of_names by the index: entities that hold every gram of a name are looked up and verified, others are not read.
+
+    The grams of the request are literals that reach the scan of postings. A name shorter than a gram has none, so it is looked for in all
+    entities; the work for other names is that of their grams' postings.
+    """
+    wanted = sorted({n for n in names if n.strip()})
+    long = [n for n in wanted if len(n) >= GRAM]
+    found = seeds_of_names(entities, [n for n in wanted if len(n) < GRAM])
+    if long:
+        grams = {n: sorted({n[i : i + GRAM] for i in range(len(n) - GRAM + 1)}) for n in long}
+        met = postings.where(F.col("gram").isin(sorted({g for x in grams.values() for g in x})))
+        has = [F.count_if(F.col("gram").isin(x)) == len(x) for x in grams.values()]
+        candidates = met.groupBy("id").agg(reduce(lambda a, b: a | b, has).alias("all")).where("all").select("id")
+        found = found.unionByName(seeds_of_names(entities.join(candidates, "id", "left_semi"), long))
+    return found.distinct()
+
+
+def scan_nodes(nodes: DataFrame, kind: str | None = None, ids: list[str] | None = None, equals: dict[str, str] | None = None) -> DataFrame:
+    """Nodes of a kind, of the named ids, and whose properties all equal the given ones; an empty list of ids gives none."""
+    rows = nodes if kind is None else nodes.where(F.col("kind") == kind)
+    rows = rows if ids is None else rows.where(F.col("id").isin(*ids)) if ids else rows.where(F.lit(False))
+    for name, value in (equals or {}).items():
+        rows = rows.where(F.col("properties")[name] == value)
+    return rows
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2, in_scope: DataFrame | None = None) -> DataFrame:
     """(id, hop) of entities within `hops` undirected SEMANTIC_RELATION steps of the seeds (id), each with its first hop.
 

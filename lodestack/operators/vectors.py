@@ -14,7 +14,7 @@ from ..functions.identifiers import vector_id
 from ..functions.vectors import cosine_to, similarity
 from ..schema import Scope
 
-#: Queries that one pass over the vectors answers.
+#: Queries that a task compares at a time.
 BLOCK = 1024
 
 
@@ -37,50 +37,97 @@ def top_k(vectors: DataFrame, query: list[float], k: int, scope: Column | None =
     return ranked.withColumn("similarity", sim).withColumn("distance", 1 - sim).drop("__raw")
 
 
-def _unit(column) -> np.ndarray:
-    """Rows of length one; zero rows stay zero."""
-    m = np.stack([np.asarray(x, float) for x in column]) if len(column) else np.zeros((0, 1))
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n, n, 1)
+def quantised(vector: Column) -> Column:
+    """A vector as bytes, its largest component 127: an array<byte> with nearly the same direction, a quarter of the size."""
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    return F.transform(vector, lambda x: F.round(F.coalesce(F.try_divide(x.cast("double") * 127, largest), F.lit(0.0))).cast("byte"))
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vector_id", vector_col: str = "vector", query_id_col: str = "query_id", exclude_own: bool = False) -> DataFrame:
-    """(query_id, rank, id, similarity) of each query's k most similar rows: exact, all rows against a stated set of queries.
+def top_k_overfetched(vectors: DataFrame, query: list[float], k: int, scope: Column | None = None, least: float = 0.0, over: int = 4, id_col: str = "vector_id", vector_col: str = "vector", code_col: str = "code") -> DataFrame:
+    """top_k by a scan of the quantised column, which fetches `over` times k rows, and an exact ranking of these alone.
 
-    Queries come in blocks of at most BLOCK rows, which are all that is sent to the executors; every block is one pass in
-    which a task multiplies matrices and keeps k rows a query, so k rows a query and task are shuffled.
+    The scan reads ids and codes; whole vectors are read of the fetched ids, which are sent to all tasks (k * over of them).
     """
-    numbered = queries.select(F.col(query_id_col).cast("long").alias("q"), F.col(vector_col).alias("v")).orderBy("q")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull())
-    found, block = None, []
+    near = top_k(vectors, query, max(k, k * over), scope, 0.0, id_col, code_col).select(id_col)
+    return top_k(vectors.join(F.broadcast(near), id_col, "left_semi"), query, k, scope, least, id_col, vector_col)
+
+
+def _rows(column: pa.Array, dims: int) -> np.ndarray:
+    """A column of lists as rows of length one; zero rows stay zero, and so do lists that are null, of another length, or hold nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    out = np.zeros((len(column), dims))
+    there = np.flatnonzero(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False), nan=-1) == dims)
+    if len(there) and dims:
+        out[there] = column.take(pa.array(there)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+    out[~np.isfinite(out).all(axis=1)] = 0
+    n = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(n, n, 1)
+
+
+class _Best:
+    """The k best (similarity, id) of each of a number of queries so far; equal similarities by the smaller id."""
+
+    def __init__(self, ids: np.ndarray, vectors: pa.Array, k: int, exclude_own: bool):
+        self.ids, self.k, self.exclude = ids, k, exclude_own
+        lengths = np.nan_to_num(vectors.value_lengths().to_numpy(zero_copy_only=False), nan=0).astype(int)
+        self.groups = [(d, rows := np.flatnonzero(lengths == d), _rows(vectors.take(pa.array(rows)), d)) for d in np.unique(lengths).tolist()]
+        self.s, self.i = np.full((len(ids), 0), -2.0), np.full((len(ids), 0), -1)
+
+    def add(self, own: np.ndarray, vectors: pa.Array, at_once: int = 2048) -> None:
+        for at in range(0, len(own), at_once):
+            names, some = own[at : at + at_once], vectors.slice(at, at_once)
+            s = np.zeros((len(self.ids), len(names)))
+            for d, rows, unit in self.groups:
+                s[rows] = unit @ _rows(some, d).T
+            if self.exclude:
+                s[names[None, :] == self.ids[:, None]] = -2.0
+            s, i = np.hstack((self.s, s)), np.hstack((self.i, np.broadcast_to(names, s.shape)))
+            order = np.lexsort((i, -s.round(12)), axis=1)[:, : self.k]
+            self.s, self.i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+    def told(self) -> pa.RecordBatch:
+        keep = self.s.ravel() > -1.5
+        q = np.repeat(self.ids, self.s.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(q[keep], pa.int64()), pa.array(self.i.ravel()[keep].astype(np.int64)), pa.array(self.s.ravel()[keep])], names=["query_id", "id", "raw"])
+
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vector_id", vector_col: str = "vector", query_id_col: str = "query_id", exclude_own: bool = False, block: int = BLOCK, cell_bytes: int = 32 << 20) -> DataFrame:
+    """(query_id, rank, id, similarity) of each query's k most similar rows: exact, all rows against a stated set of queries.
 
-    def answer(block: list) -> DataFrame:
-        ids, unit = np.array([r["q"] for r in block]), _unit([r["v"] for r in block])
+    Up to `block` queries are sent to every task, and one pass over the vectors keeps k rows a query and task. More queries make a
+    grid: its columns are blocks of queries and its rows parts of the vectors, both dealt by hash, so that a cell holds at most about
+    `block` queries and cell_bytes of vectors. Vectors are shuffled once a column, queries once a row of the grid, k rows a query and cell after
+    it; nothing but two counts passes through the driver. Queries without an id, and rows that are null, take no part.
+    """
+    asked = queries.select(F.col(query_id_col).cast("long").alias("q"), F.col(vector_col).alias("v")).where("q is not null")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
+    schema = "query_id long, id long, raw double"
+    n = asked.count()
+    if n <= block:
+        told = asked.toArrow()
+        ids, v = told["q"].to_numpy(), told["v"].combine_chunks()
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s, best_i = np.full((len(ids), 0), -2.0), np.full((len(ids), 0), -1)
+            best = _Best(ids, v, k, exclude_own)
             for batch in batches:
-                own = batch.column(0).to_numpy()
-                if not len(own):
-                    continue
-                s = unit @ _unit(batch.column(1).to_pylist()).T
-                if exclude_own:
-                    s = np.where(own[None, :] == ids[:, None], -2.0, s)
-                s, i = np.hstack((best_s, s)), np.hstack((best_i, np.broadcast_to(own, s.shape)))
-                order = np.lexsort((i, -s.round(12)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            q = np.repeat(ids, best_s.shape[1])
-            keep = best_s.ravel() > -1.5
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(best_i.ravel()[keep].astype(np.int64)), pa.array(best_s.ravel()[keep])], names=["query_id", "id", "raw"])
-
-        return rows.mapInArrow(work, "query_id long, id long, raw double")
-
-    for row in numbered.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            found, block = answer(block) if found is None else found.unionByName(answer(block)), []
-    if block or found is None:
-        found = answer(block) if found is None else found.unionByName(answer(block))
+                best.add(batch.column(0).to_numpy(), batch.column(1))
+            yield best.told()
+
+        found = rows.mapInArrow(work, schema)
+    else:
+        size = rows.agg(F.sum(F.size("v"))).first()[0] or 0
+        columns, parts = -(-n // block), max(1, -(-8 * size // cell_bytes))
+        cells = lambda c, name: F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias(name)
+        left = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("i"), cells(columns, "j"))
+        right = asked.select("q", "v", cells(parts, "i"), F.pmod(F.xxhash64("q", "v"), F.lit(columns)).cast("int").alias("j"))
+
+        def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+            best = _Best(b["q"].to_numpy(), b["v"].combine_chunks(), k, exclude_own)
+            if b.num_rows:
+                best.add(a["id"].to_numpy(), a["v"].combine_chunks())
+            return pa.Table.from_batches([best.told()])
+
+        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("raw", 12).desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), similarity(F.col("raw")).alias("similarity"))
 
@@ -88,7 +135,12 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
 def records(chunks: DataFrame, scope: Scope) -> DataFrame:
     """Vector rows without vectors: embeddable chunks with text, their ids and metadata as sorted JSON."""
     put = chunks.where("is_embeddable and trim(text) <> ''").withColumns({"tenant_id": F.lit(scope.tenant_id), "app_id": F.lit(scope.app_id), "collection_id": F.lit(scope.collection_id or "")})
-    told = F.to_json(F.struct("boundary_type", "boundary_value", "chunk_role", "parent_chunk_id", "section_index", "strategy", "token_count"))
+    # What a chunk's own metadata says comes over what is told of every chunk.
+    names = ("boundary_type", "boundary_value", "chunk_role", "parent_chunk_id", "section_index", "strategy", "token_count")
+    told = F.to_json(F.struct(*names))
+    if "metadata" in chunks.columns:
+        own_entries = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+        told = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(F.map_filter(F.from_json(told, "map<string,string>"), lambda key, _: ~F.map_contains_key(own_entries, key)), own_entries)))))
     own = vector_id(F.col("tenant_id"), F.col("app_id"), F.col("collection_id"), F.col("document_id"), F.col("chunk_id"))
     return put.select(own.alias("vector_id"), "text", "tenant_id", "app_id", "collection_id", "document_id", "chunk_id", F.col("chunk_index").cast("int").alias("chunk_index"), told.alias("metadata"))
 

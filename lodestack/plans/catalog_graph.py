@@ -8,7 +8,7 @@ from ..functions.embedding import HashingEmbedder, embedded
 from ..functions.labels import retrieval_strategy, score_percent
 from ..functions.text import content_hash
 from ..functions.vectors import cosine
-from ..operators import config, context, graph, health, registry, vectors
+from ..operators import chunking, config, context, graph, health, registry, vectors
 from ..schema import Scope
 from ..storage import own_dir, written
 from . import corpus
@@ -217,9 +217,11 @@ def src20_triplets(spark, sf):
 
 @query("""with e as (select 'p' || p_partkey as id, p_brand as brand, p_size as size from part) select id, brand, size from e where brand = 'Brand#11' or size = 5""")
 def src19_nodes_by_property(spark, sf):
-    nodes = corpus.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))).alias("metadata"))
-    v = nodes.withColumn("v", F.try_parse_json("metadata")).select("id", F.try_variant_get("v", "$.brand", "string").alias("brand"), F.try_variant_get("v", "$.size", "int").alias("size"))
-    return v.where("brand = 'Brand#11' or size = 5")
+    told = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
+    nodes = corpus.table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("entity").alias("kind"), told.alias("properties"))
+    found = [graph.scan_nodes(nodes, "entity", equals=e) for e in ({"brand": "Brand#11"}, {"size": "5"})]
+    both = found[0].unionByName(found[1]).dropDuplicates(["id"])
+    return both.select("id", F.col("properties")["brand"].alias("brand"), F.col("properties")["size"].cast("int").alias("size"))
 
 
 # -- retrieval ---------------------------------------------------------------------------------------------------------------
@@ -362,9 +364,8 @@ def a10_unanimous(spark, sf):
 
 @query("""with d as (select doc_id, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) as h, lang from documents) select doc_id from d where lang <> 'en' and h not in (select h from d where lang = 'en')""")
 def c13_known_hashes(spark, sf):
-    d = corpus.documents(spark, sf).withColumn("content_hash", content_hash(F.col("text")))
-    known = d.where("app_id = 'en'").select("content_hash").distinct()
-    return d.where("app_id <> 'en'").join(known, "content_hash", "left_anti").select("doc_id")
+    d = corpus.documents(spark, sf).select("doc_id", "app_id", F.col("document_id").alias("chunk_id"), "document_id", F.lit(0).cast("long").alias("chunk_index"), content_hash(F.col("text")).alias("content_hash"), F.lit(True).alias("is_embeddable"))
+    return chunking.dedupe(d.where("app_id <> 'en'"), known_hashes=d.where("app_id = 'en'")).select("doc_id")
 
 
 @query("""select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as calls, round(sum(value), 4) as value from events group by all""")

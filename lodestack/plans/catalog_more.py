@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import errors, identifiers, labels, policy, text
-from ..functions.model_output import confidence
+from ..functions.model_output import confidence, extracted
 from ..operators import chunking, config, context, graph, health, registry, vectors
 from ..schema import Scope, pool_scope
 from ..sources import files
+from ..storage import own_dir, written
 from . import corpus
 
 Q: dict = {}
@@ -62,11 +65,10 @@ def p08_key_scope(spark, sf):
 
 @query("""with r as (select p_partkey, p_type, case p_size % 3 when 0 then 'concept' when 1 then 'TASK' else 'alien' end as t from part) select p_partkey, case t when 'concept' then 'Concept' else 'Task' end as entity_type from r where t <> 'alien'""")
 def p09_ontology_filter(spark, sf):
-    from ..ontology import ENTITY_TYPES
-
-    known = F.create_map(*[x for t in ENTITY_TYPES for x in (F.lit(t.lower()), F.lit(t))])
     t = F.when(F.col("p_size") % 3 == 0, "concept").when(F.col("p_size") % 3 == 1, "TASK").otherwise("alien")
-    return corpus.table(spark, sf, "part").select("p_partkey", F.try_element_at(known, F.lower(t)).alias("entity_type")).where("entity_type is not null")
+    told = F.struct(F.array(F.struct(F.col("p_partkey").cast("string").alias("id"), t.alias("type"), F.col("p_name").alias("name"))).alias("entities"))
+    read = written(extracted(corpus.table(spark, sf, "part").select("p_partkey", F.to_json(told).alias("raw"))).select("p_partkey", "extracted.entities"))
+    return read.select("p_partkey", F.explode("entities").alias("e")).select("p_partkey", "e.entity_type")
 
 
 @query("""select vec_id, 't:a:' || case when label = 0 then 'default' else label::varchar end || ':d' || (vec_id % 50) || ':c' || vec_id as vector_id, sha256('n' || vec_id || ':USES:n' || label) as edge_id,
@@ -98,13 +100,13 @@ def c02_boundaries(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), b["type"].alias("kind"), b["value"].alias("value"))
 
 
-@query("""with m as (select vec_id, row_number() over (order by vec_id) as "rank" from embeddings where label = 1), c as (select doc_id, lang from documents where lang <> 'en') select m.vec_id, "rank", lang from m left join c on c.doc_id = m.vec_id""")
+@query("""with m as (select vec_id as chunk_id, row_number() over (order by list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)) desc, vec_id) as "rank" from embeddings), c as (select doc_id, lang, source from documents)
+select chunk_id, "rank", lang, source from m left join c on c.doc_id = m.chunk_id where "rank" <= 50""")
 def j14_matches_with_context(spark, sf):
-    from pyspark.sql import Window
+    from .catalog_graph import vector_of
 
-    m = corpus.table(spark, sf, "embeddings").where("label = 1").select("vec_id", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long").alias("rank"))
-    c = corpus.table(spark, sf, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("vec_id"), "lang")
-    return m.join(c, "vec_id", "left")
+    m = vectors.top_k(corpus.vectors(spark, sf), vector_of(spark, sf, 0), 50).select(F.col("vector_id").alias("chunk_id"), F.col("rank").cast("long").alias("rank"))
+    return context.with_contexts(m, corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source"))
 
 
 @query("""with p as (select n_nationkey::varchar as id from nation where n_nationkey % 5 <> 0), k as (select c_custkey::varchar as id, c_nationkey::varchar as provider_id from customer where c_acctbal > 0), f as (select s_suppkey::varchar as id, s_nationkey::varchar as provider_id from supplier where s_acctbal > 0)
@@ -158,8 +160,8 @@ def o03_list_difference(spark, sf):
     o = corpus.table(spark, sf, "orders")
     a = o.where("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("x"))
     b = o.where("o_totalprice > 100000").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("y"))
-    j = a.join(b, "o_custkey", "left").withColumn("y", F.coalesce("y", F.array().cast("array<bigint>")))
-    return j.select("o_custkey", F.size(F.array_except("x", "y")).cast("long").alias("only_first"), F.size(F.array_intersect("x", "y")).cast("long").alias("both_lists"))
+    x, y = F.col("x"), F.col("y")
+    return a.join(b, "o_custkey", "left").select("o_custkey", F.size(context.list_difference(x, y)).cast("long").alias("only_first"), F.size(context.list_intersection(x, y)).cast("long").alias("both_lists"))
 
 
 @query("""select l_orderkey, l_linenumber, case when l_discount >= 0.05 then 1.0 when l_discount = 0 then 0.0 else round(l_discount * 20, 6) end::double as confidence from lineitem""")
@@ -208,10 +210,12 @@ def s32_transient_errors(spark, sf):
     return e.select("event_id", errors.transient(F.when(F.col("event_id") % 4 == 0, 429), said, F.lit(False)).alias("transient"))
 
 
-@query("""select event_id, epoch_us(ts) // 1000000 as seconds from events""")
+@query("""select event_id, case event_id % 4 when 3 then null when 2 then epoch_us(ts) // 1000000 - 7200 else epoch_us(ts) // 1000000 end as seconds from events""")
 def s34_iso_timestamps(spark, sf):
-    e = corpus.table(spark, sf, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"))
-    return e.select("event_id", F.unix_timestamp(F.try_to_timestamp("t")).alias("seconds"))
+    """Times with Z, without a zone, two hours east, and no times at all."""
+    t = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(F.col("event_id") % 4 == 0, F.concat(t, F.lit("Z"))).when(F.col("event_id") % 4 == 1, t).when(F.col("event_id") % 4 == 2, F.concat(t, F.lit("+02:00"))).otherwise("soon")
+    return corpus.table(spark, sf, "events").select("event_id", F.unix_timestamp(text.iso_timestamp(said)).alias("seconds"))
 
 
 @query("""select p_partkey, case when length(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name || p_name) > 48 then substr(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name || p_name, 1, 45) || '...' else p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_name || p_name end as label from part""")
@@ -251,11 +255,18 @@ def u17_merged_keys(spark, sf):
     return config.merged_keys(o).select("key_hash", "id", F.array_join("capabilities", ",").alias("capabilities"))
 
 
-@query("""select count(*) as n, sum(case when vec_id % 50 = 7 then 0 else 1 end)::bigint as kept from embeddings""")
+@query("""select 'node' as what, item_id::varchar as document_id from benchmark where item_id > (select min(item_id) from benchmark) union all select 'vector', item_id::varchar from benchmark where item_id > (select min(item_id) from benchmark)""")
 def u15_delete_cascade(spark, sf):
-    v = corpus.vectors(spark, sf)
-    kept, _ = vectors.delete_document(v, corpus.SCOPE, "7")
-    return v.agg(F.count("*").alias("n")).crossJoin(kept.agg(F.count("*").alias("kept")))  # one row each
+    """The engine takes in the benchmark's texts and deletes the first: what nodes and vectors are left of."""
+    from ..functions.embedding import HashingEmbedder
+    from .engine import Engine
+
+    engine = Engine(spark, f"{own_dir(spark)}/delete-{uuid.uuid4().hex}", HashingEmbedder(16))
+    rows = corpus.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("document_id"), "text", "item_id")
+    engine.ingest(corpus.files_of(rows, "text"), corpus.SCOPE, corpus.WINDOWS)
+    engine.delete(rows.orderBy("item_id").first()["document_id"], corpus.SCOPE)
+    left = lambda what, name: engine.table(name).select(F.lit(what).alias("what"), "document_id").distinct()
+    return left("node", "nodes").unionByName(left("vector", "vectors"))
 
 
 @query("""with s as (select doc_id % 10 as g, doc_id, case when doc_id % 4 = 0 then source end as v from documents) select g, min_by(v, case when v is not null then doc_id end) as first_value from s group by g""")
@@ -264,11 +275,10 @@ def p15_first_truthy(spark, sf):
     return d.groupBy("g").agg(health.first_truthy(F.col("v"), F.col("doc_id")).alias("first_value"))
 
 
-@query("""select event_id, len(json_keys(props))::bigint as entries from events""")
+@query("""select event_id, '{"k":"' || json_extract_string(props, '$.k') || '","type":"' || event_type || '"}' as entries from events""")
 def p14_source_metadata(spark, sf):
-    e = corpus.table(spark, sf, "events")
-    told = F.concat(F.regexp_replace("props", "\\}$", ""), F.lit(', "tenant_id": "t", "text": "x"}'))
-    return e.select("event_id", F.size(health.source_metadata(told)).cast("long").alias("entries"))
+    told = F.concat(F.regexp_replace("props", "\\}$", ""), F.lit(', "tenant_id": "t", "type": "'), F.col("event_type"), F.lit('", "text": "x"}'))
+    return corpus.table(spark, sf, "events").select("event_id", F.to_json(health.source_metadata(told)).alias("entries"))
 
 
 @query("""select src_kind, 'SEMANTIC_RELATION' as relation, dst_kind, count(*) as n from (select distinct 'Product' as src_kind, 'Organization' as dst_kind, l_partkey, l_suppkey from lineitem) group by all""")

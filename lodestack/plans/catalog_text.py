@@ -216,10 +216,11 @@ def c13_chunk_dedup(spark, sf):
     return corpus.chunks(spark, sf).select("chunk_id", "document_id", "content_hash")
 
 
-@query("""select min(doc_id) as doc_id, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) as content_hash, count(*) as copies from documents group by 2""")
+@query("""select min(doc_id) as doc_id, sha256(lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))) as content_hash, source from documents group by 2, 3""")
 def c13_corpus_dedup(spark, sf):
-    d = corpus.documents(spark, sf).withColumn("content_hash", text.content_hash(F.col("text")))
-    return d.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Documents as chunks of their source: of equal ones the first stays."""
+    d = corpus.documents(spark, sf).select("doc_id", F.col("tenant_id").alias("source"), F.col("document_id").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), text.content_hash(F.col("text")).alias("content_hash"), F.lit(True).alias("is_embeddable"))
+    return chunking.dedupe(d, ("source",)).select("doc_id", "content_hash", "source")
 
 
 @query(f"""with {CHUNKS}, e as (select document_id, count(*) as elements from typed group by 1), a as (select document_id, count(*) as n from all_chunks group by 1), k as (select document_id, count(*) as chunks from chunks group by 1)

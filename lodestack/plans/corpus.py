@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.embedding import HashingEmbedder
 from ..functions.text import token_count
 from ..operators.chunking import ChunkingConfig, dedupe, sliding
 from ..operators.graph import structure_edges, structure_nodes
 from ..schema import Scope
 from ..sources.text import text_elements
-from ..storage import written
+from ..storage import own_dir, written
 
 SCOPE = Scope("t", "a")
 WINDOWS = ChunkingConfig(strategy="sliding_window", max_tokens=120, overlap_tokens=20)
@@ -37,13 +41,46 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(sliding(elements(spark, sf_dir), WINDOWS))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) as tables, which is what graph operators work on."""
+@lru_cache(maxsize=4)
+def _graph(application: str, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    spark = SparkSession.getActiveSession()
     e = written(elements(spark, sf_dir))
     c = written(dedupe(sliding(e, WINDOWS)))
     return written(structure_nodes(documents(spark, sf_dir), e, c, SCOPE)), written(structure_edges(c, e, SCOPE))
 
 
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as tables, which is what graph operators work on; built once for an application and folder."""
+    return _graph(spark.sparkContext.applicationId, sf_dir)
+
+
+#: Documents in English are one tenant's, all others another's.
+TENANTS = {"en": Scope("en", "docs"), "rest": Scope("rest", "docs")}
+
+
+@lru_cache(maxsize=4)
+def _engine(application: str, sf_dir: str):
+    from .engine import Engine
+
+    spark = SparkSession.getActiveSession()
+    engine = Engine(spark, f"{own_dir(spark)}/engine-{uuid.uuid4().hex}", HashingEmbedder(32))
+    d = documents(spark, sf_dir)
+    for name, scope in TENANTS.items():
+        own = d.where((F.col("app_id") == "en") if name == "en" else F.coalesce(F.col("app_id") != "en", F.lit(True)))
+        engine.ingest(files_of(own, "text"), scope, WINDOWS)
+    return engine
+
+
+def engine(spark: SparkSession, sf_dir: str):
+    """An engine that holds the documents of both tenants; built once for an application and folder, so queries only read it."""
+    return _engine(spark.sparkContext.applicationId, sf_dir)
+
+
+def files_of(rows: DataFrame, text: str) -> DataFrame:
+    """Texts as files of their own, as the engine takes them in."""
+    return rows.select("document_id", F.concat("document_id", F.lit(".txt")).alias("filename"), F.lit(".txt").alias("extension"), F.encode(F.col(text), "utf-8").alias("content"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector"), F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id"), F.col("label").cast("string").alias("collection_id"), (F.col("vec_id") % 50).cast("string").alias("document_id"))
 

@@ -27,6 +27,13 @@ TABLES = {"vectors": VECTORS, "nodes": NODES, "edges": EDGES, "entities": "id st
 
 KEYS = {"vectors": ("vector_id",), "nodes": ("id",), "edges": ("src", "dst", "relation", "kind"), "entities": ("id", "document_id", "chunk_id")}
 
+#: What nodes and vectors are counted by as they are written.
+SCOPED = {c: c for c in ("tenant_id", "app_id", "collection_id", "document_id")}
+SUMMARIES = {
+    "nodes": SCOPED | {"kind": "kind", "is_embeddable": "coalesce(properties['is_embeddable'] = 'true', false)"},
+    "vectors": SCOPED | {c: c for c in ("embedding_profile_id", "embedding_model", "vector_dimension")},
+}
+
 
 def totals(read: DataFrame) -> DataFrame:
     """Extracted replies -> entities, relations and warnings of each document."""
@@ -50,7 +57,7 @@ def hybrid(matches: DataFrame, nodes: DataFrame, edges: DataFrame, entities: Dat
 
 
 class Engine(Store):
-    tables, keys = TABLES, KEYS
+    tables, keys, summaries = TABLES, KEYS, SUMMARIES
 
     def __init__(self, spark: SparkSession, root: str, provider: EmbeddingProvider | None = None):
         super().__init__(spark, root)
@@ -228,8 +235,7 @@ class Engine(Store):
         return shown, graph.payload_edges(self.table("edges"), shown, limit)
 
     def health(self, scope: Scope, profiles: DataFrame, limit: int | None = 10_000) -> DataFrame:
-        chunks = self.table("nodes").where(scope.of_graph() & (F.col("kind") == "chunk")).withColumn("is_embeddable", F.col("properties")["is_embeddable"] == "true")
-        return health.report(self.table("vectors").where(scope.of_vectors()), health.chunk_stats(chunks), profiles, limit)
+        return health.report(self.table("vectors").where(scope.of_vectors()), self.chunk_stats(scope), profiles, limit)
 
     def views(self, scope: Scope, spark: SparkSession | None = None) -> dict[str, DataFrame]:
         """The tables as the scope sees them; an edge is seen if both its ends are."""
@@ -247,6 +253,19 @@ class Engine(Store):
         base = self._manifest()
         return match(self.table("nodes", base), self.table("edges", base), pattern_of(pattern), scope)
 
+    def chunk_stats(self, scope: Scope) -> DataFrame:
+        """health.chunk_stats of the scope, from the summaries: no row of nodes is read."""
+        rows = self.summary("nodes").where(scope.of_graph() & (F.col("kind") == "chunk"))
+        return rows.groupBy("document_id").agg(F.sum("n").alias("chunk_count"), F.sum(F.when(F.col("is_embeddable"), F.col("n")).otherwise(0)).alias("embeddable_chunk_count"))
+
+    def node_counts(self, scope: Scope) -> DataFrame:
+        """(kind, n) of the scope, larger counts first, from the summaries."""
+        return self.summary("nodes").where(scope.of_graph()).groupBy("kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind")
+
+    def embedded_counts(self, scope: Scope) -> DataFrame:
+        """Vectors of each (document, profile, model, dimension) of the scope, from the summaries."""
+        return self.summary("vectors").where(scope.of_vectors()).groupBy("document_id", "embedding_profile_id", "embedding_model", "vector_dimension").agg(F.sum("n").alias("embedded_count"))
+
     def query(self, text: str, scope: Scope, **args) -> DataFrame:
         """A SQL query over the views nodes, edges, vectors and entities of a scope; only queries over these are let through.
 

@@ -7,6 +7,9 @@ from one manifest the second gets an error. A manifest that cannot be read is pa
 A change rewrites only folders with rows that it replaces. For folders of up to PRINTS rows the manifest keeps 32-bit fingerprints of their
 keys, so that folders which cannot hold a changed key are not read; of larger ones the key columns are. Many small folders are one
 after `compact`; `vacuum` removes what no kept manifest names.
+
+A table may have a summary, counts by some of its columns, which is written beside each folder. Folders never change, so the sum of
+the summaries of a manifest's folders is what counting all rows would give, after any changes, and reads no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ class Store:
     #: Schema and key of each table.
     tables: dict[str, str] = {}
     keys: dict[str, tuple[str, ...]] = {}
+    #: Columns (name -> SQL) that a table's rows are counted by.
+    summaries: dict[str, dict[str, str]] = {}
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -115,11 +120,28 @@ class Store:
         """The path of a new folder with rows, None if there are none."""
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         rows.select(*self.spark.createDataFrame([], self.tables[name]).columns).write.parquet(path)
-        prints = self._prints_of(self.spark.read.schema(self.tables[name]).parquet(path), name, PRINTS)
+        read = self.spark.read.schema(self.tables[name]).parquet(path)
+        if name in self.summaries:
+            self._counted(read, name).write.parquet(self._beside(path))
+        prints = self._prints_of(read, name, PRINTS)
         if prints is not None:
             base["prints"][path] = _packed(prints)
         return path if prints is None or len(prints) else None
 
+    @staticmethod
+    def _beside(path: str) -> str:
+        table, _, folder = path.rpartition("/")
+        return f"{table}-summary/{folder}"
+
+    def _counted(self, rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*[F.expr(sql).alias(c) for c, sql in self.summaries[name].items()]).agg(F.count("*").alias("n"))
+
+    def summary(self, name: str, manifest: dict | None = None) -> DataFrame:
+        """The summary's columns and n, several rows for one value where it stands in several folders."""
+        at = (manifest or self._manifest())["tables"].get(name)
+        empty = self._counted(self.spark.createDataFrame([], self.tables[name]), name)
+        return self.spark.read.schema(empty.schema).parquet(*map(self._beside, at)) if at else empty
+
     def _put(self, base: dict, name: str, gone: DataFrame | None, new: DataFrame | None) -> list[str]:
         """Folders of the table without the rows whose key is in gone, and with new. Folders that hold none of them stay."""
         at, key = list(base["tables"].get(name, [])), list(self.keys[name])
@@ -168,18 +190,18 @@ class Store:
             if len(held) == max(1, keep):
                 break
         until, gone = (time.time() - older_s) * 1000, 0
-        for folder in ("manifests", *self.tables):
+        for folder in ("manifests", *self.tables, *(f"{x}-summary" for x in self.summaries)):
             for x, changed in self._names(folder).items():
                 if folder == "manifests":
                     dead = changed <= until and (not re.fullmatch(r"\d{10}\.json", x) or bool(held) and int(x[:10]) < held[-1])
                 else:
-                    dead = changed <= until and f"{self.root}/{folder}/{x}" not in named
+                    dead = changed <= until and f"{self.root}/{folder.removesuffix('-summary')}/{x}" not in named
                 if dead:
                     path, fs = self._path(f"{folder}/{x}")
                     gone += bool(fs.delete(path, True))
         return gone
 
     def reset(self) -> None:
-        for name in (*self.tables, "manifests"):
+        for name in (*self.tables, *(f"{x}-summary" for x in self.summaries), "manifests"):
             path, fs = self._path(name)
             fs.delete(path, True)

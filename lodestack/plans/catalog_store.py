@@ -48,8 +48,9 @@ def u08_graph_pattern(spark, sf):
     return corpus.engine(spark, sf).match(told, corpus.TENANTS["rest"])
 
 
-@query(f"""with {OWNED}, w as (select tenant, document_id, greatest(1, 1 + ceil((len(regexp_extract_all(text, '\\S+')) - 120) / 100.0)) as n from owned)
-select tenant, document_id, n::bigint as n_vectors from w""")
+@query(f"""with {OWNED}, w as (select tenant, document_id, string_split(lower(regexp_replace(trim(text, {WS}), '\\s+', ' ', 'g')), ' ') as w from owned),
+k as (select *, unnest(range(0, 1 + ceil(greatest(0, len(w) - 120) / 100.0)::bigint)) as k from w)
+select tenant, document_id, count(distinct array_to_string(w[k * 100 + 1 : k * 100 + 120], ' ')) as n_vectors from k group by all""")
 def a02_embedded_counts(spark, sf):
     """Vectors of each document from the summaries that the store keeps, without a look at the vectors. Equal windows of a document are one."""
     engine = corpus.engine(spark, sf)

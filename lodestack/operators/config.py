@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import mask_secret
 from ..schema import pool_scope
 
 DEFAULT_TOP_K = 5
@@ -95,6 +96,26 @@ def rotation_order(pools: DataFrame) -> DataFrame:
     return pools.withColumn("place", F.row_number().over(Window.partitionBy("tenant_id").orderBy("rotation_order", "name")))
 
 
+#: How each listing is ordered: columns, or those that come newest first.
+LISTINGS = {"providers": ("code",), "keys": ("-created_at", "id"), "embedding_profiles": ("-created_at", "id"), "models": ("model_name", "id"), "pools": ("rotation_order", "name")}
+
+
+def listing(rows: DataFrame, kind: str) -> DataFrame:
+    """The rows of one kind of configuration, in its order."""
+    return rows.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in LISTINGS[kind]])
+
+
+def pool_rows(pools: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pools with what their profile says, flat, in rotation order; pools without a profile go."""
+    p = profiles.select(F.col("id").alias("profile_id"), "model_name", "provider_id", "api_key_id")
+    return listing(pools.join(p, "profile_id"), "pools")
+
+
+def key_rows(keys: DataFrame) -> DataFrame:
+    """Keys as they may be shown: the secret masked, the newest first."""
+    return listing(keys.withColumn("masked_key", mask_secret(F.col("secret"))).drop("secret", "key_hash"), "keys")
+
+
 class KeyRing:
     """Which key comes next: round robin over keys that are neither disabled nor asleep."""
 

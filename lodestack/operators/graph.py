@@ -283,4 +283,10 @@ def schema_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select("src", "relation", "dst").join(k("src"), "src").join(k("dst"), "dst").groupBy("src_kind", "relation", "dst_kind").agg(F.count("*").alias("n"))
 
 
+def schema_text(schema: DataFrame) -> DataFrame:
+    """schema_of's rows as one text, a line each in order: what a planner is shown."""
+    line = F.concat(F.lit("(:"), "src_kind", F.lit(")-[:"), "relation", F.lit("]->(:"), "dst_kind", F.lit(") "), F.col("n").cast("string"))
+    return schema.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))  # a row for each kind of edge
+
+
 assert len(RELATIONS) == 7

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, vectors
+from ..operators import config, graph, vectors
 from ..storage import own_dir, written
-from ..streaming.jobs import run_available
+from ..streaming.jobs import record_stream, run_available
 from ..streaming.states import MOVES, state_store, status_moves
 from . import corpus
+from ..functions.policy import REFUSAL
 from .catalog_graph import CLAMP, COS, vector_of
-from .catalog_text import WS
+from .catalog_graph import SQL as GRAPH
+from .catalog_text import CHUNKS, WS
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -114,3 +117,72 @@ def u14_state_moves(spark, sf):
     with state_store(spark):
         run_available(status_moves(events), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select("document_id", "seq", "was", "status", "accepted")
+
+
+@query("""select event_type as capability, count(*) as calls, count(*) filter (event_type <> 'error') as successes, sum(trunc(value)::bigint)::bigint as total_tokens from events group by 1""")
+def snk11_usage_events(spark, sf):
+    """Events streamed into the usage table, then handed over once more, which adds nothing."""
+    from ..functions.embedding import HashingEmbedder
+    from .engine import Engine
+
+    engine = Engine(spark, f"{own_dir(spark)}/usage-{uuid.uuid4().hex}", HashingEmbedder(8))
+    told = lambda e: e.select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("at"), F.lit("t").alias("tenant_id"), F.lit("a").alias("app_id"), F.col("event_type").alias("capability"), (F.col("event_type") != "error").alias("success"), F.col("value").cast("long").alias("total_tokens"))
+    events = corpus.table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    record_stream(told(stream), engine.record_usage, f"{own_dir(spark)}/usage-{uuid.uuid4().hex}")
+    engine.record_usage(told(events))
+    return engine.usage(corpus.SCOPE).groupBy("capability").agg(F.count("*").alias("calls"), F.count_if("success").alias("successes"), F.sum("total_tokens").alias("total_tokens"))
+
+
+@query("""with p as (select 'providers' as kind, n_nationkey::varchar as id, row_number() over (order by n_name) as place from nation), k as (select 'keys', c_custkey::varchar, row_number() over (order by c_acctbal desc, c_custkey::varchar) from customer),
+e as (select 'embedding_profiles', s_suppkey::varchar, row_number() over (order by s_acctbal desc, s_suppkey::varchar) from supplier), m as (select 'models', p_partkey::varchar, row_number() over (order by p_name, p_partkey::varchar) from part)
+from p union all from k union all from e union all from m""")
+def src22_listings(spark, sf):
+    """Nations as providers, customers as keys, suppliers as embedding profiles and parts as models, each with its place in its listing."""
+    named = {
+        "providers": ("nation", F.col("n_nationkey"), {"code": "n_name"}), "keys": ("customer", F.col("c_custkey"), {"created_at": "c_acctbal"}),
+        "embedding_profiles": ("supplier", F.col("s_suppkey"), {"created_at": "s_acctbal"}), "models": ("part", F.col("p_partkey"), {"model_name": "p_name"}),
+    }
+    found = None
+    for kind, (name, key, more) in named.items():
+        listed = config.listing(corpus.table(spark, sf, name).select(key.cast("string").alias("id"), *[F.col(b).alias(a) for a, b in more.items()]), kind)
+        placed = listed.select(F.lit(kind).alias("kind"), "id", (F.monotonically_increasing_id()).alias("m"))
+        placed = written(placed).withColumn("place", F.count("*").over(Window.partitionBy("kind").orderBy("m"))).drop("m")
+        found = placed if found is None else found.unionByName(placed)
+    return found
+
+
+@query("""select c_custkey::varchar as id, c_name[:4] || '...' || right(c_name, 4) as masked_key, p.n_name as model_name from customer join nation p on p.n_nationkey = c_nationkey""")
+def p16_key_and_pool_rows(spark, sf):
+    """Customers as keys whose names are secrets, and as pools of their nation's profile."""
+    c = corpus.table(spark, sf, "customer")
+    keys = config.key_rows(c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("secret"), F.col("c_acctbal").alias("created_at")))
+    profiles = corpus.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("model_name"), F.lit("p").alias("provider_id"), F.lit("k").alias("api_key_id"))
+    pools = config.pool_rows(c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").alias("profile_id"), F.col("c_acctbal").alias("rotation_order"), F.col("c_name").alias("name")), profiles)
+    return keys.join(pools.select("id", "model_name"), "id").select("id", "masked_key", "model_name")
+
+
+@query("""with n as (select count(*) as sem from (select distinct l_partkey, l_suppkey from lineitem)) select '(:Product)-[:SEMANTIC_RELATION]->(:Organization) ' || sem as text from n""")
+def u10_schema_text(spark, sf):
+    entities, edges = corpus.star(spark, sf)
+    return graph.schema_text(graph.schema_of(entities.withColumn("kind", F.col("entity_type")), edges.where("relation = 'SEMANTIC_RELATION'")))
+
+
+# -- SQL for queries of the other catalogs ----------------------------------------------------------------------------------
+SQL["k05_payload_edges"] = f"""with {CHUNKS}, d as (select document_id, chunk_id, unnest(string_split(element_ids, ',')) as el from chunks), nx as (select chunk_id, lead(chunk_id) over (partition by document_id order by chunk_index) as nxt from chunks),
+ids as (select 't:a::document:' || document_id as id, 1 as o from chunks group by document_id union all select distinct 't:a::element:' || el, 2 from d union all select 't:a::chunk:' || chunk_id, 3 from chunks), shown as (select id from ids order by o, id limit 1500),
+e as (select 't:a::document:' || document_id as src, 't:a::chunk:' || chunk_id as dst, 'HAS_CHUNK' as relation, 2 as o from chunks union all select distinct 't:a::document:' || document_id, 't:a::element:' || el, 'HAS_ELEMENT', 1 from d
+union all select distinct 't:a::chunk:' || chunk_id, 't:a::element:' || el, 'DERIVED_FROM', 3 from d union all select 't:a::chunk:' || chunk_id, 't:a::chunk:' || nxt, 'NEXT_CHUNK', 4 from nx where nxt is not null)
+select sha256(src || ':' || relation || ':' || dst) as edge_id, src, dst, relation from e where src in (from shown) and dst in (from shown) order by o, src, dst limit 6000"""
+SQL["src07_json_lines"] = """with e as (select user_id::varchar as document_id, row_number() over (partition by user_id order by event_id) - 1 as "order", json_extract_string(props, '$.k') as k from events)
+select document_id, "order", 'json_record' as element_type, '{"k": ' || k || '}' as text, "order" + 1 as jsonl_line from e"""
+_s20 = GRAPH["s20_context_compaction"]
+SQL["s22_prompt_context"] = (
+    _s20[: _s20.rindex("\nselect")].replace("5000", "2000").replace("897", "297").replace("900", "300")
+    + """, t as (select query_id, string_agg('[' || refs || '] source=vector; chunk=' || chunk_id || chr(10) || text, chr(10) || chr(10) order by refs) as context from f where i > 0 and text <> '' group by query_id)
+select query_id, md5(context) as context_md5, length(context) as chars from t"""
+)
+SQL["s19_decisions"] = f"""with t as (select conv_id, turn, trim(coalesce(text, ''), {WS}) as a from conversations where role = 'assistant'),
+d as (select conv_id, turn, case when conv_id % 3 = 2 or (conv_id % 3 = 0 and a = '') then 'refusal' else 'grounded_answer' end as response_type, a from t)
+select conv_id, turn, response_type, (case when response_type = 'refusal' then {len(REFUSAL)} when conv_id % 3 = 0 then length(a || ' [1]') else length(trim(a || ' [2]')) end)::bigint as answer_chars,
+  case when response_type = 'refusal' then '' when conv_id % 3 = 0 then '1' else '2' end as refs from d"""

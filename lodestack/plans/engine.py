@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,17 @@ from ..ontology import prompt
 from ..operators import chunking, graph, health, registry, vectors
 from ..operators.context import BLOCKS, SOURCES, compact, rendered
 from ..operators.patterns import match, pattern_of
-from ..schema import EDGES, NODES, RELATIONS, VECTORS, Scope
+from ..schema import EDGES, NODES, RELATIONS, USAGE, VECTORS, Scope
 from ..sources.parsers import parse_files
 from ..storage import written
 from .guard import check_query
 from .store import Store
 
-TABLES = {"vectors": VECTORS, "nodes": NODES, "edges": EDGES, "entities": "id string, document_id string, chunk_id string, entity_type string, name string, normalized_name string"}
+TABLES = {"vectors": VECTORS, "nodes": NODES, "edges": EDGES, "entities": "id string, document_id string, chunk_id string, entity_type string, name string, normalized_name string", "usage": USAGE}
+#: What a planned query may name.
+VIEWS = ("vectors", "nodes", "edges", "entities")
 
-KEYS = {"vectors": ("vector_id",), "nodes": ("id",), "edges": ("src", "dst", "relation", "kind"), "entities": ("id", "document_id", "chunk_id")}
+KEYS = {"vectors": ("vector_id",), "nodes": ("id",), "edges": ("src", "dst", "relation", "kind"), "entities": ("id", "document_id", "chunk_id"), "usage": ("event_id",)}
 
 #: What nodes and vectors are counted by as they are written.
 SCOPED = {c: c for c in ("tenant_id", "app_id", "collection_id", "document_id")}
@@ -35,6 +38,19 @@ SUMMARIES = {
 }
 
 
+@dataclass(frozen=True)
+class Bundle:
+    """What one ingest hands to its sinks."""
+
+    files: DataFrame
+    elements: DataFrame
+    chunks: DataFrame
+    scope: Scope
+
+    def documents(self) -> DataFrame:
+        return self.elements.select("document_id").distinct()
+
+
 def totals(read: DataFrame) -> DataFrame:
     """Extracted replies -> entities, relations and warnings of each document."""
     return read.groupBy("document_id").agg(F.sum(F.size("entities")).alias("entities"), F.sum(F.size("relations")).alias("relations"), F.array_sort(F.collect_list("warning")).alias("warnings"))
@@ -64,43 +80,48 @@ class Engine(Store):
         self.provider = provider or HashingEmbedder()
 
     # -- writing -----------------------------------------------------------------------------------------------------
-    def ingest(self, files: DataFrame, scope: Scope, config: chunking.ChunkingConfig | None = None) -> DataFrame:
+    def ingest(self, files: DataFrame, scope: Scope, config: chunking.ChunkingConfig | None = None, sinks: tuple[str, ...] = ("graph", "vectors")) -> DataFrame:
         """files (document_id, filename, extension, content) -> a row of counts and status for each.
 
         Ingesting again replaces all that the scope holds of a document: its chunks and elements with their vectors and
         edges. Mentions of chunks that come again with the same text stay; other mentions go, and so do entities that nothing mentions
         any more. A file that cannot be parsed leaves what is there. Files are parsed, cut and
-        embedded once.
+        embedded once, for all sinks, and what the sinks write is published at once; without sinks the counts are all there is.
         """
         base = self._manifest()
         parsed = written(parse_files(files))
         elements = parsed.where("element_id is not null").drop("status")
         all_chunks = written(chunking.chunk(elements, config, self.provider))
-        chunks = written(chunking.dedupe(all_chunks))
-        documents = elements.select("document_id").distinct()
-        rows = vectors.embed_records(vectors.records(chunks, scope), self.provider)
-        nodes = written(graph.structure_nodes(files.select("document_id", "filename"), elements, chunks, scope))
+        bundle = Bundle(files, elements, written(chunking.dedupe(all_chunks)), scope)
+        changed = {name: paths for sink in sinks for name, paths in {"graph": self._to_graph, "vectors": self._to_vectors}[sink](base, bundle).items()}
+        if changed:
+            self._publish(base, **changed)
+        told = chunking.stats(elements, all_chunks, bundle.chunks)
+        failed = parsed.where("element_id is null").select("document_id", "status")
+        return files.select("document_id", "filename").join(told, "document_id", "left").join(failed, "document_id", "left").withColumn("status", F.coalesce("status", F.lit("ready")))
+
+    def _to_vectors(self, base: dict, bundle: Bundle) -> dict[str, list[str]]:
+        scope, rows = bundle.scope, vectors.records(bundle.chunks, bundle.scope)
+        in_scope = F.coalesce("collection_id", F.lit("")) == (scope.collection_id or "")
+        of_vectors = self.table("vectors", base).where(scope.of_vectors() & in_scope).join(bundle.documents(), "document_id", "left_semi").select("vector_id")
+        return {"vectors": self._put(base, "vectors", of_vectors.unionByName(rows.select("vector_id")), vectors.embed_records(rows, self.provider))}
+
+    def _to_graph(self, base: dict, bundle: Bundle) -> dict[str, list[str]]:
+        scope, elements, chunks = bundle.scope, bundle.elements, bundle.chunks
+        nodes = written(graph.structure_nodes(bundle.files.select("document_id", "filename"), elements, chunks, scope))
         edges = written(graph.structure_edges(chunks, elements, scope).dropDuplicates(list(KEYS["edges"])))
         same = lambda rows: rows.select("id", F.coalesce(F.col("properties")["content_hash"], F.lit("")).alias("hash"))
-        held = written(same(self.table("nodes", base).where(scope.of_graph() & (F.col("kind") != "entity")).join(documents, "document_id", "left_semi")))
-        before = held.select("id")
-        old = self.table("edges", base)
+        held = written(same(self.table("nodes", base).where(scope.of_graph() & (F.col("kind") != "entity")).join(bundle.documents(), "document_id", "left_semi")))
+        before, old = held.select("id"), self.table("edges", base)
         of_documents = old.where("relation not in ('MENTIONED_IN', 'SEMANTIC_RELATION')").join(before, old["src"] == before["id"], "left_semi").select(*KEYS["edges"])
         changed = held.join(same(nodes), ["id", "hash"], "left_anti").select("id")
         unmentioned = written(old.where("relation = 'MENTIONED_IN'").join(changed, F.col("dst") == F.col("id"), "left_semi").select(*KEYS["edges"]))
         stale, orphans, orphaned = self._unmentioned(base, scope, unmentioned)
-        in_scope = F.coalesce("collection_id", F.lit("")) == (scope.collection_id or "")
-        of_vectors = self.table("vectors", base).where(scope.of_vectors() & in_scope).join(documents, "document_id", "left_semi").select("vector_id")
-        self._publish(
-            base,
-            vectors=self._put(base, "vectors", of_vectors.unionByName(vectors.records(chunks, scope).select("vector_id")), rows),
-            nodes=self._put(base, "nodes", before.unionByName(nodes.select("id")).unionByName(orphans), nodes),
-            edges=self._put(base, "edges", of_documents.unionByName(unmentioned).unionByName(orphaned).unionByName(edges.select(*KEYS["edges"])), edges),
-            entities=self._put(base, "entities", stale, None),
-        )
-        told = chunking.stats(elements, all_chunks, chunks)
-        failed = parsed.where("element_id is null").select("document_id", "status")
-        return files.select("document_id", "filename").join(told, "document_id", "left").join(failed, "document_id", "left").withColumn("status", F.coalesce("status", F.lit("ready")))
+        return {
+            "nodes": self._put(base, "nodes", before.unionByName(nodes.select("id")).unionByName(orphans), nodes),
+            "edges": self._put(base, "edges", of_documents.unionByName(unmentioned).unionByName(orphaned).unionByName(edges.select(*KEYS["edges"])), edges),
+            "entities": self._put(base, "entities", stale, None),
+        }
 
     def _unmentioned(self, base: dict, scope: Scope, mentions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Mentions (src, dst) that go -> keys of entity rows that go with them, entities that nothing else mentions, and keys of these entities' relations."""
@@ -154,6 +175,31 @@ class Engine(Store):
         self._publish(base, nodes=self._put(base, "nodes", gone, None), edges=self._put(base, "edges", gone_edges, None), vectors=self._put(base, "vectors", own, None), entities=self._put(base, "entities", self.table("entities", base).join(gone, "id", "left_semi"), None))
         return deleted
 
+    def record_usage(self, events: DataFrame, tries: int = 3) -> int:
+        """Adds usage events (a row a model call, in USAGE's columns; missing ones are null) that are not there by event_id; how many were added.
+
+        A repeated batch adds nothing, and a failed one leaves nothing that is seen. If another writer comes first it is tried again.
+        """
+        there = [(F.col(c) if c in events.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (x.split() for x in USAGE.split(", "))]
+        rows = written(events.select(*there).where("event_id is not null").dropDuplicates(["event_id"]))
+        for left in reversed(range(tries)):
+            base = self._manifest()
+            maybe = self._may_hold(base, "usage", rows)
+            fresh = rows.join(self.spark.read.schema(USAGE).parquet(*maybe), "event_id", "left_anti") if maybe else rows
+            fresh = written(fresh.select(rows.columns))
+            if not (n := fresh.count()):
+                return 0
+            try:
+                self._publish(base, usage=self._put(base, "usage", None, fresh))
+                return n
+            except RuntimeError:
+                if not left:
+                    raise
+        return 0
+
+    def usage(self, scope: Scope) -> DataFrame:
+        return self.table("usage").where((F.col("tenant_id") == scope.tenant_id) & (F.col("app_id") == scope.app_id))
+
     # -- reading -----------------------------------------------------------------------------------------------------
     def search(self, text: str, scope: Scope, k: int = 5, least: float = 0.0) -> DataFrame:
         if not text.strip():
@@ -163,7 +209,8 @@ class Engine(Store):
     def retrieve(self, text: str, scope: Scope, k: int = 5, least: float = 0.0, listed: str | None = None, queried: str | None = None) -> DataFrame:
         """The compacted context of a query, its sources in the order of SOURCES, with the strategy's label.
 
-        listed and queried are texts of the document registry and of a graph query, where there are any.
+        listed and queried are texts of the document registry and of a graph query, where there are any. score is the similarity of a match and 1
+        for what the graph adds; metadata tells of a match what its record does, of a graph's chunk its place, neighbours and elements.
         """
         nodes, edges, entities = self.table("nodes"), self.table("edges"), self.table("entities")
         found = self.search(text, scope, k, least).cache()
@@ -182,7 +229,13 @@ class Engine(Store):
         blocks = blocks.withColumn("query_id", F.lit(1))
         counts = found.agg(F.count("*").alias("v")).crossJoin(context.agg(F.count("*").alias("g"))).crossJoin(related.agg(F.count("*").alias("e")))  # one row each
         label = counts.select(retrieval_strategy(F.col("v"), F.col("g"), F.col("e"), F.lit(bool(queried))).alias("strategy"), F.col("g").alias("n_graph"), F.col("e").alias("n_entities"))
-        return compact(blocks).crossJoin(F.broadcast(label)).drop("query_id").orderBy("reference")
+        # What is known of each block's chunk: its score (1 for the graph's own), place and neighbours, as JSON.
+        near_told = context.select("chunk_id", F.to_json(F.struct("document_id", "chunk_index", "previous_chunk_id", "next_chunk_id", "parent_chunk_id", F.transform("source_elements", lambda e: e["element_id"]).alias("element_ids"))).alias("__near"))
+        scores = found.select("chunk_id", "similarity", F.col("metadata").alias("__own"))
+        told = compact(blocks).join(scores, "chunk_id", "left").join(near_told, "chunk_id", "left")
+        by_score = F.when(F.col("source") == "vector", F.col("similarity")).otherwise(F.lit(1.0))
+        about = F.when(F.col("source") == "vector", F.coalesce("__own", "__near")).otherwise(F.col("__near"))
+        return told.withColumns({"score": by_score, "metadata": about}).drop("similarity", "__own", "__near", "query_id").crossJoin(F.broadcast(label)).orderBy("reference")
 
     def structured(self, question: str, scope: Scope, planner: Callable[[str, str], str | dict | None], most: int = 30) -> str | None:
         """What a planned query returns within the scope, as text: a JSON row a line. None if none is planned or it fails.
@@ -200,7 +253,7 @@ class Engine(Store):
 
     def described(self) -> str:
         """The views that a planned query may name, a line each, and what joins them."""
-        return "\n".join([*(f"{name}({columns})" for name, columns in TABLES.items()), f"edges join nodes.id by src and dst; relation is one of {', '.join(RELATIONS)}; kind of a node is one of {', '.join(graph.KINDS)}"])
+        return "\n".join([*(f"{name}({TABLES[name]})" for name in VIEWS), f"edges join nodes.id by src and dst; relation is one of {', '.join(RELATIONS)}; kind of a node is one of {', '.join(graph.KINDS)}"])
 
     def answer(self, message: str, scope: Scope, model: Callable[[str], str], planner: Callable[[str, str], str | dict | None] | None = None, documents: DataFrame | None = None, history: str = "", k: int = 5, least: float = 0.0) -> dict:
         """response_type, answer, references and strategy of a message. The model sees the compacted context; the policy judges its reply.
@@ -306,7 +359,7 @@ def guarded_cypher(text: str | None) -> str:
     return query
 
 
-def read_only(spark: SparkSession, text: str, relations: tuple[str, ...] = tuple(TABLES)) -> str:
+def read_only(spark: SparkSession, text: str, relations: tuple[str, ...] = VIEWS) -> str:
     """A SQL text, cleaned; raises ValueError unless it is one query over the relations, with built-in functions alone."""
     query = query_text(text, "sql")
     check_query(spark, query, relations)

@@ -18,6 +18,11 @@ VECTORS = (
 )
 #: One table for the four kinds of node: what a kind lacks is null.
 NODES = "id string, kind string, tenant_id string, app_id string, collection_id string, document_id string, record_id string, position long, label string, text string, properties map<string,string>"
+#: A model call: who made it, by which profile and key, what it took and how it ended.
+USAGE = (
+    "event_id string, at timestamp, tenant_id string, app_id string, profile_id string, api_key_id string, capability string, model_name string, endpoint string, success boolean, attempts int, "
+    "latency_ms long, prompt_tokens long, completion_tokens long, total_tokens long, input_count int, verdict_action string, error_reason string, metadata string"
+)
 EDGES = "src string, dst string, relation string, kind string, description string, confidence double"
 
 

@@ -39,3 +39,10 @@ def ingest_stream(spark: SparkSession, path: str, ingest: Callable[[DataFrame],
     q = files.writeStream.foreachBatch(lambda rows, n: ingest(rows)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def record_stream(events: DataFrame, record: Callable[[DataFrame], int], checkpoint: str) -> StreamingQuery:
+    """Hands usage events to Engine.record_usage, a batch at a time; a batch that is run again adds nothing, as events are told by id."""
+    q = events.writeStream.foreachBatch(lambda rows, n: record(rows) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q

@@ -107,6 +107,59 @@ def test_summaries_equal_a_recount_after_changes(spark, tmp_path):
     assert "/nodes-summary/" in str(engine.chunk_stats(scopes[0]).inputFiles()) and "/nodes/" not in str(engine.chunk_stats(scopes[0]).inputFiles())
 
 
+# -- sinks ---------------------------------------------------------------------------------------------------------------------
+def usage_events(spark, *rows):
+    return spark.createDataFrame(rows, "event_id string, tenant_id string, app_id string, total_tokens long, other string")
+
+
+def test_usage_events_count_once(spark, tmp_path, monkeypatch):
+    engine, scope = Engine(spark, f"file://{tmp_path}/store"), Scope("t", "a")
+    assert engine.record_usage(usage_events(spark, ("1", "t", "a", 5, "x"), ("1", "t", "a", 5, "x"), ("2", "t", "b", 7, "x"), (None, "t", "a", 9, "x"))) == 2
+    assert engine.record_usage(usage_events(spark, ("1", "t", "a", 5, "x"), ("2", "t", "b", 7, "x"))) == 0 and engine.versions() == [1]
+    with monkeypatch.context() as m:
+        m.setattr(engine, "_publish", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            engine.record_usage(usage_events(spark, ("3", "t", "a", 1, "x")))
+    assert engine.table("usage").count() == 2
+    publish, raced = engine._publish, []
+
+    def race(base, **changed):  # another writer comes first, once
+        if not raced:
+            raced.append(Engine(spark, engine.root).record_usage(usage_events(spark, ("3", "t", "a", 1, "x"))))
+        publish(base, **changed)
+
+    monkeypatch.setattr(engine, "_publish", race)
+    assert engine.record_usage(usage_events(spark, ("3", "t", "a", 1, "x"), ("4", "t", "a", 2, "x"))) == 1
+    assert sorted((r["event_id"], r["total_tokens"]) for r in engine.usage(scope).collect()) == [("1", 5), ("3", 1), ("4", 2)]
+
+
+def test_sinks_are_chosen_and_count(spark, tmp_path):
+    engine, scope = Engine(spark, f"file://{tmp_path}/store"), Scope("t", "a")
+    files = spark.createDataFrame([("d", "d.txt", ".txt", b"Owls hunt mice.")], "document_id string, filename string, extension string, content binary")
+    counts = lambda: [engine.table(n).count() for n in ("nodes", "vectors")]
+    reports = [engine.ingest(files, scope, sinks=sinks).first() for sinks in ((), ("vectors",), ("graph", "vectors"))]
+    told = [(r["graph_records"], r["vector_records"]) for r in reports]
+    assert len(set(told)) == 1 and told[0][1] == 1 and engine.versions() == [1, 2]
+    assert counts()[1] == 1 and counts()[0] > 1
+    engine2 = Engine(spark, f"file://{tmp_path}/other")
+    engine2.ingest(files, scope, sinks=("vectors",))
+    assert engine2.table("nodes").count() == 0 and engine2.table("vectors").count() == 1
+    with pytest.raises(KeyError):
+        engine.ingest(files, scope, sinks=("mail",))
+
+
+def test_blocks_of_retrieval_tell_scores_and_neighbours(spark, tmp_path):
+    engine, scope = Engine(spark, f"file://{tmp_path}/store"), Scope("t", "a")
+    text = "Owls hunt mice in the orchard at night. " * 3 + "Tides turn every six hours on the coast. " * 3
+    engine.ingest(spark.createDataFrame([("d", "d.txt", ".txt", text.encode())], "document_id string, filename string, extension string, content binary"), scope, ChunkingConfig(strategy="parent_child", max_tokens=8, overlap_tokens=0, parent_max_tokens=24))
+    blocks = engine.retrieve("owls hunt mice", scope, 2).collect()
+    by_source = {b["source"]: b for b in reversed(blocks)}  # the first of each
+    assert 0 < by_source["vector"]["score"] <= 1 and by_source["graph_parent"]["score"] == 1.0
+    assert json.loads(by_source["vector"]["metadata"])["chunk_role"] == "child"
+    around = json.loads(by_source["graph_parent"]["metadata"])
+    assert around["document_id"] == "d" and around["element_ids"] and ("next_chunk_id" in around or "previous_chunk_id" in around)
+
+
 # -- states -------------------------------------------------------------------------------------------------------------------
 def test_states_refuse_moves_survive_restarts_and_end_when_stuck(spark, tmp_path):
     def put(*rows):

@@ -21,8 +21,8 @@ hashes.
 
 Defined results: a null text is an empty one (its end token counts); rows that share an id are documents of their own;
 a row without id is in the fold of the empty string; no training documents leave every word unknown; an empty table
-gives no rows; other columns are ignored; a text of any length is scored whole. Samples are seeded by part, so reruns over the
-same files agree.
+gives no rows; other columns are ignored; a text of any length is scored whole. Samples are seeded by part, and there are as many parts as the
+size of the tables asks for, so reruns over the same files agree, whatever the number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, WordHashes, bounded_batches, fan_out, mixed, words_of, written
+from .common import LOWER, U64, WordHashes, bounded_batches, mixed, words_of, written
 from .seating import draw, reseat
 
 __all__ = ["held_out", "reseat", "score"]
@@ -247,11 +247,21 @@ def _of(table: pa.Table, kind: int) -> list[bytes]:
     return sorted(d for k, d in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True) if k == kind)
 
 
+def by_size(docs: DataFrame) -> int:
+    """Parts by the size of the tables read alone: samples are seeded by part, and must not hang on the session's settings.
+
+    Parts of 2 MB, up to 32 of them, then of 8 MB once there are more; a small table is one part, which is sampled without approximation.
+    """
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(x for x in (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) if x < 1 << 60)
+    return max(1, min(size >> 21, 32), min(size >> 23, 1 << 17))
+
+
 def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, burn_in: int = 2, samples: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row of docs."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held if held is not None else held_out(F.col(id_col)), F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     bounded_batches(docs)
-    parts = fan_out(docs, 16 << 20)
+    parts = by_size(docs)
     # A bounded sample, which lays out the work only; at most 1 / HOT words come back.
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sample = written(plain.limit(2000).select(F.explode(words_of(low)).alias("w")).groupBy("w").count())

@@ -350,9 +350,25 @@ def test_clustered_vectors_are_found_in_small_windows(spark):
     v = (centres[np.arange(4000) % 200] + r.normal(size=(4000, 16)) * 0.05).astype(np.float32)
     frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").repartition(4)
     with warnings.catch_warnings():
-        warnings.simplefilter("error")  # there is structure, so nothing is told
+        warnings.filterwarnings("error", message="little structure")  # there is structure, so nothing is told
         got = ann.search(frame, F.col("vec_id") % 100 == 0, k=10, block=128)
     rows = got.collect()
     want = {q: set(np.lexsort((np.arange(4000), np.where(np.arange(4000) == q, np.inf, ((v.astype(float) - v[q].astype(float)) ** 2).sum(1))))[:10].tolist()) for q in range(0, 4000, 100)}
     hits = sum(x["vec_id"] in want[x["query_id"]] for x in rows)
     assert hits >= 0.95 * 400
+
+
+def test_scores_do_not_hang_on_shuffle_partitions(spark):
+    from lodestack.llm.pitman_yor import score
+
+    from .helpers import docs
+
+    found, key = [], "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        for n in ("2", "7"):
+            spark.conf.set(key, n)
+            found.append(sorted((r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["score"], r["base_score"]) for r in score(docs(spark)).collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert len(found[0]) == len(found[1]) and all(a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-12) and math.isclose(a[4], b[4], rel_tol=1e-12) for a, b in zip(*found, strict=True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import edge_id, entity_id, node_id
 from ..functions.labels import chunk_label, document_label
 from ..schema import RELATIONS, Scope
+from ..storage import own_dir
 
 EDGE = ("src", "dst", "relation", "kind", "description", "confidence")
 KINDS = ("document", "element", "chunk", "entity")
@@ -171,16 +173,31 @@ def scan_nodes(nodes: DataFrame, kind: str | None = None, ids: list[str] | None
     return rows
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2, in_scope: DataFrame | None = None) -> DataFrame:
+def _both_ways(edges: DataFrame, in_scope: DataFrame | None) -> DataFrame:
+    """(a, b) for each end of each SEMANTIC_RELATION edge whose source is in the scope."""
+    links = edges.where("relation = 'SEMANTIC_RELATION'").select("src", "dst")
+    if in_scope is not None:
+        links = links.join(in_scope.select(F.col("id").alias("src")), "src", "left_semi")
+    return links.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(links.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+
+
+def adjacency(edges: DataFrame, buckets: int, in_scope: DataFrame | None = None, name: str | None = None) -> DataFrame:
+    """The links that traverse() follows as a table of its own, bucketed and sorted by their first end: hops over it move the frontier to the
+    links and never shuffle the links. A bucket should hold some 100 MB. The table is called `name`, by default one of its own; a session's
+    user drops it by that name, its files go with the application's folder."""
+    spark, name = edges.sparkSession, name or f"adjacency_{uuid.uuid4().hex}"
+    once = _both_ways(edges, in_scope).repartition(buckets, "a").distinct()  # by (a, b), which rows dealt by a need no further shuffle for
+    once.write.bucketBy(buckets, "a").sortBy("a").option("path", f"{own_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def traverse(edges: DataFrame | None, seeds: DataFrame, hops: int = 2, in_scope: DataFrame | None = None, adjacent: DataFrame | None = None) -> DataFrame:
     """(id, hop) of entities within `hops` undirected SEMANTIC_RELATION steps of the seeds (id), each with its first hop.
 
     in_scope: entity nodes (id) that a relation's source must be one of. Hops are at most five; each is one join with the
-    frontier and one anti-join with what was seen.
+    frontier and one anti-join with what was seen. adjacent: the table of `adjacency`, in place of edges and in_scope.
     """
-    links = edges.where("relation = 'SEMANTIC_RELATION'").select("src", "dst")
-    if in_scope is not None:
-        links = links.join(in_scope.select(F.col("id").alias("src")), "src", "left_semi")
-    both = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(links.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
+    both = _both_ways(edges, in_scope).distinct() if adjacent is None else adjacent
     seen = frontier = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     for hop in range(1, clamp_hops(hops) + 1):
         step = both.join(frontier.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()

@@ -13,7 +13,7 @@ from ..streaming.jobs import record_stream, run_available
 from ..streaming.states import MOVES, state_store, status_moves
 from . import corpus
 from ..functions.policy import REFUSAL
-from .catalog_graph import CLAMP, COS, vector_of
+from .catalog_graph import CLAMP, COS, SEM, vector_of
 from .catalog_graph import SQL as GRAPH
 from .catalog_text import CHUNKS, WS
 
@@ -99,6 +99,16 @@ def j09_names_by_index(spark, sf):
     return graph.seeds_of_names_indexed(entities, postings, list(NAMES))
 
 
+@query(f"""with {SEM}, h0 as (select 's1' as id union select 's2'), h1 as (select distinct b as id from both_ways where a in (from h0) and b not in (from h0)), h2 as (select distinct b as id from both_ways where a in (from h1) and b not in (from h0) and b not in (from h1)),
+h3 as (select distinct b as id from both_ways where a in (from h2) and b not in (from h0) and b not in (from h1) and b not in (from h2))
+select id, 0 as hop from h0 union all select id, 1 from h1 union all select id, 2 from h2 union all select id, 3 from h3""")
+def j10_khop_by_adjacency(spark, sf):
+    """Three hops over links that lie bucketed by their first end."""
+    _, edges = corpus.star(spark, sf)
+    links = graph.adjacency(edges, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return graph.traverse(None, spark.range(2).select(F.concat(F.lit("s"), F.col("id") + 1).alias("id")), 3, adjacent=links)
+
+
 STATUS = {"signup": "uploaded", "view": "indexing", "click": "ready", "error": "failed", "purchase": "archived"}
 ALLOWED = ", ".join(f"('{a or ''}', '{b}')" for a, to in MOVES.items() for b in sorted(to))
 

@@ -107,6 +107,26 @@ def test_summaries_equal_a_recount_after_changes(spark, tmp_path):
     assert "/nodes-summary/" in str(engine.chunk_stats(scopes[0]).inputFiles()) and "/nodes/" not in str(engine.chunk_stats(scopes[0]).inputFiles())
 
 
+def test_hops_over_bucketed_links_shuffle_no_links(spark):
+    r = random.Random(7)
+    pairs = {(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(70)}
+    edges = spark.createDataFrame([(a, b, "SEMANTIC_RELATION", "USES", "", 1.0) for a, b in pairs] + [("n1", "n2", "MENTIONED_IN", "", "", None)], "src string, dst string, relation string, kind string, description string, confidence double")
+    inside = spark.createDataFrame([(f"n{i}",) for i in range(50)], "id string")
+    seeds = spark.createDataFrame([("n1",), ("n7",), ("none",)], "id string")
+    rows = lambda f: sorted(map(tuple, f.collect()))
+    for scope in (None, inside):
+        links = graph.adjacency(edges, 4, scope)
+        assert rows(graph.traverse(None, seeds, 4, adjacent=links)) == rows(graph.traverse(edges, seeds, 4, scope))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        plan = links.join(seeds.select(F.col("id").alias("a")), "a")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the seeds' own
+
+
 # -- sinks ---------------------------------------------------------------------------------------------------------------------
 def usage_events(spark, *rows):
     return spark.createDataFrame(rows, "event_id string, tenant_id string, app_id string, total_tokens long, other string")

@@ -12,8 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: What vectors are for, as providers name it.
+DOCUMENT, QUERY = "RETRIEVAL_DOCUMENT", "RETRIEVAL_QUERY"
+
+
 class EmbeddingProvider(Protocol):
-    """Turns texts into vectors of `dimensions` numbers; must be picklable, since executors call it."""
+    """Turns texts into vectors of `dimensions` numbers; must be picklable, since executors call it.
+
+    One with a true attribute `by_task` embeds documents and queries differently: its embed takes the task as a second argument.
+    """
 
     model: str
     dimensions: int
@@ -37,9 +44,9 @@ class HashingEmbedder:
         return (out / np.where(norm, norm, 1)).tolist()
 
 
-def checked(provider: EmbeddingProvider, texts: list[str]) -> list[list[float]]:
+def checked(provider: EmbeddingProvider, texts: list[str], task: str = DOCUMENT) -> list[list[float]]:
     """embed(), with its result held against the contract: one vector of numbers for each text, all of the told length."""
-    vectors = provider.embed(texts)
+    vectors = provider.embed(texts, task) if getattr(provider, "by_task", False) else provider.embed(texts)
     if not isinstance(vectors, list) or len(vectors) != len(texts):
         raise ValueError(f"{provider.model}: {len(texts)} texts, {len(vectors) if isinstance(vectors, list) else 'no'} vectors")
     for v in vectors:
@@ -65,7 +72,7 @@ def passing(error: Exception) -> bool:
     return bool(getattr(error, "transient", isinstance(error, (ConnectionError, TimeoutError))))
 
 
-def embedded(df: DataFrame, provider: EmbeddingProvider, text_col: str = "text", out_col: str = "vector", batch: int = 100) -> DataFrame:
+def embedded(df: DataFrame, provider: EmbeddingProvider, text_col: str = "text", out_col: str = "vector", batch: int = 100, task: str = DOCUMENT) -> DataFrame:
     """df with the vectors of its texts, embedded in batches on the executors; batches are tried again while errors are passing."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -77,7 +84,7 @@ def embedded(df: DataFrame, provider: EmbeddingProvider, text_col: str = "text",
         for rows in batches:
             texts, vectors = [t or "" for t in rows.column(at).to_pylist()], []
             for k in range(0, len(texts), batch):
-                vectors += with_retries(lambda some=texts[k : k + batch]: checked(provider, some), passing, time.sleep)
+                vectors += with_retries(lambda some=texts[k : k + batch]: checked(provider, some, task), passing, time.sleep)
             yield pa.RecordBatch.from_arrays([*(rows.column(i).cast(schema.field(i).type) for i in range(rows.num_columns)), pa.array(vectors, schema.field(out_col).type)], schema=schema)
 
     return df.mapInArrow(work, target)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embedding import EmbeddingProvider, HashingEmbedder, checked
+from ..functions.embedding import QUERY, EmbeddingProvider, HashingEmbedder, checked
 from ..functions.labels import response_strategy, retrieval_strategy
 from ..functions.model_output import extracted
 from ..functions.policy import REFUSAL, decision, inventory_question, restricted_topic
@@ -204,7 +204,7 @@ class Engine(Store):
     def search(self, text: str, scope: Scope, k: int = 5, least: float = 0.0) -> DataFrame:
         if not text.strip():
             raise ValueError("the query is blank")
-        return vectors.top_k(self.table("vectors"), checked(self.provider, [text])[0], k, scope.of_vectors(), least)
+        return vectors.top_k(self.table("vectors"), checked(self.provider, [text], QUERY)[0], k, scope.of_vectors(), least)
 
     def retrieve(self, text: str, scope: Scope, k: int = 5, least: float = 0.0, listed: str | None = None, queried: str | None = None) -> DataFrame:
         """The compacted context of a query, its sources in the order of SOURCES, with the strategy's label.

@@ -227,3 +227,75 @@ def test_nodes_by_kind_ids_and_properties(spark):
     n = spark.createDataFrame([("1", "entity", {"a": "x"}), ("2", "entity", {"a": "y", "b": "z"}), ("3", "chunk", None)], "id string, kind string, properties map<string,string>")
     got = lambda **k: sorted(r["id"] for r in graph.scan_nodes(n, **k).collect())
     assert got() == ["1", "2", "3"] and got(kind="entity", equals={"a": "y"}) == ["2"] and got(ids=["1", "9"]) == ["1"] and got(ids=[]) == [] and got(equals={"b": "z", "a": "x"}) == []
+
+
+# -- chunking and embedding against brute force -----------------------------------------------------------------------------
+def test_semantic_chunks_equal_brute_force(spark, sf):
+    """On the smallest tables: sections split into sentences, neighbours embedded, cut at the percentile of the section's distances."""
+    import re
+
+    from lodestack.functions.embedding import HashingEmbedder
+    from lodestack.operators import chunking
+    from lodestack.plans import corpus
+
+    embedder, config = HashingEmbedder(64), ChunkingConfig(strategy="semantic", percentile=80)
+    elements = corpus.elements(spark, sf).where("document_id < '2'").cache()
+    want = []
+    for r in chunking.section_texts(elements).collect():
+        said = re.split(r"(?<=[.!?])\s+", " ".join(r["text"].split()))
+        units = [" ".join(said[max(0, i - 1) : i + 2]) for i in range(len(said))]
+        v = np.array(embedder.embed(units))
+        gaps = [1 - float(a @ b) if a.any() and b.any() else 1.0 for a, b in zip(v, v[1:])]
+        edge = float(np.percentile(gaps, 80)) if gaps else 0.0
+        groups = [[said[0]]]
+        for s, g in zip(said[1:], gaps):
+            if g > edge + 1e-9:
+                groups.append([s])
+            elif g > edge - 1e-9 and g != edge:
+                groups = None  # too close to tell
+                break
+            else:
+                groups[-1].append(s)
+        want.append((r["document_id"], r["section_index"], groups and [" ".join(g) for g in groups]))
+    got = {}
+    for r in chunking.semantic(elements, config, embedder).orderBy("document_id", "chunk_index").collect():
+        got.setdefault((r["document_id"], r["section_index"]), []).append(r["text"])
+    clear = [(d, s, g) for d, s, g in want if g]
+    assert len(clear) > 0.9 * len(want) > 50 and all(got[d, s] == g for d, s, g in clear)
+
+
+def test_sentence_windows_of_whole_tables(spark, sf):
+    """Every window is whole sentences within the budget, the next begins with at most the overlap of it, and no sentence is lost."""
+    from lodestack.operators import chunking
+    from lodestack.plans import corpus
+
+    elements = corpus.elements(spark, sf)
+    rows = chunking.sliding(elements, ChunkingConfig(max_tokens=60, overlap_tokens=20, sentences=True)).orderBy("document_id", "chunk_index").collect()
+    of_section = {}
+    for r in rows:
+        of_section.setdefault((r["document_id"], r["section_index"]), []).append(r["text"])
+    texts = {(r["document_id"], r["section_index"]): r["text"] for r in chunking.section_texts(elements).collect()}
+    assert of_section.keys() == {k for k, t in texts.items() if t.split()}
+    for key, windows in of_section.items():
+        words, ends = texts[key].split(), {0}  # where a window may end: repetitive texts leave several places
+        for w in windows:
+            own = w.split()
+            assert len(own) <= 60
+            ends = {k + len(own) for at in ends for k in range(max(0, at - 20), at + 1) if words[k : k + len(own)] == own and k + len(own) > at}
+        assert len(words) in ends, key
+
+
+def test_documents_and_queries_are_embedded_by_task(spark, tmp_path):
+    from lodestack.functions.embedding import DOCUMENT, QUERY, HashingEmbedder, checked
+
+    class Tasked(HashingEmbedder):
+        by_task = True
+
+        def embed(self, texts, task):
+            return super().embed([t if task == DOCUMENT else t.replace("ask", "owls") for t in texts])
+
+    provider = Tasked(32)
+    assert checked(provider, ["ask"]) != checked(provider, ["ask"], QUERY) and checked(HashingEmbedder(32), ["ask"]) == checked(HashingEmbedder(32), ["ask"], QUERY)
+    engine, scope = Engine(spark, f"file://{tmp_path}/store", provider), Scope("t", "a")
+    engine.ingest(spark.createDataFrame([(n, f"{n}.txt", ".txt", t.encode()) for n, t in (("d", "owls"), ("e", "ask"))], "document_id string, filename string, extension string, content binary"), scope, ChunkingConfig(strategy="sliding_window"))
+    assert engine.search("ask", scope, 1).first()["text"] == "owls"

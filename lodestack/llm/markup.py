@@ -95,9 +95,12 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             if name in BLOCK:
                 flush()
             if count.get(name):
-                n = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
-                if name in BLOCK or not any(x[0] in BLOCK for x in stack[n:]):
-                    cut(n)
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        cut(i)
+                        break
+                    if name not in BLOCK and stack[i][0] in BLOCK:  # an inline end tag closes no block
+                        break
             continue
         if name in RAW:
             found = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)

@@ -171,6 +171,7 @@ def test_long_and_deep_pages_are_read_in_time():
 
     assert text_of("<p>word</p>" * 50_000).count("word") == 50_000
     assert text_of("<div>" * 50_000 + "x") == "x"
+    assert text_of("<b>" + "<div>" * 50_000 + "x</b>" * 50_000).startswith("xxx")
     assert text_of("<a " * 50_000 + "x").endswith("x")
     assert text_of("<p title=\"" * 20_000 + ">x") is not None
     assert len(common([1, 2] * 3000, [2, 1] * 3000)) == 5999

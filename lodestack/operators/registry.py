@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import HIDDEN, STATUSES, Scope
+from ..schema import HIDDEN, MOVES, STATUSES, Scope
 
 LISTED = 20
 
@@ -52,7 +52,9 @@ def put(documents: DataFrame, rows: DataFrame) -> DataFrame:
     return documents.join(rows.select("id"), "id", "left_anti").select(*documents.columns).unionByName(rows.select(*documents.columns))
 
 
-def with_status(documents: DataFrame, changes: DataFrame) -> DataFrame:
-    """documents with the status of changes (id, status); a change to an unknown status or document does nothing."""
+def with_status(documents: DataFrame, changes: DataFrame, checked: bool = False) -> DataFrame:
+    """documents with the status of changes (id, status); a change to an unknown status or document does nothing, nor, if checked, one that MOVES does not allow."""
     told = changes.where(F.col("status").isin(*STATUSES)).groupBy("id").agg(F.max("status").alias("__s"))
-    return documents.join(told, "id", "left").withColumn("status", F.coalesce("__s", "status")).select(*documents.columns)
+    allowed = F.array(*[F.lit(f"{a or ''}>{b}") for a, to in MOVES.items() for b in sorted(to)])
+    may = F.array_contains(allowed, F.concat_ws(">", F.coalesce("status", F.lit("")), "__s")) if checked else F.lit(True)
+    return documents.join(told, "id", "left").withColumn("status", F.when(may, F.coalesce("__s", "status")).otherwise(F.col("status"))).select(*documents.columns)

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import config, graph, vectors
+from ..operators import config, graph, registry, vectors
 from ..storage import own_dir, written
 from ..streaming.jobs import record_stream, run_available
-from ..streaming.states import MOVES, state_store, status_moves
+from ..schema import MOVES
+from ..streaming.states import state_store, status_moves
 from . import corpus
 from ..functions.policy import REFUSAL
 from .catalog_graph import CLAMP, COS, SEM, vector_of
@@ -178,6 +179,18 @@ def u10_schema_text(spark, sf):
     return graph.schema_text(graph.schema_of(entities.withColumn("kind", F.col("entity_type")), edges.where("relation = 'SEMANTIC_RELATION'")))
 
 
+HELD, WANTED = ("uploaded", "indexing", "ready", "failed", "archived", "deleted", None), ("indexing", "ready", "archived", "deleted", "odd")
+
+
+@query(f"""with d as (select doc_id as id, [{", ".join(f"'{x}'" if x else "null" for x in HELD)}][(doc_id % 7 + 1)::int] as held, [{", ".join(f"'{x}'" for x in WANTED)}][(doc_id % 5 + 1)::int] as wanted from documents), ok(a, b) as (values {ALLOWED})
+select id, case when ok.b is not null then wanted else held end as status from d left join ok on ok.a = coalesce(held, '') and ok.b = wanted""")
+def u14_checked_status(spark, sf):
+    """A change for each document, of which those count that its status allows."""
+    at = lambda names, n: F.element_at(F.array(*[F.lit(x).cast("string") for x in names]), (F.col("id") % n + 1).cast("int"))
+    d = corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("id")).withColumn("status", at(HELD, 7))
+    return registry.with_status(d, d.select("id", at(WANTED, 5).alias("status")), checked=True)
+
+
 # -- SQL for queries of the other catalogs ----------------------------------------------------------------------------------
 SQL["k05_payload_edges"] = f"""with {CHUNKS}, d as (select document_id, chunk_id, unnest(string_split(element_ids, ',')) as el from chunks), nx as (select chunk_id, lead(chunk_id) over (partition by document_id order by chunk_index) as nxt from chunks),
 ids as (select 't:a::document:' || document_id as id, 1 as o from chunks group by document_id union all select distinct 't:a::element:' || el, 2 from d union all select 't:a::chunk:' || chunk_id, 3 from chunks), shown as (select id from ids order by o, id limit 1500),

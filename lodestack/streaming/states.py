@@ -9,16 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-#: Status -> those that may follow. None: the document is not known yet.
-MOVES = {
-    None: {"uploaded", "indexing"},
-    "uploaded": {"indexing", "failed", "deleted"},
-    "indexing": {"ready", "failed", "deleted"},
-    "ready": {"indexing", "archived", "deleted"},
-    "failed": {"indexing", "deleted"},
-    "archived": {"ready", "deleted"},
-    "deleted": set(),
-}
+from ..schema import MOVES
+
 MOVE = "document_id string, at timestamp, seq long, was string, status string, accepted boolean, reason string"
 
 

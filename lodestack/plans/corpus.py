@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,39 +41,45 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(sliding(elements(spark, sf_dir), WINDOWS))
 
 
-@lru_cache(maxsize=4)
-def _graph(application: str, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    spark = SparkSession.getActiveSession()
-    e = written(elements(spark, sf_dir))
-    c = written(dedupe(sliding(e, WINDOWS)))
-    return written(structure_nodes(documents(spark, sf_dir), e, c, SCOPE)), written(structure_edges(c, e, SCOPE))
+#: What is built once for an application and folder: (application, folder, name) -> result.
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as tables, which is what graph operators work on; built once for an application and folder."""
-    return _graph(spark.sparkContext.applicationId, sf_dir)
+
+    def build() -> tuple[DataFrame, DataFrame]:
+        e = written(elements(spark, sf_dir))
+        c = written(dedupe(sliding(e, WINDOWS)))
+        return written(structure_nodes(documents(spark, sf_dir), e, c, SCOPE)), written(structure_edges(c, e, SCOPE))
+
+    return _once(spark, sf_dir, "graph", build)
 
 
 #: Documents in English are one tenant's, all others another's.
 TENANTS = {"en": Scope("en", "docs"), "rest": Scope("rest", "docs")}
 
 
-@lru_cache(maxsize=4)
-def _engine(application: str, sf_dir: str):
+def engine(spark: SparkSession, sf_dir: str):
+    """An engine that holds the documents of both tenants; built once for an application and folder, so queries only read it."""
     from .engine import Engine
 
-    spark = SparkSession.getActiveSession()
-    engine = Engine(spark, f"{own_dir(spark)}/engine-{uuid.uuid4().hex}", HashingEmbedder(32))
-    d = documents(spark, sf_dir)
-    for name, scope in TENANTS.items():
-        own = d.where((F.col("app_id") == "en") if name == "en" else F.coalesce(F.col("app_id") != "en", F.lit(True)))
-        engine.ingest(files_of(own, "text"), scope, WINDOWS)
-    return engine
-
+    def build() -> Engine:
+        made = Engine(spark, f"{own_dir(spark)}/engine-{uuid.uuid4().hex}", HashingEmbedder(32))
+        d = documents(spark, sf_dir)
+        for name, scope in TENANTS.items():
+            own = d.where((F.col("app_id") == "en") if name == "en" else F.coalesce(F.col("app_id") != "en", F.lit(True)))
+            made.ingest(files_of(own, "text"), scope, WINDOWS)
+        return made
 
-def engine(spark: SparkSession, sf_dir: str):
-    """An engine that holds the documents of both tenants; built once for an application and folder, so queries only read it."""
-    return _engine(spark.sparkContext.applicationId, sf_dir)
+    return _once(spark, sf_dir, "engine", build)
 
 
 def files_of(rows: DataFrame, text: str) -> DataFrame:

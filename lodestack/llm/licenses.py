@@ -1,24 +1,31 @@
 """Operator 10, license scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
-Built from SQL functions only. A text becomes lower-case words (runs of letters and digits) and 64-bit hashes of its
-five-word shingles; texts, and then windows, without any shingle of a template are passed over. Templates are classed by
-length (each class up to a quarter longer than its shortest). For a class, windows begin every half of its shortest length and are so wide
-that any run of up to twice its longest length lies whole in one of them, at whatever offset. A window and a template that share one
-of the class's bands (the least of a permuted hash) are a candidate pair. There are as many bands as keep the probability to miss
-below `miss` at the least Jaccard similarity that such a window can have with a template of which it holds `least`.
+Built from DataFrame functions only. A text becomes lower-case words (runs of letters and digits) and 64-bit hashes of its
+five-word shingles; a join with the table of all templates' shingles leaves the places of those that some template has.
+Templates are classed by length (each class up to a quarter longer than its shortest). For a class, windows begin every half of its
+shortest length and are so wide that any run of up to twice its longest length lies whole in one of them, at whatever offset. A window
+is the set of its shingles that templates of the class have; others no template of the class can share, so that leaving them out only raises
+its similarity with each. A window and a template that share one of the class's bands (the least of a permuted hash) are a
+candidate pair. There are as many bands as keep the probability to miss below `miss` at the least Jaccard similarity that such a
+window, with all its shingles, can have with a template of which it holds `least`.
 
 A candidate is verified over the whole text: it matches if the text has at least 0.8 of the template's distinct shingles.
 Reported is the shortest run of words, the first of several, that holds all of the template's shingles that the text
 has. A notice stretched by insertions to more than twice its length may or may not be retrieved; its words are far apart then.
 
+Templates are tables: their shingles and band keys are joined, broadcast while they have at most BROADCAST_ROWS rows (two numbers and a
+name each) and shuffled beyond. Behind the first join only the places of known shingles are written and shuffled, by document, so that neither a
+template that a third of all texts hold nor a long text makes a large group.
+
 Defined results: a null text is an empty one; texts of fewer than five words match nothing; rows that share an id are
 scanned one by one and reported together; several templates in a text give a row each; an empty table gives no rows; other columns
-are ignored; a text of any length is one row's work; templates have five words or more, and their table is a parameter of bounded
-size, which is broadcast.
+are ignored; a text of any length is one row's work; templates have five words or more and names of their own, and their table is a parameter of
+bounded size, of which the driver sees names and lengths.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -30,6 +37,8 @@ from .quality import let
 
 SHINGLE = 5
 MOST_TEMPLATES = 5_000
+#: Rows of a template table up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 #: Notices as their licenses' publishers word them.
 TEMPLATES = (
@@ -99,19 +108,23 @@ def signature(hashes: Column, bands: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), bands), lambda k: F.xxhash64(k, F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, k)))))
 
 
-def collisions(h: Column, stride: int, width: int, bands: int, own: Column, keys: Column) -> Column:
-    """Band keys that windows of h share with templates of one class."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(h), F.lit(stride)), lambda i: F.slice(h, i, F.lit(width)))
-    return F.flatten(F.transform(F.filter(windows, lambda w: F.arrays_overlap(w, own)), lambda w: F.array_intersect(signature(w, F.lit(bands)), keys)))
+def table_of(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """rows as a table: one literal, whatever their number."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))
 
 
 def template_table(spark: SparkSession, templates: tuple) -> DataFrame:
     """(template, license, length in words, distinct shingle hashes)."""
-    if len(templates) > MOST_TEMPLATES or any(len(words_of_template(t)) < SHINGLE for _, _, t in templates):
-        raise ValueError(f"at most {MOST_TEMPLATES} templates, of {SHINGLE} words or more")
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("template"), F.lit(b).alias("license"), F.lit(c).alias("text")) for a, b, c in templates])).alias("r")
-    words = spark.range(1).select(rows).select("r.*").withColumn("words", words_column(F.col("text")))
-    return words.select("template", "license", F.size("words").alias("length"), F.array_distinct(shingles(F.col("words"))).alias("hashes"))
+    if len(templates) > MOST_TEMPLATES or len({name for name, _, _ in templates}) < len(templates) or any(len(words_of_template(t)) < SHINGLE for _, _, t in templates):
+        raise ValueError(f"at most {MOST_TEMPLATES} templates, of {SHINGLE} words or more and names of their own")
+    texts = table_of(spark, [{"template": a, "license": b, "text": c} for a, b, c in templates], "template string, license string, text string")
+    words = texts.withColumn("words", words_column(F.col("text")))
+    return words.select("template", "license", F.size("words").alias("length"), let(F.col("words"), lambda w: F.array_distinct(shingles(w))).alias("hashes"))
+
+
+def hinted(rows: DataFrame, n: int) -> DataFrame:
+    """A table of n rows to be joined: broadcast if it is small."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
 def shortest(places: Column, m: Column) -> Column:
@@ -132,29 +145,31 @@ def shortest(places: Column, m: Column) -> Column:
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, least: float = 0.8, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, template, license, containment and the words (first_word, n_words) that hold the most."""
     spark = docs.sparkSession
-    known = template_table(spark, templates)
-    told = {r["template"]: r for r in known.collect()}  # at most MOST_TEMPLATES
-    classes = layout({t: (r["length"], len(r["hashes"])) for t, r in told.items()}, least, miss)
-    bands = F.create_map(*(x for names, _, _, n in classes for t in names for x in (F.lit(t), F.lit(n))))
-    signed = written(known.select("template", signature(F.col("hashes"), bands[F.col("template")]).alias("keys")))
-    keys = {r["template"]: r["keys"] for r in signed.collect()}
-    literal = lambda found: F.array(*map(F.lit, sorted(set(found))))
-    everything = literal(h for r in told.values() for h in r["hashes"])
-
-    def retrieved(h: Column) -> Column:
-        found = [collisions(h, stride, width, n, literal(x for t in names for x in told[t]["hashes"]), literal(x for t in names for x in keys[t])) for names, stride, width, n in classes]
-        return F.array_distinct(F.concat(*found))
-
-    # One expression, with words and hashes bound once: a filter on a column of hashes would be pushed down and compute
-    # them again, and inside a lambda once for each word.
-    one = lambda h: F.struct(h.alias("h"), retrieved(h).alias("hits"))
-    none = F.array().cast("array<struct<h:array<bigint>,hits:array<bigint>>>")
-    kept = let(words_column(F.col(text_col)), lambda w: let(shingles(w), lambda h: F.when(F.arrays_overlap(h, everything), F.array(one(h))).otherwise(none)))
-    near = docs.select(F.col(id_col).alias("__id"), F.explode_outer(kept).alias("__n")).where(F.size("__n.hits") > 0)
-    placed = near.select("__id", F.xxhash64("__n.h").alias("__row"), F.col("__n.hits").alias("hits"), F.posexplode("__n.h").alias("at", "hash"))
-    index = known.select("template", "license", F.size("hashes").alias("m"), F.posexplode("hashes").alias("shingle", "hash"))
-    pairs = placed.join(F.broadcast(index), "hash").join(F.broadcast(signed), "template").where(F.arrays_overlap("hits", "keys"))
-    met = pairs.groupBy("__id", "__row", "template").agg(F.first("license").alias("license"), F.first("m").alias("m"), F.collect_set(F.struct((F.col("at") + 1).alias("at"), "shingle")).alias("places"))
+    known = written(template_table(spark, templates))
+    told = {r["template"]: (r["length"], r["m"]) for r in known.select("template", "length", F.size("hashes").alias("m")).collect()}  # at most MOST_TEMPLATES
+    classes = [{"template": t, "class": c, "stride": stride, "width": width, "bands": n} for c, (names, stride, width, n) in enumerate(layout(told, least, miss)) for t in names]
+    classed = known.join(F.broadcast(table_of(spark, classes, "template string, class int, stride int, width int, bands int")), "template")
+    n_shingles = sum(m for _, m in told.values())
+    index = written(classed.select("template", "license", "class", "stride", "width", F.size("hashes").alias("m"), F.posexplode("hashes").alias("shingle", "hash")))
+    signed = written(classed.select("class", "template", F.explode(signature(F.col("hashes"), F.col("bands"))).alias("key")))
+    layouts = table_of(spark, list({c["class"]: {k: c[k] for k in ("class", "bands")} for c in classes}.values()), "class int, bands int")
+
+    # The outer form keeps Spark from inferring a filter on the hashes, which would compute them twice.
+    words = let(words_column(F.col(text_col)), shingles)
+    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__row"), F.posexplode_outer(words).alias("at", "hash"))
+    places = written(texts.join(hinted(index.select("hash").distinct(), n_shingles), "hash", "left_semi"))
+
+    # at lies in the windows that begin at stride * k for each k from the first to the last.
+    first = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("width") + 1) / F.col("stride")).cast("int"))
+    covering = F.explode(F.sequence(first, F.floor(F.col("at") / F.col("stride")).cast("int"))).alias("window")
+    in_class = places.join(hinted(index.select("hash", "class", "stride", "width").distinct(), n_shingles), "hash").select("__id", "__row", "class", covering, "hash")
+    windows = in_class.groupBy("__id", "__row", "class", "window").agg(F.collect_set("hash").alias("hashes")).join(F.broadcast(layouts), "class")
+    keys = windows.select("__id", "__row", "class", F.explode(signature(F.col("hashes"), F.col("bands"))).alias("key"))
+    pairs = keys.join(hinted(signed, sum(c["bands"] for c in classes)), ["class", "key"]).select(F.col("__id").alias("__of"), F.col("__row").alias("__in"), "template").distinct()
+
+    both = places.join(pairs, F.col("__id").eqNullSafe(F.col("__of")) & (F.col("__row") == F.col("__in")))
+    shared = both.join(hinted(index.select("template", "license", "m", "shingle", "hash"), n_shingles), ["template", "hash"])
+    met = shared.groupBy("__id", "__row", "template").agg(F.first("license").alias("license"), F.first("m").alias("m"), F.collect_set(F.struct((F.col("at") + 1).alias("at"), "shingle")).alias("places"))
     held = met.withColumn("containment", F.size(F.array_distinct(F.transform("places", lambda p: p["shingle"]))) / F.col("m")).where(F.col("containment") >= least)
     runs = held.select("__id", "template", "license", "containment", shortest(F.sort_array("places"), F.col("m")).alias("run"))
     best = F.struct(F.col("containment"), (-F.col("run.first_word")).alias("before"), (-F.col("run.n_words")).alias("words"), F.col("license").alias("license"))

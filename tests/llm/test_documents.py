@@ -334,6 +334,38 @@ def test_license_with_inserted_words_at_every_offset(spark):
     assert sorted((r["doc_id"], r["template"], round(r["containment"], 6), r["first_word"], r["n_words"]) for r in got) == want
 
 
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_license_many_templates(spark, monkeypatch, rows):
+    """Hundreds of templates of many lengths that share a passage, broadcast and shuffled: rows as by brute force."""
+    from lodestack.llm import licenses
+
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", rows)
+    r = random.Random(10)
+    common = prose(99, 12, 5000)
+    templates = [(f"t{i}", f"L{i // 3}", f"{prose(i, r.randrange(5, 240), 5000)} {common} {prose(1000 + i, r.randrange(1, 30), 5000)}") for i in range(300)]
+    texts = [prose(5000 + i, r.randrange(300), 5000) for i in range(60)]
+    data = []
+    for i, text in enumerate(texts):
+        inside = [templates[r.randrange(300)][2].split() for _ in range(r.randrange(3))]
+        for w in inside:
+            for _ in range(r.randrange(3)):
+                w[r.randrange(len(w))] = "changed"
+        data.append((i if i % 7 else None, " ".join([text, *(" ".join(w) + " " + prose(7000 + i, 9, 5000) for w in inside)])))
+    data += [(1, common), (2, common * 50), (3, None), data[5], data[5]]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    told = {n: set(grams(licenses.words_of_template(t))) for n, _, t in templates}
+    want = {}
+    for i, t in data:
+        have = set(grams(licenses.words_of_template(t or "")))
+        for n, shingles in told.items():
+            if len(have & shingles) >= 0.8 * len(shingles):
+                want[i, n] = max(want.get((i, n), 0), len(have & shingles) / len(shingles))
+    got = licenses.scan(spark.createDataFrame(data, "doc_id long, text string").repartition(3), tuple(templates)).collect()
+    assert len(want) > 30 and {(x["doc_id"], x["template"]): x["containment"] for x in got} == pytest.approx(want) and len(got) == len(want)
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame(data, "doc_id long, text string"), (templates[0], templates[0]))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
 def test_license_query_against_brute_force(spark):
     from lodestack.llm import licenses, queries

@@ -32,7 +32,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fan_out, written
 from .quality import let
 
 SHINGLE = 5
@@ -128,8 +128,13 @@ def hinted(rows: DataFrame, n: int) -> DataFrame:
 
 
 def shortest(places: Column, m: Column) -> Column:
-    """(n_words, first_word) of the shortest run that holds every shingle of places: sorted (at, shingle), at from 1."""
+    """(n_words, first_word) of the shortest run that holds every shingle of places: sorted (at, shingle), at from 1.
+
+    Where no shingle comes twice, that is the run from the first to the last.
+    """
     held = F.transform(places, lambda p: p["shingle"])
+    ends = F.get(places, F.size(places) - 1)["at"], F.get(places, F.lit(0))["at"]
+    whole = F.struct((ends[0] - ends[1] + SHINGLE).alias("n_words"), (ends[1] - 1).alias("first_word"))
     last = let(F.array_distinct(held), lambda h: F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.when(F.array_contains(h, j), 0)))
     none = F.struct(F.lit(2**31 - 1).alias("n_words"), F.lit(0).alias("first_word"))
 
@@ -139,7 +144,8 @@ def shortest(places: Column, m: Column) -> Column:
         run = F.struct((p["at"] - start + SHINGLE).alias("n_words"), (start - 1).alias("first_word"))
         return let(F.struct(seen.alias("seen"), start.alias("start"), run.alias("run")), lambda x: F.struct(x["seen"].alias("last"), F.when((x["start"] > 0) & (x["run"]["n_words"] < state["best"]["n_words"]), x["run"]).otherwise(state["best"]).alias("best")))
 
-    return F.aggregate(places, F.struct(last.alias("last"), none.alias("best")), step, lambda state: state["best"])
+    swept = F.aggregate(places, F.struct(last.alias("last"), none.alias("best")), step, lambda state: state["best"])
+    return F.when(F.size(F.array_distinct(held)) == F.size(held), whole).otherwise(swept)
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, least: float = 0.8, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +169,10 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, least: float = 0.8, miss
     first = F.greatest(F.lit(0), F.ceil((F.col("at") - F.col("width") + 1) / F.col("stride")).cast("int"))
     covering = F.explode(F.sequence(first, F.floor(F.col("at") / F.col("stride")).cast("int"))).alias("window")
     in_class = places.join(hinted(index.select("hash", "class", "stride", "width").distinct(), n_shingles), "hash").select("__id", "__row", "class", covering, "hash")
-    windows = in_class.groupBy("__id", "__row", "class", "window").agg(F.collect_set("hash").alias("hashes")).join(F.broadcast(layouts), "class")
+    windows = in_class.groupBy("__id", "__row", "class", "window").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
+    # Windows of a text that hold the same shingles are one. Their bands are most of the work, so they are dealt evenly.
+    each = ["__id", "__row", "class", "hashes"]
+    windows = windows.select(*each).repartition(fan_out(docs), *each).distinct().join(F.broadcast(layouts), "class")
     keys = windows.select("__id", "__row", "class", F.explode(signature(F.col("hashes"), F.col("bands"))).alias("key"))
     pairs = keys.join(hinted(signed, sum(c["bands"] for c in classes)), ["class", "key"]).select(F.col("__id").alias("__of"), F.col("__row").alias("__in"), "template").distinct()
 

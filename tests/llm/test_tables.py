@@ -295,6 +295,42 @@ def test_mixing_meets_targets(spark):
     assert mix_table(empty(spark)).count() == 0
 
 
+def test_mixing_rates_are_the_nearest_to_one(spark):
+    """Among rates with the target's words none is nearer to one each, by the entropy of a rate between 0 and 3."""
+    from lodestack.llm.mixing import balance
+
+    r, most = random.Random(6), 3.0
+    sizes = {k: sorted(r.sample(range(1, 400), 7)) for k in ("=a", "=b", "=c")}
+    counts = {k: [r.randrange(1, 4) for _ in s] for k, s in sizes.items()}
+    total = {k: sum(n * c for n, c in zip(s, counts[k])) for k, s in sizes.items()}
+    mean = {k: total[k] / sum(counts[k]) for k in sizes}
+    goal = {"=a": 0.3 * total["=a"], "=b": 1.7 * total["=b"], "=c": 2.9 * total["=c"]}
+    data = [(k, n, c, total[k], goal[k], mean[k]) for k, s in sizes.items() for n, c in zip(s, counts[k])]
+    lam = {x["k"]: x["lam"] for x in balance(spark.createDataFrame(data, "k string, size long, n long, source_size long, target double, mean double"), most).collect()}
+
+    def cost(rates):
+        return sum(c * (x * np.log(x) + (most - x) * np.log((most - x) / (most - 1))) for x, c in rates)
+
+    for k, s in sizes.items():
+        n, c = np.array(s, float), np.array(counts[k], float)
+        rates = most / (1 + (most - 1) * np.exp(-lam[k] * n / mean[k]))
+        assert (n * c * rates).sum() == pytest.approx(goal[k], rel=1e-8)
+        low, high = -500.0, 500.0  # the dual's one unknown, found by halving
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if (n * c * most / (1 + (most - 1) * np.exp(-np.clip(middle * n / mean[k], -700, 700)))).sum() < goal[k] else (low, middle)
+        assert lam[k] == pytest.approx(low, rel=1e-6)
+        best = cost(zip(rates, c))
+        for i in range(len(n)):  # words moved from one size to another, either way
+            for j in range(len(n)):
+                for step in (1e-3, 1e-2) if i != j else ():
+                    moved = rates.copy()
+                    moved[i] += step / (n[i] * c[i])
+                    moved[j] -= step / (n[j] * c[j])
+                    if 0 < moved[i] < most and 0 < moved[j] < most:
+                        assert cost(zip(moved, c)) >= best - 1e-12
+
+
 def test_mixing_edge_documents(spark):
     from lodestack.llm.mixing import mix_table
 

@@ -46,8 +46,8 @@ def land(files: DataFrame, folder: str, tenant: str, app: str) -> None:
 
 
 def media_url(filename: Column, content_type: Column, content: Column) -> Column:
-    """An image as a data URL, its type from the content type, else from the suffix."""
+    """An image as a data URL, its type from the content type, else from the suffix. Spark's base64 has line ends, a data URL none."""
     ext = extension(filename)
     by_suffix = F.when(ext.isin(".jpg", ".jpeg"), "image/jpeg").when(ext == ".png", "image/png").otherwise("application/octet-stream")
     mime = F.when(F.startswith(F.coalesce(content_type, F.lit("")), F.lit("image/")), content_type).otherwise(by_suffix)
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))

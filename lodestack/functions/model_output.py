@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,19 +40,24 @@ def unfenced(raw: Column, *labels: str) -> Column:
 
 def json_object(raw: Column) -> Column:
     """The JSON object that raw holds, with or without a code fence around it, as a variant; null for anything else."""
-    return bound(F.try_parse_json(unfenced(raw, "json")), lambda value: F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value))
+    # A trimmed text that parses is an object if it begins with a brace; a schema of the whole value would be merged from all its members.
+    return bound(unfenced(raw, "json"), lambda text: F.when(F.startswith(text, F.lit("{")), F.try_parse_json(text)))
 
 
 def said(value: Column, *keys: str) -> Column:
     """The first of the members that is not blank, as trimmed text; empty where there is none."""
-    texts = [F.nullif(trimmed(F.try_variant_get(value, f"$.{k}", "string")), F.lit("")) for k in keys]
-    return F.coalesce(*texts, F.lit(""))
+    return _first_text(F.try_variant_get(value, f"$.{k}", "string") for k in keys)
 
 
-def members(value: Column, key: str) -> Column:
-    """The objects in a member that is an array; no array holds none."""
-    found = F.coalesce(F.try_variant_get(value, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
-    return F.filter(found, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+def _first_text(values: Iterable[Column]) -> Column:
+    *others, last = map(trimmed, values)
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in others], last, F.lit(""))
+
+
+def members(value: Column, key: str, *names: str) -> Column:
+    """The objects in a member that is an array, as structs of the named texts, read in one pass; no array holds none. What is no object is null."""
+    kind = f"array<struct<{','.join(f'{n}:string' for n in names)}>>"
+    return F.coalesce(F.try_variant_get(value, f"$.{key}", kind), F.array().cast(kind))
 
 
 def canonical_json(value: object, indent: int | None = None) -> str:
@@ -62,7 +67,7 @@ def canonical_json(value: object, indent: int | None = None) -> str:
 def confidence(value: Column) -> Column:
     """Clamped to [0, 1]; missing and invalid values, and NaN, are certain."""
     number = value.try_cast("double")
-    return F.when(number.isNull() | F.isnan(number), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(number, F.lit(1.0)), F.lit(1.0))))
 
 
 def _named(types: tuple[str, ...]) -> Column:
@@ -71,11 +76,16 @@ def _named(types: tuple[str, ...]) -> Column:
 
 
 def _firsts(rows: Column, *key: str) -> Column:
-    """The first of the rows of each key, in order: by sorting, since arrays may be as long as texts."""
-    placed = F.transform(rows, lambda r, i: F.struct(F.struct(*(r[k] for k in key)).alias("k"), i.alias("i"), r.alias("r")))
+    """The first of the rows of each key, in order. Arrays may be as long as texts: rows are told apart by hashes, and sorted only where a key comes twice."""
+    named = lambda r: F.concat(*(x for k in key for x in (F.length(r[k]).cast("string"), F.lit(":"), r[k])))
     leading = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))
-    kept = F.transform(bound(F.array_sort(placed), leading), lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r")))
-    return F.transform(F.array_sort(kept), lambda x: x["r"])
+
+    def sorted_out(all_rows: Column) -> Column:
+        placed = F.transform(all_rows, lambda r, i: F.struct(named(r).alias("k"), i.alias("i"), r.alias("r")))
+        kept = F.transform(bound(F.sort_array(placed), leading), lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r")))
+        return F.transform(F.sort_array(kept), lambda x: x["r"])
+
+    return bound(rows, lambda all_rows: F.when(F.size(F.array_distinct(F.transform(all_rows, named))) == F.size(all_rows), all_rows).otherwise(sorted_out(all_rows)))
 
 
 def extracted(replies: DataFrame, raw: str = "raw", into: str = "extracted") -> DataFrame:
@@ -86,10 +96,11 @@ def extracted(replies: DataFrame, raw: str = "raw", into: str = "extracted") ->
     forms of names leave the JVM.
     """
     own = replies.columns
-    entity = lambda x: F.struct(said(x, "id").alias("local_id"), F.try_element_at(_named(ENTITY_TYPES), F.lower(said(x, "type"))).alias("entity_type"), said(x, "name").alias("name"), said(x, "description").alias("description"))
-    relation = lambda x: F.struct(said(x, "source_id", "from_id").alias("source_id"), said(x, "target_id", "to_id").alias("target_id"), F.try_element_at(_named(RELATION_TYPES), F.lower(said(x, "type"))).alias("relation_type"), said(x, "description").alias("description"), confidence(F.try_variant_get(x, "$.confidence", "string")).alias("confidence"))
+    text = lambda x, *keys: _first_text(x[k] for k in keys)
+    entity = lambda x: F.struct(text(x, "id").alias("local_id"), F.try_element_at(_named(ENTITY_TYPES), F.lower(text(x, "type"))).alias("entity_type"), text(x, "name").alias("name"), text(x, "description").alias("description"))
+    relation = lambda x: F.struct(text(x, "source_id", "from_id").alias("source_id"), text(x, "target_id", "to_id").alias("target_id"), F.try_element_at(_named(RELATION_TYPES), F.lower(text(x, "type"))).alias("relation_type"), text(x, "description").alias("description"), confidence(x["confidence"]).alias("confidence"))
     read = replies.withColumn("__reply", json_object(F.col(raw)))
-    read = read.select(*own, F.isnull("__reply").alias("__none"), F.transform(members(F.col("__reply"), "entities"), entity).alias("__e"), F.transform(members(F.col("__reply"), "relations"), relation).alias("__r"))
+    read = read.select(*own, F.isnull("__reply").alias("__none"), F.transform(members(F.col("__reply"), "entities", "id", "type", "name", "description"), entity).alias("__e"), F.transform(members(F.col("__reply"), "relations", "source_id", "from_id", "target_id", "to_id", "type", "description", "confidence"), relation).alias("__r"))
     read = read.withColumn("__e", F.filter("__e", lambda e: (e["local_id"] != "") & (e["name"] != "") & e["entity_type"].isNotNull()))
     read = read.withColumn("__e", _firsts(F.col("__e"), "local_id"))
     read = read.withColumns({"__ids": F.transform("__e", lambda e: e["local_id"]), "__n": mapped(F.transform("__e", lambda e: e["name"]), lambda x: [entity_form(n) for n in x], "array<string>")})
@@ -98,7 +109,9 @@ def extracted(replies: DataFrame, raw: str = "raw", into: str = "extracted") ->
     kept = _firsts(linked, "source_id", "target_id", "relation_type")
     entities = F.zip_with("__e", "__n", lambda e, n: F.struct(e["local_id"].alias("local_id"), e["entity_type"].alias("entity_type"), e["name"].alias("name"), n.alias("normalized_name"), e["description"].alias("description")))
     warning = F.when(F.col("__none"), F.lit("the reply holds no JSON object")).alias("warning")
-    return read.select(*own, F.struct(entities.alias("entities"), kept.alias("relations"), warning).alias(into))
+    # Columns of their own, so that readers of several fields of the struct do not compute them again.
+    told = read.select(*own, entities.alias("__entities"), kept.alias("__kept"), warning)
+    return told.select(*own, F.struct(F.col("__entities").alias("entities"), F.col("__kept").alias("relations"), "warning").alias(into))
 
 
 def json_keys_sorted(raw: Column) -> Column:

@@ -63,11 +63,11 @@ def hybrid(matches: DataFrame, nodes: DataFrame, edges: DataFrame, entities: Dat
     step; the parents of all come before them. A chunk stands at its first place.
     """
     seeds = graph.seeds_of_chunks(edges, matches)
-    near = graph.traverse(edges, seeds, 1, in_scope)
+    near = written(graph.traverse(edges, seeds, 1, in_scope))
     related = graph.mentioning_chunks(edges, near)
     order = matches.select("id", F.struct(F.lit(1).alias("o"), F.col("rank").cast("long").alias("r"), F.lit("").alias("i")).alias("place")).unionByName(related.select("id", F.struct(F.lit(2).alias("o"), F.lit(0).cast("long").alias("r"), F.col("id").alias("i")).alias("place")))
     parents = edges.where("relation = 'PARENT_CHUNK'").join(order.groupBy("id").agg(F.min("place").alias("place")), edges["src"] == F.col("id")).select(F.col("dst").alias("id"), F.struct(F.lit(0).alias("o"), F.col("place.r").alias("r"), F.col("place.i").alias("i")).alias("place"))
-    first = order.unionByName(parents).groupBy("id").agg(F.min("place").alias("pos"))
+    first = written(order.unionByName(parents).groupBy("id").agg(F.min("place").alias("pos")))
     context = graph.chunk_context(nodes, edges, first)
     return context, entities.join(near, "id", "left_semi").select("id", "name", "entity_type").distinct()
 

@@ -14,8 +14,8 @@ from ..functions.identifiers import vector_id
 from ..functions.vectors import cosine_to, similarity
 from ..schema import Scope
 
-#: Queries that a task compares at a time.
-BLOCK = 1024
+#: Queries that a task compares at a time, and those that share a copy of the vectors.
+BLOCK, COLUMN = 1024, 8192
 
 
 def scan(vectors: DataFrame, scope: Scope, document_id: str | None = None, limit: int = 10_000) -> DataFrame:
@@ -95,9 +95,9 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     """(query_id, rank, id, similarity) of each query's k most similar rows: exact, all rows against a stated set of queries.
 
     Up to `block` queries are sent to every task, and one pass over the vectors keeps k rows a query and task. More queries make a
-    grid: its columns are blocks of queries and its rows parts of the vectors, both dealt by hash, so that a cell holds at most about
-    `block` queries and cell_bytes of vectors. Vectors are shuffled once a column, queries once a row of the grid, k rows a query and cell after
-    it; nothing but two counts passes through the driver. Queries without an id, and rows that are null, take no part.
+    grid: its columns are some COLUMN queries and its rows parts of the vectors, both dealt by hash, so that a cell holds at most about
+    COLUMN queries and cell_bytes of vectors, and compares `block` queries at a time. Vectors are shuffled once a column, queries once a row of the
+    grid, k rows a query and cell after it; nothing but two counts passes through the driver. Queries without an id, and rows that are null, take no part.
     """
     asked = queries.select(F.col(query_id_col).cast("long").alias("q"), F.col(vector_col).alias("v")).where("q is not null")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
@@ -116,16 +116,22 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
         found = rows.mapInArrow(work, schema)
     else:
         size = rows.agg(F.sum(F.size("v"))).first()[0] or 0
-        columns, parts = -(-n // block), max(1, -(-8 * size // cell_bytes))
+        columns = -(-n // max(block, COLUMN))
+        # At least as many cells as tasks can run: more rows of the grid cost copies of queries, not of vectors.
+        parts = max(-(-8 * size // cell_bytes), -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // columns))
         cells = lambda c, name: F.explode(F.sequence(F.lit(0), F.lit(c - 1))).alias(name)
         left = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("i"), cells(columns, "j"))
         right = asked.select("q", "v", cells(parts, "i"), F.pmod(F.xxhash64("q", "v"), F.lit(columns)).cast("int").alias("j"))
 
         def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-            best = _Best(b["q"].to_numpy(), b["v"].combine_chunks(), k, exclude_own)
-            if b.num_rows:
-                best.add(a["id"].to_numpy(), a["v"].combine_chunks())
-            return pa.Table.from_batches([best.told()])
+            own, v, told = a["id"].to_numpy(), a["v"].combine_chunks(), []
+            for at in range(0, max(1, b.num_rows), block):
+                some = b.slice(at, block)
+                best = _Best(some["q"].to_numpy(), some["v"].combine_chunks(), k, exclude_own)
+                if some.num_rows:
+                    best.add(own, v)
+                told.append(best.told())
+            return pa.Table.from_batches(told)
 
         found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("raw", 12).desc(), "id"))

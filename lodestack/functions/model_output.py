@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import ENTITY_TYPES, RELATION_TYPES
-from .text import entity_form, mapped
+from .text import bound, entity_form, mapped
 
 EXTRACTION_TYPE = (
     "entities array<struct<local_id:string,entity_type:string,name:string,normalized_name:string,description:string>>, "
@@ -22,11 +22,6 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def unfenced(raw: Column, *labels: str) -> Column:
     """What stands between a code fence's ends, without its label; a text that is no fence as it is."""
 

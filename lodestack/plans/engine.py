@@ -91,8 +91,8 @@ class Engine(Store):
         base = self._manifest()
         parsed = written(parse_files(files))
         elements = parsed.where("element_id is not null").drop("status")
-        all_chunks = written(chunking.chunk(elements, config, self.provider))
-        bundle = Bundle(files, elements, written(chunking.dedupe(all_chunks)), scope)
+        all_chunks = written(chunking.marked(chunking.chunk(elements, config, self.provider)))
+        bundle = Bundle(files, elements, all_chunks.where("__kept").drop("__kept"), scope)
         changed = {name: paths for sink in sinks for name, paths in {"graph": self._to_graph, "vectors": self._to_vectors}[sink](base, bundle).items()}
         if changed:
             self._publish(base, **changed)
@@ -108,8 +108,9 @@ class Engine(Store):
 
     def _to_graph(self, base: dict, bundle: Bundle) -> dict[str, list[str]]:
         scope, elements, chunks = bundle.scope, bundle.elements, bundle.chunks
-        nodes = written(graph.structure_nodes(bundle.files.select("document_id", "filename"), elements, chunks, scope))
-        edges = written(graph.structure_edges(chunks, elements, scope).dropDuplicates(list(KEYS["edges"])))
+        # Written where they stay, as folders that no manifest names yet.
+        node_folders, nodes = self._new(base, "nodes", graph.structure_nodes(bundle.files.select("document_id", "filename"), elements, chunks, scope))
+        edge_folders, edges = self._new(base, "edges", graph.structure_edges(chunks, elements, scope).dropDuplicates(list(KEYS["edges"])))
         same = lambda rows: rows.select("id", F.coalesce(F.col("properties")["content_hash"], F.lit("")).alias("hash"))
         held = written(same(self.table("nodes", base).where(scope.of_graph() & (F.col("kind") != "entity")).join(bundle.documents(), "document_id", "left_semi")))
         before, old = held.select("id"), self.table("edges", base)
@@ -118,8 +119,8 @@ class Engine(Store):
         unmentioned = written(old.where("relation = 'MENTIONED_IN'").join(changed, F.col("dst") == F.col("id"), "left_semi").select(*KEYS["edges"]))
         stale, orphans, orphaned = self._unmentioned(base, scope, unmentioned)
         return {
-            "nodes": self._put(base, "nodes", before.unionByName(nodes.select("id")).unionByName(orphans), nodes),
-            "edges": self._put(base, "edges", of_documents.unionByName(unmentioned).unionByName(orphaned).unionByName(edges.select(*KEYS["edges"])), edges),
+            "nodes": self._put(base, "nodes", before.unionByName(nodes.select("id")).unionByName(orphans), None) + node_folders,
+            "edges": self._put(base, "edges", of_documents.unionByName(unmentioned).unionByName(orphaned).unionByName(edges.select(*KEYS["edges"])), None) + edge_folders,
             "entities": self._put(base, "entities", stale, None),
         }
 

@@ -128,6 +128,11 @@ class Store:
             base["prints"][path] = _packed(prints)
         return path if prints is None or len(prints) else None
 
+    def _new(self, base: dict, name: str, rows: DataFrame) -> tuple[list[str], DataFrame]:
+        """Folders with rows, for a manifest to name, and what they hold: rows that a change looks at need not be written apart."""
+        at = [x for x in (self._add(base, name, rows),) if x]
+        return at, self.table(name, {"tables": {name: at}})
+
     @staticmethod
     def _beside(path: str) -> str:
         table, _, folder = path.rpartition("/")

@@ -35,11 +35,11 @@ class HashingEmbedder:
         self.dimensions, self.model = dimensions, f"local-hashing-{dimensions}"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dimensions))
-        for i, text in enumerate(texts):
-            for token in text.lower().split():
-                h = zlib.crc32(token.encode())
-                out[i, (h >> 1) % self.dimensions] += 1.0 if h & 1 else -1.0
+        words = [text.lower().split() for text in texts]
+        hashes = np.fromiter((zlib.crc32(token.encode()) for w in words for token in w), np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        at, sign = row * self.dimensions + (hashes >> 1) % self.dimensions, np.where(hashes & 1, 1.0, -1.0)
+        out = np.bincount(at, sign, len(texts) * self.dimensions).reshape(len(texts), self.dimensions)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm, norm, 1)).tolist()
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import ENTITY_TYPES, RELATION_TYPES
-from .text import bound, entity_form, mapped
+from .text import bound, entity_names, mapped
 
 EXTRACTION_TYPE = (
     "entities array<struct<local_id:string,entity_type:string,name:string,normalized_name:string,description:string>>, "
@@ -72,7 +72,8 @@ def _named(types: tuple[str, ...]) -> Column:
 
 def _firsts(rows: Column, *key: str) -> Column:
     """The first of the rows of each key, in order. Arrays may be as long as texts: rows are told apart by hashes, and sorted only where a key comes twice."""
-    named = lambda r: F.concat(*(x for k in key for x in (F.length(r[k]).cast("string"), F.lit(":"), r[k])))
+    # A part but the last is told from what follows by its length.
+    named = lambda r: F.concat(*(x for k in key[:-1] for x in (F.length(r[k]).cast("string"), F.lit(":"), r[k])), r[key[-1]]) if len(key) > 1 else r[key[0]]
     leading = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))
 
     def sorted_out(all_rows: Column) -> Column:
@@ -98,8 +99,8 @@ def extracted(replies: DataFrame, raw: str = "raw", into: str = "extracted") ->
     read = read.select(*own, F.isnull("__reply").alias("__none"), F.transform(members(F.col("__reply"), "entities", "id", "type", "name", "description"), entity).alias("__e"), F.transform(members(F.col("__reply"), "relations", "source_id", "from_id", "target_id", "to_id", "type", "description", "confidence"), relation).alias("__r"))
     read = read.withColumn("__e", F.filter("__e", lambda e: (e["local_id"] != "") & (e["name"] != "") & e["entity_type"].isNotNull()))
     read = read.withColumn("__e", _firsts(F.col("__e"), "local_id"))
-    read = read.withColumns({"__ids": F.transform("__e", lambda e: e["local_id"]), "__n": mapped(F.transform("__e", lambda e: e["name"]), lambda x: [entity_form(n) for n in x], "array<string>")})
-    ends = F.array_union(F.transform("__r", lambda r: r["source_id"]), F.transform("__r", lambda r: r["target_id"]))
+    read = read.withColumns({"__ids": F.col("__e")["local_id"], "__n": entity_names(F.col("__e")["name"])})
+    ends = F.array_union(F.col("__r")["source_id"], F.col("__r")["target_id"])
     linked = bound(F.array_except(ends, F.col("__ids")), lambda unknown: F.filter("__r", lambda r: r["relation_type"].isNotNull() & ~F.array_contains(unknown, r["source_id"]) & ~F.array_contains(unknown, r["target_id"])))
     kept = _firsts(linked, "source_id", "target_id", "relation_type")
     entities = F.zip_with("__e", "__n", lambda e, n: F.struct(e["local_id"].alias("local_id"), e["entity_type"].alias("entity_type"), e["name"].alias("name"), n.alias("normalized_name"), e["description"].alias("description")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import ENTITY_TYPES, RELATION_TYPES
+from .replies import is_plain, plain
 from .text import bound, entity_names, mapped
 
 EXTRACTION_TYPE = (
@@ -88,25 +89,28 @@ def extracted(replies: DataFrame, raw: str = "raw", into: str = "extracted") ->
     """replies with the entities and relations of a reply that the ontology allows, as a struct of EXTRACTION_TYPE.
 
     Types are looked up without regard to case. The first entity of a local id counts; a relation needs two kept
-    entities (named source_id/target_id or from_id/to_id) and counts once for each (source, target, type). Only the normal
-    forms of names leave the JVM.
+    entities (named source_id/target_id or from_id/to_id) and counts once for each (source, target, type). Plain
+    replies are read as columns, in Arrow batches; all others here, by the same rules, from a variant.
     """
     own = replies.columns
     text = lambda x, *keys: _first_text(x[k] for k in keys)
     entity = lambda x: F.struct(text(x, "id").alias("local_id"), F.try_element_at(_named(ENTITY_TYPES), F.lower(text(x, "type"))).alias("entity_type"), text(x, "name").alias("name"), text(x, "description").alias("description"))
     relation = lambda x: F.struct(text(x, "source_id", "from_id").alias("source_id"), text(x, "target_id", "to_id").alias("target_id"), F.try_element_at(_named(RELATION_TYPES), F.lower(text(x, "type"))).alias("relation_type"), text(x, "description").alias("description"), confidence(x["confidence"]).alias("confidence"))
-    read = replies.withColumn("__reply", json_object(F.col(raw)))
-    read = read.select(*own, F.isnull("__reply").alias("__none"), F.transform(members(F.col("__reply"), "entities", "id", "type", "name", "description"), entity).alias("__e"), F.transform(members(F.col("__reply"), "relations", "source_id", "from_id", "target_id", "to_id", "type", "description", "confidence"), relation).alias("__r"))
+    read = replies.withColumn("__plain", is_plain(F.col(raw)))
+    read = read.withColumn("__reply", json_object(F.when(~F.col("__plain"), F.col(raw)))).withColumn("__text", F.when(F.col("__plain"), F.col(raw)))
+    read = read.select(*own, "__plain", "__text", F.isnull("__reply").alias("__none"), F.transform(members(F.col("__reply"), "entities", "id", "type", "name", "description"), entity).alias("__e"), F.transform(members(F.col("__reply"), "relations", "source_id", "from_id", "target_id", "to_id", "type", "description", "confidence"), relation).alias("__r"))
     read = read.withColumn("__e", F.filter("__e", lambda e: (e["local_id"] != "") & (e["name"] != "") & e["entity_type"].isNotNull()))
     read = read.withColumn("__e", _firsts(F.col("__e"), "local_id"))
-    read = read.withColumns({"__ids": F.col("__e")["local_id"], "__n": entity_names(F.col("__e")["name"])})
-    ends = F.array_union(F.col("__r")["source_id"], F.col("__r")["target_id"])
-    linked = bound(F.array_except(ends, F.col("__ids")), lambda unknown: F.filter("__r", lambda r: r["relation_type"].isNotNull() & ~F.array_contains(unknown, r["source_id"]) & ~F.array_contains(unknown, r["target_id"])))
+    read = read.withColumns({"__ids": F.col("__e")["local_id"], "__n": entity_names(F.col("__e")["name"]), "__told": plain(F.col("__text"))})
+    unknown = F.array_except(F.array_union(F.col("__r")["source_id"], F.col("__r")["target_id"]), F.col("__ids"))
+    # All that a lambda reads is an argument of it: columns in it may become the expressions behind them, and Python has no part in lambdas.
+    linked = bound(F.struct(F.col("__r").alias("r"), unknown.alias("u")), lambda x: F.filter(x["r"], lambda r: r["relation_type"].isNotNull() & ~F.array_contains(x["u"], r["source_id"]) & ~F.array_contains(x["u"], r["target_id"])))
     kept = _firsts(linked, "source_id", "target_id", "relation_type")
     entities = F.zip_with("__e", "__n", lambda e, n: F.struct(e["local_id"].alias("local_id"), e["entity_type"].alias("entity_type"), e["name"].alias("name"), n.alias("normalized_name"), e["description"].alias("description")))
-    warning = F.when(F.col("__none"), F.lit("the reply holds no JSON object")).alias("warning")
+    warning = F.when(~F.col("__plain") & F.col("__none"), F.lit("the reply holds no JSON object")).alias("warning")
     # Columns of their own, so that readers of several fields of the struct do not compute them again.
-    told = read.select(*own, entities.alias("__entities"), kept.alias("__kept"), warning)
+    either = lambda name, other: F.when(F.col("__plain"), F.col(f"__told.{name}")).otherwise(other)
+    told = read.select(*own, either("entities", entities).alias("__entities"), either("relations", kept).alias("__kept"), warning)
     return told.select(*own, F.struct(F.col("__entities").alias("entities"), F.col("__kept").alias("relations"), "warning").alias(into))
 
 

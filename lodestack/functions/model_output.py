@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import ENTITY_TYPES, RELATION_TYPES
-from .replies import is_plain, plain
+from .replies import is_plain, plain, small_batches
 from .text import bound, entity_names, mapped
 
 EXTRACTION_TYPE = (
@@ -96,7 +96,7 @@ def extracted(replies: DataFrame, raw: str = "raw", into: str = "extracted") ->
     text = lambda x, *keys: _first_text(x[k] for k in keys)
     entity = lambda x: F.struct(text(x, "id").alias("local_id"), F.try_element_at(_named(ENTITY_TYPES), F.lower(text(x, "type"))).alias("entity_type"), text(x, "name").alias("name"), text(x, "description").alias("description"))
     relation = lambda x: F.struct(text(x, "source_id", "from_id").alias("source_id"), text(x, "target_id", "to_id").alias("target_id"), F.try_element_at(_named(RELATION_TYPES), F.lower(text(x, "type"))).alias("relation_type"), text(x, "description").alias("description"), confidence(x["confidence"]).alias("confidence"))
-    read = replies.withColumn("__plain", is_plain(F.col(raw)))
+    read = small_batches(replies).withColumn("__plain", is_plain(F.col(raw)))
     read = read.withColumn("__reply", json_object(F.when(~F.col("__plain"), F.col(raw)))).withColumn("__text", F.when(F.col("__plain"), F.col(raw)))
     read = read.select(*own, "__plain", "__text", F.isnull("__reply").alias("__none"), F.transform(members(F.col("__reply"), "entities", "id", "type", "name", "description"), entity).alias("__e"), F.transform(members(F.col("__reply"), "relations", "source_id", "from_id", "target_id", "to_id", "type", "description", "confidence"), relation).alias("__r"))
     read = read.withColumn("__e", F.filter("__e", lambda e: (e["local_id"] != "") & (e["name"] != "") & e["entity_type"].isNotNull()))

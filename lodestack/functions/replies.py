@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import json as pj
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ontology import ENTITY_TYPES, RELATION_TYPES
@@ -25,8 +25,8 @@ KIND = (
     "struct<entities:array<struct<local_id:string,entity_type:string,name:string,normalized_name:string,description:string>>,"
     "relations:array<struct<source_id:string,target_id:string,relation_type:string,description:string,confidence:double>>>"
 )
-#: Bytes of replies that are parsed at once.
-BYTES = 4 << 20
+#: Bytes of replies in an Arrow batch, and of those that are parsed at once.
+BATCH, BYTES = 8 << 20, 4 << 20
 #: Numbers that a cast and float() read alike.
 NUMBER = re.compile(r"\d{1,40}(\.\d{1,40})?([eE][+-]?\d{1,9})?")
 
@@ -194,6 +194,16 @@ def _arrow_type() -> pa.DataType:
 TYPE = _arrow_type()
 
 
+def small_batches(replies: DataFrame) -> DataFrame:
+    """replies, with Arrow batches of at most about BATCH bytes from now on in its session: Spark reads this when a plan runs, so it cannot be set for one alone. It
+    is lowered, never raised: a batch stands in memory several times, on both sides of the pipe."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", replies.sparkSession.conf
+    told = conf.get(key).rstrip("b")
+    if told.isdigit() and int(told) > BATCH:
+        conf.set(key, BATCH)
+    return replies
+
+
 def is_plain(raw: Column) -> Column:
     """Whether plain() reads a reply. Both parse it, so what the JVM makes of other replies need not be held beside what plain() tells."""
 
